@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from loomgraph.session import read
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import warc
+
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import simhash
 
@@ -15,8 +21,48 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import mixing
+
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import tokens
+
+    return tokens.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import langid
+
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import pii
+
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash}
+    return {
+        "op1_warc": op1_warc,
+        "op2_simhash": op2_simhash,
+        "op3_toxicity": op3_toxicity,
+        "op4_mixing": op4_mixing,
+        "op7_tokens": op7_tokens,
+        "op8_langid": op8_langid,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
