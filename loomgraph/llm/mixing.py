@@ -137,3 +137,22 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, .
     sh = shares.select(F.col("source").alias("s_"), F.col("total").alias("source_size"), "target")
     out = out.join(sh, F.col("source").eqNullSafe(F.col("s_")))
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
+    """docs, all columns, as the mix takes them: each row as often as its words are taken, to the nearest whole number.
+
+    A source's run of words ends within one document, so rounding costs half a document a source. Rows that repeat
+    doc_id, source and size share their copies evenly. Documents without words are not taken.
+    """
+    rows, shares, pieces = schedule(docs, block_words, pattern)
+    taken = pieces.groupBy(F.col("source").alias("s_"), F.col("shard").alias("h_"), F.col("place").alias("p_")).agg(F.sum("n_words").alias("taken"))
+    on = rows["source"].eqNullSafe(F.col("s_")) & (rows["shard"] == F.col("h_")) & (rows["place"] == F.col("p_"))
+    copies = rows.join(taken, on).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
+    alike = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    both = copies.join(alike, copies["doc_id"].eqNullSafe(alike["doc_id"]) & copies["source"].eqNullSafe(alike["source"]) & (copies["size"] == alike["size"]))
+    copies = both.select(copies["doc_id"].alias("d_"), copies["source"].alias("s_"), copies["size"].alias("n_"), F.floor(F.col("taken") / (copies["size"] * F.col("rows")) + 0.5).cast("int").alias("copies_"))
+    copies = staged(copies.where("copies_ > 0"), "copies")
+    keyed = docs.select(F.struct("*").alias("row_"))
+    on = F.col("row_.doc_id").cast("long").eqNullSafe(F.col("d_")) & F.col("row_.source").cast("string").eqNullSafe(F.col("s_")) & (word_count(F.col("row_.text")) == F.col("n_"))
+    return keyed.join(copies, on).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")

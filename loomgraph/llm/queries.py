@@ -34,6 +34,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import substrings
+
+    return substrings.passages(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import decontam
+
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import tokens
 
@@ -47,6 +59,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm import embeddings
+
+    return embeddings.duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm import pii
 
@@ -59,8 +77,11 @@ def queries() -> dict:
         "op2_simhash": op2_simhash,
         "op3_toxicity": op3_toxicity,
         "op4_mixing": op4_mixing,
+        "op5_substrings": op5_substrings,
+        "op6_decontamination": op6_decontamination,
         "op7_tokens": op7_tokens,
         "op8_langid": op8_langid,
+        "op9_embeddings": op9_embeddings,
         "op10_pii": op10_pii,
     }
 

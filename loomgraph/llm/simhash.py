@@ -11,6 +11,8 @@ equi-join key. Each fingerprint goes under every choice of `blocks - radius` blo
 discarded (the triangle inequality), and the survivors are verified by their exact distance. A search from member to
 member stops at what is not yet reached, so a dense group costs about its size, and gives a spanning forest, never
 its pairs.
+
+For near-duplicates by similarity, see similar_classes().
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import Forest, connected
+from loomgraph.llm.substrings import mixed, shingles, word_hashes
 from loomgraph.session import ship, staged
 
 WIDTH, RADIUS, BLOCKS, PIVOTS, SEED = 4, 4, 7, 16, 42
@@ -189,10 +192,169 @@ def hex_digits(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """docs without the near-duplicates: of each class, the row of its smallest doc_id stays.
+# ---- near-duplicates by exact similarity, found through wide fingerprints ----
+
+#: A wide fingerprint has 4 times 64 bits. In the first 64, texts of similarity 0.8 differ in NEAR bits at most.
+WIDE, NEAR, CLOSE, MISSED = 4, 17, 6, 0.02
+
+
+def key_bits(texts: int, similarity: float = 0.8) -> list[list[int]]:
+    """The bits of each key under which wide fingerprints meet.
+
+    Keys have as many random bits as tell the texts apart, so that unrelated texts seldom meet. Texts of the similarity
+    differ in angle / pi of their bits on average, where cos(angle) = 2s / (1 + s); there are so many keys that even with
+    one standard deviation more they share none in MISSED of all cases only, whatever the number of texts.
+    """
+    size = max(12, int(texts).bit_length())
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    agree = (1 - differ - np.sqrt(differ * (1 - differ) / (64 * WIDE))) ** size
+    keys = int(np.ceil(np.log(MISSED) / np.log1p(-agree)))
+    rnd = np.random.default_rng(SEED)
+    return [sorted(rnd.choice(64 * WIDE, size, replace=False).tolist()) for _ in range(keys)]
+
+
+def shingle_set(text: str | bytes | None, width: int) -> np.ndarray:
+    """The distinct shingles of a text, hashed and sorted (fewer words than width: the whole sequence; none: nothing)."""
+    words = word_hashes(text)
+    return np.unique(shingles(words, min(width, len(words)))) if len(words) else np.empty(0, np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE numbers of 64 bits; the bits of many hash functions of each shingle, by majority."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        piece = hashes[at : at + (1 << 13)]
+        with np.errstate(over="ignore"):
+            many = mixed(piece[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        bits = np.unpackbits(many.view(np.uint8).reshape(len(piece), -1), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32).astype(np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _wide(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                f = np.array([wide_fingerprint(shingle_set(x, width)) for x in part.column(2).to_pylist()], np.uint64).reshape(-1, WIDE).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(WIDE))], names=["doc_id", "uid", *(f"f{k}" for k in range(WIDE))])
+
+    return run
+
+
+SMALL = 8
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: pairs to verify. Small buckets give all their near pairs, at once for a batch; large ones as few
+    as connect what is near: the nearest first, each only if the task's pairs so far don't connect it."""
+    refs, forest = pivots(), Forest()
+    out: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    def close(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray) -> None:
+        starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+        sizes = np.diff(np.r_[starts, len(keys)])
+        small = np.repeat(sizes <= SMALL, sizes)
+        for off in range(1, min(SMALL, len(keys))):
+            i = np.flatnonzero((keys[off:] == keys[:-off]) & small[off:])
+            i = i[np.bitwise_count(fps[i] ^ fps[i + off]) <= NEAR]
+            if len(i):
+                out.append(np.sort(np.stack((uid[i], uid[i + off]), axis=1), axis=1))
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            part = slice(starts[k], starts[k] + sizes[k])
+            u, f = uid[part], fps[part]
+            pairs = [(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + groups_within(f, NEAR, refs)]
+            pairs = [(min(p), max(p)) for p in pairs if forest.join(*p)]
+            if pairs:
+                out.append(np.array(pairs, np.int64))
+
+    rest: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy() for k in range(3)]
+        rest.append(now)
+        if now[0][0] == now[0][-1] and rest[0][0][-1] == now[0][0]:
+            continue  # one bucket goes on
+        keys, uid, fps = (np.concatenate([r[k] for r in rest]) for k in range(3))
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+        close(keys[:cut], uid[:cut], fps[:cut].view(np.uint64))
+        rest = [[keys[cut:].copy(), uid[cut:].copy(), fps[cut:].copy()]]
+        if sum(map(len, out)) > 200_000:
+            yield flush()
+    if rest:
+        keys, uid, fps = (np.concatenate([r[k] for r in rest]) for k in range(3))
+        close(keys, uid, fps.view(np.uint64))
+    yield flush()
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, width).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["uid", "shingles"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            keep = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], names=["a", "b"])
+
+    return run
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): one row for each row of docs; documents link if their sets of shingles have the similarity.
+
+    Fingerprints propose, exact sets decide. Equal texts are one; texts without words link with each other. component_id
+    is the smallest doc_id reachable; rows of a null doc_id get a class but never name one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("uid"), F.col("text").cast("string").cast("binary").alias("raw"))
+    names = [f"f{k}" for k in range(WIDE)]
+    prints = staged(d.mapInArrow(_wide(width), "doc_id long, uid long, " + ", ".join(f"{x} long" for x in names)), "wide")
+    distinct = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("least"), *(F.max(x).alias(x) for x in names)), "distinct")
+    keys = []
+    for k, bits in enumerate(key_bits(distinct.count(), similarity)):
+        parts = [np.array(sum(1 << b % 64 for b in bits if b // 64 == w), np.uint64).astype(np.int64).item() for w in range(WIDE)]
+        keys.append(F.xxhash64(F.lit(k), *(F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, parts, strict=True) if m)))
+    rows = distinct.select("uid", "f0", F.explode(F.array(*keys)).alias("key")).select("key", "uid", "f0")
+    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    some = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "asked")
+    reader = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("doc_id")).join(some, "uid", "left_semi"), "readers")
+    texts = d.join(reader, (d["uid"] == reader["uid"]) & d["doc_id"].eqNullSafe(reader["doc_id"]), "left_semi").select("uid", "raw")
+    sets = staged(texts.mapInArrow(_sets(width), "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
+    one, two = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    found = connected(links_)
+    if found is None:
+        owner = distinct.select("uid", F.col("least").alias("component_id"))
+    else:
+        linked = staged(distinct.withColumn("node", F.xxhash64("uid")).join(found, "node").select("uid", "root", "least"), "linked")
+        top = staged(linked.groupBy("root").agg(F.min("least").alias("top")), "tops")
+        owner = distinct.join(linked.join(top, "root").select("uid", "top"), "uid", "left").select("uid", F.coalesce("top", "least").alias("component_id"))
+    return prints.select("doc_id", "uid").join(staged(owner, "owners"), "uid").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the near-duplicates: of each class of similar_classes(), the row of its smallest doc_id stays.
 
     Of rows that repeat a doc_id, all stay or all go. Rows of a null doc_id stay.
     """
-    found = classes(docs, width, radius, blocks).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(staged(found, "dropped"), "doc_id", "left_anti")
+    found = similar_classes(docs, width, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(staged(found, "dropped"), "doc_id", "left_anti").select(docs.columns)

@@ -82,9 +82,59 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert len({r.root for r in found}) == 2 and len(found) == 401 + 400
 
 
+def similar(rows, similarity=0.8):
+    def cut(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + min(5, len(w))]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, cls = [cut(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = cls[i], cls[j]
+                cls = [b if c == a else c for c in cls]
+    least = {}
+    for (d, _), c in zip(rows, cls):
+        least[c] = min(d, least.get(c, d))
+    return sorted((d, least[c]) for (d, _), c in zip(rows, cls))
+
+
+def test_similar_classes(spark, rows):
+    rnd = random.Random(8)
+    more = list(rows)
+    for k in range(300, 330):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(150)]
+        for j in (0, 1, 2, 9):
+            edited = list(words)
+            for _ in range(j):
+                edited[rnd.randrange(150)] = "changed"
+            more.append((k * 10 + j, " ".join(edited)))
+    df = spark.createDataFrame([(d, t, 1) for d, t in more], "doc_id long, text string, uid int")
+    assert sorted(tuple(r) for r in simhash.similar_classes(df).collect()) == similar(more)
+
+
 def test_keep_one(spark, rows):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows] + [(None, "null id", "x")], "doc_id long, text string, component_id string")
-    got = simhash.keep_one(df, width=4)
+    got = simhash.keep_one(df)
     assert got.columns == df.columns
-    want = {d for d, _, c in brute(rows) if d == c} | {None}
+    want = {d for d, c in similar(rows) if d == c} | {None}
     assert {r.doc_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("texts", [50_000, 250_000, 10**9])
+def test_keys_find_nearly_all_pairs_at_the_similarity(texts):
+    rnd, hit = random.Random(4), []
+    masks = np.zeros((len(keys := simhash.key_bits(texts)), 64 * simhash.WIDE), bool)
+    for k, bits in enumerate(keys):
+        masks[k, bits] = True
+    for _ in range(400):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+        edited = list(words)
+        for at in (20, 70, 120):
+            edited[at] = "changed"
+        a, b = (simhash.shingle_set(" ".join(w), 5) for w in (words, edited))
+        assert 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.83
+        x = simhash.wide_fingerprint(a) ^ simhash.wide_fingerprint(b)
+        bits = np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool)
+        hit.append(int(np.bitwise_count(x[0])) <= simhash.NEAR and not (masks & bits).any(axis=1).all())
+    assert np.mean(hit) >= 0.97
