@@ -2,10 +2,485 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import analytics
+from loomgraph.functions import series as fn
+from loomgraph.operators import pattern
+from loomgraph.operators.pattern import Edge, Node
+from loomgraph.operators.tdjoin import classify, td_join
+from loomgraph.operators.walk import count_matches, temporal_walk, virtual_edges
+from loomgraph.plans import testgraph
+from loomgraph.plans.model import HybridGraph, first_points, from_lists, from_points
+from loomgraph.session import read
+from loomgraph.sources import loaders, synthetic
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return register
+
+
+# ---- SQL of the window join ----
+
+
+def windows_sql(ts_type: str, w: int, name: str = "win", series: str = "s") -> str:
+    return f"""
+{name}0 AS (SELECT node, ts[1] AS t0, ts[2] - ts[1] AS d, unnest(range(0, len(v) - {w} + 1)) AS i, ts, v FROM {series} WHERE ts_type = '{ts_type}' AND len(v) >= {w}),
+{name}1 AS (SELECT node, t0, d, i, ts[i + 1] AS ti, ts[i + 2] - ts[i + 1] AS di, ts[i + {w}] AS te, list_slice(v, i + 1, i + {w}) AS x FROM {name}0),
+{name}2 AS (SELECT *, list_sum(x) / {w} AS mu FROM {name}1),
+{name}3 AS (SELECT *, sqrt(list_sum(list_transform(x, lambda y: (y - mu) * (y - mu))) / {w}) AS sd FROM {name}2),
+{name} AS (SELECT node, t0, d, i, ti, di, te, CASE WHEN sd = 0 THEN list_transform(x, lambda y: 0.0::DOUBLE) ELSE list_transform(x, lambda y: (y - mu) / sd) END AS z FROM {name}3)"""
+
+
+def _on_grid(relation: str, w: int, i: str, t: str, d: str) -> str:
+    if relation == "none":
+        return "TRUE"
+    at = f"({i} + ({t} - b.t0) // nullif({d}, 0))"
+    rule = {"equal": f"b.i = {at}", "meets": f"b.i = {at} + {w}", "before": f"b.i >= {at} + {w}", "overlaps": f"b.i BETWEEN {at} + 1 AND {at} + {w} - 2"}[relation]
+    return f"{d} <> 0 AND ({t} - b.t0) % nullif({d}, 0) = 0 AND {rule}"
+
+
+_STAMP = {"equal": "a.ti = b.ti AND a.te = b.te", "meets": "b.ti = a.te + 1000000", "overlaps": "a.ti < b.te AND a.te > b.ti AND a.ti <> b.ti", "before": "a.te < b.ti"}
+
+
+def join_sql(pairs: str, relation: str, w: int, threshold: float, out: str = "hit", pinned: bool = False, method: str = "td", win: str = "win") -> str:
+    """CTEs that end in `out` (src, dst[, pin], i, j, dist); pairs: the name of a CTE of src, dst and, if pinned, pin."""
+    key = "src, dst, pin" if pinned else "src, dst"
+    mine = "p.src, p.dst, p.pin" if pinned else "p.src, p.dst"
+    pin = "AND a.i = p.pin" if pinned else ""
+    if method == "td":
+        rule = _on_grid(relation, w, *(("0", "a.ti", "a.di") if pinned else ("a.i", "a.t0", "a.d")))
+    else:
+        rule = _STAMP[relation]
+    keep = f"WHERE cosv >= {threshold}" if method == "td" else ""
+    tie = "i" if method != "td" and relation in ("equal", "meets") else "i DESC"
+    return f"""
+{out}0 AS (SELECT DISTINCT {key} FROM {pairs}),
+{out}1 AS (SELECT {mine}, a.i, b.i AS j, a.z AS za, b.z AS zb FROM {out}0 p JOIN {win} a ON a.node = p.src {pin} JOIN {win} b ON b.node = p.dst WHERE {rule}),
+{out}2 AS (SELECT {key}, i, j, floor(list_distance(za, zb) * 1e5 + 0.5) / 1e5 AS dist, coalesce(list_dot_product(za, zb) / nullif(sqrt(list_dot_product(za, za)) * sqrt(list_dot_product(zb, zb)), 0), 0) AS cosv FROM {out}1),
+{out} AS (SELECT {key}, i::INTEGER AS i, j::INTEGER AS j, dist FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY dist, {tie}, j) AS rn FROM {out}2 {keep}) WHERE rn = 1)"""
+
+
+_GRAPHS = {
+    "trade": (testgraph.trade, testgraph.TRADE_SQL, "revenue"),
+    "users": (testgraph.users, testgraph.USERS_SQL, "count"),
+    "vectors": (testgraph.vectors, testgraph.VECTORS_SQL, "signal"),
+}
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", "i", "j", "dist")
+
+
+def _register_join(name: str, graph: str, relation: str, w: int, threshold: float, ts_type: str | None = None, method: str = "td") -> None:
+    build, sql, own = _GRAPHS[graph]
+    kind = ts_type or own
+    text = f"WITH {sql}, {windows_sql(kind, w)}, {join_sql('e', relation, w, threshold, method=method)} SELECT src, dst, i, j, dist FROM hit"
+    if method == "td" and w <= 2:
+        text += " WHERE FALSE"
+
+    @query(name, text)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = build(spark, sf_dir)
+        return _hits(td_join(g.edges, g.series, kind, relation, w, threshold, method))
+
+
+for _name, _args in {
+    "td_equal": ("trade", "equal", 8, 0.0),
+    "td_meets": ("trade", "meets", 8, 0.3),
+    "td_before": ("trade", "before", 8, 0.7),
+    "td_overlaps": ("trade", "overlaps", 8, 0.6),
+    "td_none": ("trade", "none", 20, 0.5),
+    "td_threshold": ("trade", "overlaps", 8, 0.85),
+    "td_constant_window": ("users", "equal", 3, -1.0),
+    "td_users_overlaps": ("users", "overlaps", 4, 0.85, "value"),
+    "td_users_before": ("users", "before", 7, 0.0, "value"),
+    "td_vectors_overlaps": ("vectors", "overlaps", 30, 0.0),
+    "td_vectors_before": ("vectors", "before", 20, 0.0),
+}.items():
+    _register_join(_name, *_args)
+for _method in ("stamp", "stomp"):
+    for _relation, _w in (("equal", 8), ("overlaps", 8), ("before", 8), ("meets", 8)):
+        _register_join(f"{_method}_{_relation}", "trade", _relation, _w, 0.0, None, _method)
+
+
+def _seconds(g: HybridGraph) -> DataFrame:
+    """Series on a grid of one second, on which the baselines' meets can match."""
+    start = 1_704_067_200_000_000
+    return g.series.withColumn("ts", F.transform("ts", lambda t: start + F.floor((t - start) / testgraph.HOUR) * 1_000_000))
+
+
+_SECONDS = testgraph.VECTORS_SQL.replace("s AS (SELECT vec_id", "s0 AS (SELECT vec_id") + ",\ns AS (SELECT node, ts_type, list_transform(ts, lambda t: 1704067200000000 + (t - 1704067200000000) // 3600000000 * 1000000) AS ts, v FROM s0)"
+
+
+@query("stamp_meets_seconds", f"WITH {_SECONDS}, {windows_sql('signal', 20)}, {join_sql('e', 'meets', 20, 0, method='stamp')} SELECT src, dst, i, j, dist FROM hit")
+def stamp_meets_seconds(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    return _hits(td_join(g.edges, _seconds(g), "signal", "meets", 20, method="stamp"))
+
+
+_SHIFTED = testgraph.VECTORS_SQL.replace("s AS (SELECT vec_id", "s0 AS (SELECT vec_id") + ",\ns AS (SELECT node, ts_type, list_transform(ts, lambda t: t + (node % 2) * 1800000000) AS ts, v FROM s0)"
+
+
+def _half_hour(g: HybridGraph) -> DataFrame:
+    return g.series.withColumn("ts", F.transform("ts", lambda t: t + (F.col("node_id") % 2) * 1_800_000_000))
+
+
+@query("td_misaligned", f"WITH {_SHIFTED}, {windows_sql('signal', 12)}, {join_sql('e', 'overlaps', 12, 0.2)} SELECT src, dst, i, j, dist FROM hit")
+def td_misaligned(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    return _hits(td_join(g.edges, _half_hour(g), "signal", "overlaps", 12, 0.2))
+
+
+@query("td_window_guard", f"WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 86)}, {join_sql('e', 'equal', 86, -1)}, {windows_sql('revenue', 87, 'wide')}, {join_sql('e', 'equal', 87, -1, 'none', win='wide')} SELECT 2 AS w, 0::BIGINT AS n UNION ALL SELECT 86, count(*) FROM hit UNION ALL SELECT 87, count(*) FROM none")
+def td_window_guard(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    out = None
+    for w in (2, 86, 87):
+        one = td_join(g.edges, g.series, "revenue", "equal", w, -1.0).agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("w"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _register_pinned(relation: str, w: int, threshold: float) -> None:
+    text = f"WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', w)}, pinned AS (SELECT src, dst, ((src * 7 + dst) % 70)::INTEGER AS pin FROM e), {join_sql('pinned', relation, w, threshold, pinned=True)} SELECT src, dst, pin, i, j, dist FROM hit"
+
+    @query(f"td_pinned_{relation}", text)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = testgraph.trade(spark, sf_dir)
+        pins = g.edges.withColumn("pin", ((F.col("src") * 7 + F.col("dst")) % 70).cast("int"))
+        return td_join(pins, g.series, "revenue", relation, w, threshold)
+
+
+for _relation, _w, _t in (("equal", 8, -1.0), ("meets", 8, 0.0), ("before", 8, 0.6), ("overlaps", 8, 0.3), ("none", 8, 0.8)):
+    _register_pinned(_relation, _w, _t)
+
+
+@query(
+    "stamp_classify",
+    f"""WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 40)},
+c AS (SELECT p.src, p.dst, CASE WHEN a.ti = b.ti AND a.te = b.te THEN 'equal' WHEN b.ti = a.te + 1000000 THEN 'meets' WHEN a.ti < b.te AND a.te > b.ti THEN 'overlaps' WHEN a.te < b.ti THEN 'before' END AS relation, floor(list_distance(a.z, b.z) * 1e5 + 0.5) / 1e5 AS dist
+ FROM e p JOIN win a ON a.node = p.src JOIN win b ON b.node = p.dst WHERE p.src < 5)
+SELECT src, dst, relation, count(*) AS n, min(dist) AS dist FROM c WHERE relation IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def stamp_classify(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    return classify(g.edges.where("src < 5"), g.series, "revenue", 40)
+
+
+# ---- paths ----
+
+_ASIA = "n.region = 'ASIA'"
+
+
+def _asia_paths(g: HybridGraph, n: int) -> DataFrame:
+    asia = Node("Nation", "region = 'ASIA'")
+    return pattern.hops(g, asia, Edge(("TRADES",)), n, asia)
+
+
+def _paths_sql(n: int) -> str:
+    """CTE asia (edge_id, src, dst) and paths (n0, n1, ..., e1, ...)."""
+    nodes = ", ".join(["e1.src AS n0"] + [f"e{k}.dst AS n{k}" for k in range(1, n + 1)])
+    joins = " ".join(f"JOIN asia e{k} ON e{k}.src = e{k - 1}.dst" + "".join(f" AND e{k}.edge_id <> e{j}.edge_id" for j in range(1, k)) for k in range(2, n + 1))
+    return f"asia AS (SELECT edge_id, src, dst FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.region = 'ASIA' AND b.region = 'ASIA'),\npaths AS (SELECT {nodes} FROM asia e1 {joins})"
+
+
+def _flat(walked: DataFrame, n: int) -> DataFrame:
+    columns = [F.col("nodes")[k].alias(f"n{k}") for k in range(n + 1)]
+    for k in range(n):
+        columns += [F.col("hops")[k][c].alias(f"{c}{k}") for c in ("i", "j", "dist")]
+    return walked.select(*columns)
+
+
+def _register_walk(name: str, n: int, relation: str, w: int, threshold: float, semantics: str, method: str = "td") -> None:
+    columns = ", ".join([f"n{k}" for k in range(n + 1)] + [f"h{k}.i AS i{k}, h{k}.j AS j{k}, h{k}.dist AS dist{k}" for k in range(n)])
+    parts = [testgraph.TRADE_SQL, _paths_sql(n), windows_sql("revenue", w)]
+    if semantics == "2cont":
+        parts.append("pairs AS (" + " UNION ".join(f"SELECT n{k} AS src, n{k + 1} AS dst FROM paths" for k in range(n)) + ")")
+        parts.append(join_sql("pairs", relation, w, threshold, method=method))
+        joins = " ".join(f"JOIN hit h{k} ON h{k}.src = n{k} AND h{k}.dst = n{k + 1}" for k in range(n))
+        text = f"SELECT {columns} FROM paths {joins}"
+    else:
+        done = "paths"
+        for k in range(n):
+            pin = f", j{k - 1} AS pin" if k else ""
+            parts.append(f"front{k} AS (SELECT n{k} AS src, n{k + 1} AS dst{pin} FROM {done})")
+            parts.append(join_sql(f"front{k}", relation, w, threshold, f"hop{k}", pinned=bool(k), method=method))
+            on = f"h.src = p.n{k} AND h.dst = p.n{k + 1}" + (f" AND h.pin = p.j{k - 1}" if k else "")
+            parts.append(f"walk{k} AS (SELECT p.*, h.i AS i{k}, h.j AS j{k}, h.dist AS dist{k} FROM {done} p JOIN hop{k} h ON {on})")
+            done = f"walk{k}"
+        text = f"SELECT * FROM {done}"
+
+    @query(name, "WITH " + ", ".join(parts) + " " + text)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = testgraph.trade(spark, sf_dir)
+        return _flat(temporal_walk(_asia_paths(g, n), g.series, "revenue", relation, w, threshold, semantics, method, n), n)
+
+
+for _n in (1, 2, 3):
+    _register_walk(f"walk2_n{_n}", _n, "overlaps", 8, 0.3, "2cont")
+for _relation, _t in (("equal", -1.0), ("meets", -0.5), ("overlaps", 0.3), ("before", 0.6)):
+    _register_walk(f"walk_cont_n2_{_relation}", 2, _relation, 6, _t, "cont")
+_register_walk("walk_cont_n1", 1, "overlaps", 8, 0.3, "cont")
+_register_walk("walk_cont_n3", 3, "overlaps", 6, 0.2, "cont")
+_register_walk("stamp_walk2_n2", 2, "overlaps", 6, 0.0, "2cont", "stamp")
+_register_walk("stamp_cont_n2", 2, "overlaps", 6, 0.0, "cont", "stamp")
+_register_walk("stomp_walk2_n2", 2, "before", 6, 0.0, "2cont", "stomp")
+_register_walk("stomp_cont_n2", 2, "before", 6, 0.0, "cont", "stomp")
+
+
+@query(
+    "walk_count",
+    f"""WITH {testgraph.TRADE_SQL}, one AS (SELECT src, dst FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.region = 'ASIA' AND b.region = 'EUROPE'),
+{windows_sql('revenue', 8)}, {join_sql('one', 'overlaps', 8, 0.85, 'o')}, {join_sql('one', 'equal', 8, 0.85, 'q')}, {join_sql('one', 'before', 8, 0.85, 'f')}, {join_sql('one', 'meets', 8, 0.85, 'm')}
+SELECT 'overlaps' AS relation, count(*) AS n FROM o UNION ALL SELECT 'equal', count(*) FROM q UNION ALL SELECT 'before', count(*) FROM f UNION ALL SELECT 'meets', count(*) FROM m""",
+)
+def walk_count(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    paths = pattern.match(g, Node("Nation", "region = 'ASIA'"), (Edge(("TRADES",)), Node("Nation", "region = 'EUROPE'")))
+    out = None
+    for relation in ("overlaps", "equal", "before", "meets"):
+        one = count_matches(paths, g.series, "revenue", relation, 8, 0.85).select(F.lit(relation).alias("relation"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "virtual_edges",
+    f"""WITH {testgraph.TRADE_SQL}, {_paths_sql(1)}, {windows_sql('revenue', 8)}, pairs AS (SELECT n0 AS src, n1 AS dst FROM paths), {join_sql('pairs', 'equal', 8, 0.5)}
+SELECT src, dst, a.ts[i + 1] AS src_from, a.ts[i + 8] AS src_to, list_sum(list_slice(a.v, i + 1, i + 8)) AS src_sum, b.ts[j + 1] AS dst_from, b.ts[j + 8] AS dst_to, list_sum(list_slice(b.v, j + 1, j + 8)) AS dst_sum, 8::BIGINT AS sub_length, 0.5::DOUBLE AS threshold, 'revenue' AS ts_type FROM hit JOIN s a ON a.node = src JOIN s b ON b.node = dst""",
+)
+def virtual(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    walked = temporal_walk(_asia_paths(g, 1), g.series, "revenue", "equal", 8, 0.5, n_hops=1)
+    v = virtual_edges(walked, g.series, "revenue", 8, 0.5)
+    total = lambda c: fn.total(F.col(c)["v"])
+    return v.select("src", "dst", F.col("source_sub")[0]["ts"].alias("src_from"), F.col("source_sub")[7]["ts"].alias("src_to"), total("source_sub").alias("src_sum"), F.col("target_sub")[0]["ts"].alias("dst_from"), F.col("target_sub")[7]["ts"].alias("dst_to"), total("target_sub").alias("dst_sum"), "sub_length", "threshold", "ts_type")
+
+
+# ---- patterns ----
+
+
+def _ends(paths: DataFrame, n: int = 1) -> DataFrame:
+    return paths.select(*[F.col("nodes")[k].alias(f"n{k}") for k in range(n + 1)], *[F.col("edge_ids")[k].alias(f"e{k}") for k in range(n)])
+
+
+@query("match_directed", f"WITH {testgraph.USERS_SQL} SELECT src AS n0, dst AS n1, edge_id AS e0 FROM e JOIN n a ON a.node_id = src WHERE a.team = 3")
+def match_directed(spark, sf_dir):
+    return _ends(pattern.match(testgraph.users(spark, sf_dir), Node("User", "team = 3"), (Edge(), Node())))
+
+
+@query("match_undirected", f"WITH {testgraph.USERS_SQL}, both_ways AS (SELECT src AS n0, dst AS n1, edge_id AS e0 FROM e UNION ALL SELECT dst, src, edge_id FROM e WHERE src <> dst) SELECT n0, n1, e0 FROM both_ways JOIN n a ON a.node_id = n0 WHERE a.team = 3")
+def match_undirected(spark, sf_dir):
+    return _ends(pattern.match(testgraph.users(spark, sf_dir), Node("User", "team = 3"), (Edge((), "any"), Node())))
+
+
+@query("match_alternation", f"WITH {testgraph.USERS_SQL}, kinds AS (SELECT type FROM e GROUP BY type ORDER BY type LIMIT 2) SELECT type, count(*) AS n FROM (SELECT type, edge_id FROM e WHERE type IN ('click', 'purchase') UNION ALL SELECT type, edge_id FROM e WHERE type IN ('click', 'purchase') AND FALSE) GROUP BY type")
+def match_alternation(spark, sf_dir):
+    g = testgraph.users(spark, sf_dir)
+    paths = pattern.match(g, Node(), (Edge(("click", "purchase")), Node()))
+    return paths.select(F.col("edge_ids")[0].alias("edge_id")).join(g.edges.select("edge_id", "type"), "edge_id").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "match_owner_pair",
+    f"""WITH {testgraph.VECTORS_SQL} SELECT a.src AS p1, a.dst AS a1, b.dst AS a2, c.src AS p2 FROM e a JOIN e b ON a.dst = b.src AND a.edge_id <> b.edge_id JOIN e c ON c.dst = b.dst AND c.edge_id <> a.edge_id AND c.edge_id <> b.edge_id WHERE a.type = 'NEAR1' AND c.type = 'NEAR1'""",
+)
+def match_owner_pair(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    left = pattern.match(g, Node(), (Edge(("NEAR1",)), Node()), (Edge(), Node()))
+    right = pattern.match(g, Node(), (Edge(("NEAR1",)), Node()))
+    m = pattern.both(left, right, {2: 1})
+    return m.select(F.col("nodes")[0].alias("p1"), F.col("nodes")[1].alias("a1"), F.col("nodes")[2].alias("a2"), F.col("other_nodes")[0].alias("p2"))
+
+
+@query("match_region_differs", f"WITH {testgraph.TRADE_SQL} SELECT a.region AS a_region, b.region AS b_region, count(*) AS n FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.region <> b.region GROUP BY 1, 2")
+def match_region_differs(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    m = pattern.where_nodes(pattern.match(g, Node(), (Edge(), Node())), g, {0: "a", 1: "b"}, "a_region <> b_region", ["region"])
+    r = g.nodes.select("node_id", "region")
+    m = m.select(F.col("nodes")[0].alias("x"), F.col("nodes")[1].alias("y"))
+    m = m.join(r.select(F.col("node_id").alias("x"), F.col("region").alias("a_region")), "x").join(r.select(F.col("node_id").alias("y"), F.col("region").alias("b_region")), "y")
+    return m.groupBy("a_region", "b_region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("match_proximity", f"WITH {testgraph.USERS_SQL} SELECT src AS n0, dst AS n1, edge_id AS e0 FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE abs(a.lat - b.lat) < 1.5")
+def match_proximity(spark, sf_dir):
+    g = testgraph.users(spark, sf_dir)
+    return _ends(pattern.where_nodes(pattern.match(g, Node(), (Edge(), Node())), g, {0: "a", 1: "b"}, "abs(a_lat - b_lat) < 1.5", ["lat"]))
+
+
+@query("match_not_null_all", f"WITH {testgraph.VECTORS_SQL}, have AS (SELECT node AS id FROM s WHERE len(v) >= 30 AND node % 3 <> 0) SELECT src AS n0, dst AS n1, edge_id AS e0 FROM e WHERE src IN (FROM have) AND dst IN (FROM have)")
+def match_not_null_all(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    have = g.series.where((F.size("v") >= 30) & (F.col("node_id") % 3 != 0)).select("node_id")
+    return _ends(pattern.every_node(pattern.match(g, Node(), (Edge(), Node())), have))
+
+
+_TWO = "FROM e e1 JOIN e e2 ON e2.src = e1.dst AND e2.edge_id <> e1.edge_id"
+
+
+@query("match_hops_2", f"WITH {testgraph.VECTORS_SQL} SELECT e1.src AS n0, e1.dst AS n1, e2.dst AS n2, e1.edge_id AS e0, e2.edge_id AS e1 {_TWO}")
+def match_hops_2(spark, sf_dir):
+    return _ends(pattern.hops(testgraph.vectors(spark, sf_dir), Node(), Edge(), 2), 2)
+
+
+@query("match_hops_3", f"WITH {testgraph.TRADE_SQL}, {_paths_sql(3)} SELECT n0, n3, count(*) AS n FROM paths GROUP BY 1, 2")
+def match_hops_3(spark, sf_dir):
+    paths = _asia_paths(testgraph.trade(spark, sf_dir), 3)
+    return paths.groupBy(F.col("nodes")[0].alias("n0"), F.col("nodes")[3].alias("n3")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("match_skip_limit", f"WITH {testgraph.VECTORS_SQL} SELECT e1.src AS n0, e1.dst AS n1, e2.dst AS n2, e1.edge_id AS e0, e2.edge_id AS e1 {_TWO} ORDER BY e1.edge_id, e2.edge_id LIMIT 5 OFFSET 3")
+def match_skip_limit(spark, sf_dir):
+    return _ends(pattern.page(pattern.hops(testgraph.vectors(spark, sf_dir), Node(), Edge(), 2), 3, 5), 2)
+
+
+# ---- ingestion ----
+
+_PEOPLE = "people AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, (c_custkey // 40)::VARCHAR AS last, (c_custkey // 200)::VARCHAR AS city, 1940 + (c_custkey * 7) % 60 AS y FROM customer)"
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("node_id"), F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), F.floor(k / 40).cast("string").alias("last"), F.floor(k / 200).cast("string").alias("city"), F.make_date((F.lit(1940) + (k * 7) % 60).cast("int"), F.lit(1), F.lit(1)).alias("birthdate"))
+
+
+_FATHERS = "fathers AS (SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.last = b.last AND a.gender = 'M' AND b.y - a.y BETWEEN 25 AND 35)"
+
+
+@query("edges_theta", f"WITH {_PEOPLE}, {_FATHERS} SELECT src, dst, 'FATHER_OF' AS type FROM fathers")
+def edges_theta(spark, sf_dir):
+    return loaders.father_of(_people(spark, sf_dir)).select("src", "dst", "type")
+
+
+@query("edges_triangle", f"WITH {_PEOPLE}, {_FATHERS} SELECT DISTINCT m.node_id AS src, c.node_id AS dst, 'MOTHER_OF' AS type FROM fathers JOIN people f ON f.node_id = fathers.src JOIN people c ON c.node_id = fathers.dst AND c.city = f.city JOIN people m ON m.city = c.city AND m.gender = 'F' AND c.y - m.y BETWEEN 25 AND 35")
+def edges_triangle(spark, sf_dir):
+    people = _people(spark, sf_dir)
+    return loaders.mother_of(people, loaders.father_of(people)).select("src", "dst", "type")
+
+
+@query("edges_classmate", f"WITH {_PEOPLE} SELECT DISTINCT a.node_id AS src, b.node_id AS dst, 'WAS_CLASSMATE_OF' AS type FROM people a JOIN people b ON a.city = b.city AND a.y = b.y AND a.node_id <> b.node_id")
+def edges_classmate(spark, sf_dir):
+    return loaders.classmates(_people(spark, sf_dir)).select("src", "dst", "type")
+
+
+@query("series_group_list", "SELECT user_id AS node_id, len(list(value)) AS n, list(value::DECIMAL(18,2) ORDER BY ts, value)[1]::DOUBLE AS first, list(value::DECIMAL(18,2) ORDER BY ts, value)[-1]::DOUBLE AS last, epoch_us(min(ts)) AS t0 FROM events GROUP BY 1")
+def series_group_list(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    s = from_points(e.select(F.col("user_id").alias("node_id"), F.lit("value").alias("ts_type"), "ts", F.col("value").alias("v")))
+    money = lambda c: c.cast("decimal(18,2)").cast("double")
+    return s.select("node_id", F.size("v").cast("long").alias("n"), money(F.col("v")[0]).alias("first"), money(F.element_at("v", -1)).alias("last"), F.col("ts")[0].alias("t0"))
+
+
+@query("series_json_parse", "SELECT c_custkey AS node_id, 3::BIGINT AS n, (c_custkey + 0.5)::DOUBLE AS first, (c_custkey * 2)::DOUBLE AS last, (1704067200000000 + 2 * 86400000000)::BIGINT AS t_last FROM customer")
+def series_json_parse(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey").cast("string")
+    lists = c.select("c_custkey", F.concat(F.lit("['2024-01-01T00:00:00+0000', '2024-01-02T00:00:00+0000', \"2024-01-03T00:00:00+0000\"]")).alias("ts"), F.concat(F.lit("["), k, F.lit(".5, , 1.25,"), (F.col("c_custkey") * 2).cast("string"), F.lit("]")).alias("v"))
+    s = from_lists(lists, "x", "ts", "v", "c_custkey")
+    return s.select("node_id", F.size("v").cast("long").alias("n"), F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"), F.element_at("ts", -1).alias("t_last"))
+
+
+@query("list_slice_500", "SELECT vec_id AS node_id, list_sum(list_slice(embedding::DOUBLE[], 1, 50)) AS total, least(len(embedding), 50)::BIGINT AS n FROM embeddings")
+def list_slice_500(spark, sf_dir):
+    s = first_points(testgraph.vectors(spark, sf_dir).series, 50)
+    return s.select("node_id", fn.total(F.col("v")).alias("total"), F.size("v").cast("long").alias("n"))
+
+
+@query("node_sample")
+def node_sample(spark, sf_dir):
+    return synthetic.half(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id")))
+
+
+@query("balance_gen")
+def balance_gen(spark, sf_dir):
+    levels = F.array(*[F.lit(x[0]) for x in synthetic.LEVELS])
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.element_at(levels, (F.col("c_custkey") % 6 + 1).cast("int")).alias("level"))
+    return synthetic.balances(synthetic.half(c))
+
+
+# ---- primitives ----
+
+
+@query("znorm_windows", f"WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 8)} SELECT node AS node_id, i::INTEGER AS i, round(list_sum(list_transform(z, lambda y: abs(y))), 6) AS size, round(z[1], 6) AS z0 FROM win")
+def znorm_windows(spark, sf_dir):
+    w = fn.windows(testgraph.trade(spark, sf_dir).series, 8)
+    return w.select("node_id", "i", F.round(fn.total(F.transform("z", F.abs)), 6).alias("size"), F.round(F.col("z")[0], 6).alias("z0"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = testgraph.vectors(spark, sf_dir)
+    v = g.series.select("node_id", "v")
+    return g.edges.select("src", "dst").join(v.select(F.col("node_id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("node_id").alias("dst"), F.col("v").alias("b")), "dst")
+
+
+@query("euclid", f"WITH {testgraph.VECTORS_SQL} SELECT src, dst, floor(list_distance(a.v, b.v) * 1e5 + 0.5) / 1e5 AS dist FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst")
+def euclid(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("src", "dst", fn.round_half_up(fn.euclidean(F.col("a"), F.col("b"))).alias("dist"))
+
+
+@query("cosine", f"WITH {testgraph.VECTORS_SQL} SELECT src, dst, floor(list_cosine_similarity(a.v, b.v) * 1e5 + 0.5) / 1e5 AS cosine FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst")
+def cosine(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("src", "dst", fn.round_half_up(fn.cosine(F.col("a"), F.col("b"))).alias("cosine"))
+
+
+@query("granularity_unit", f"WITH {testgraph.VECTORS_SQL}, g AS (SELECT CASE node % 4 WHEN 0 THEN 24 WHEN 1 THEN 1 ELSE 0 END AS hours, node % 4 AS r, node FROM s) SELECT node AS node_id, CASE r WHEN 0 THEN 'DAYS' WHEN 1 THEN 'HOURS' WHEN 2 THEN 'MINUTES' ELSE 'SECONDS' END AS unit FROM g")
+def granularity_unit(spark, sf_dir):
+    s = testgraph.vectors(spark, sf_dir).series
+    step = F.element_at(F.array(*[F.lit(x) for x in (fn.DAY, fn.HOUR, fn.MINUTE * 7, fn.SECOND * 61)]), (F.col("node_id") % 4 + 1).cast("int"))
+    return s.select("node_id", fn.granularity(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k * step)).alias("unit"))
+
+
+@query("rolling_count", f"WITH {testgraph.USERS_SQL} SELECT ts_type, count(*) AS n FROM (SELECT ts_type, unnest(range(0, len(v) - 7 + 1)) AS i FROM s) GROUP BY 1")
+def rolling_count(spark, sf_dir):
+    s = testgraph.users(spark, sf_dir).series.where(F.size("v") >= 7)
+    return s.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("v") - 7))).groupBy("ts_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- analytics ----
+
+_RESULTS = "r AS (SELECT o_orderpriority AS dataset, o_orderstatus AS method, (CASE WHEN o_orderkey % 3 = 0 THEN '5k' WHEN o_orderkey % 3 = 1 THEN '1.5M' ELSE 'x' END) AS label, round(o_totalprice) AS t FROM orders)"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    return read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("method"), F.when(k == 0, "5k").when(k == 1, "1.5M").otherwise("x").alias("label"), F.round("o_totalprice").alias("t"))
+
+
+@query("speedup_pivot", f"WITH {_RESULTS}, m AS (SELECT dataset, method, avg(t) AS mean FROM r GROUP BY 1, 2) SELECT a.dataset, a.method, round(a.mean / nullif(b.mean, 0), 9) AS ratio FROM m a JOIN m b ON a.dataset = b.dataset AND b.method = 'F'")
+def speedup_pivot(spark, sf_dir):
+    return analytics.speedup(_results(spark, sf_dir), ["dataset"], "method", "t", "F").withColumn("ratio", F.round("ratio", 9))
+
+
+@query("selectivity_pivot", f"WITH {_RESULTS} SELECT dataset, round(avg(t) FILTER (method = 'F'), 6) AS F, round(avg(t) FILTER (method = 'O'), 6) AS O FROM r GROUP BY 1")
+def selectivity_pivot(spark, sf_dir):
+    p = analytics.pivot_mean(_results(spark, sf_dir), ["dataset"], "method", ["F", "O"], "t")
+    return p.select("dataset", F.round("F", 6).alias("F"), F.round("O", 6).alias("O"))
+
+
+@query("size_labels", f"WITH {_RESULTS} SELECT label, CASE label WHEN '5k' THEN 5000 WHEN '1.5M' THEN 1500000 END::BIGINT AS size, count(*) AS n FROM r GROUP BY 1, 2")
+def size_labels(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return r.groupBy("label", analytics.parse_size(F.col("label")).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
