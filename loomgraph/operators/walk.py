@@ -45,7 +45,7 @@ def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: s
             over = now.where(F.size("nodes") == k + 1)
             done = over if done is None else done.unionByName(over)
             now = now.where(F.size("nodes") > k + 1)
-        here = now.withColumn("src", F.col("nodes")[k]).withColumn("dst", F.col("nodes")[k + 1])
+        here = now.withColumn("src", F.get("nodes", F.lit(k))).withColumn("dst", F.get("nodes", F.lit(k + 1)))
         if semantics == "2cont":
             found = hits.select(*_HOP)
             here = here.drop("pin").join(found, ["src", "dst"])

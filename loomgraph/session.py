@@ -16,8 +16,14 @@ _shipped: set[str] = set()
 _own: dict[str, str] = {}
 
 
+#: Rows that go to Python at a time, unless the session says otherwise: a batch of texts, in several copies, is some megabytes.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
     """Put this package on the executors' Python path, once for each application."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
