@@ -29,6 +29,8 @@ _INDEX = pa.schema([("file", "string"), ("offset", "int64"), ("length", "int64")
 _RECORD = pa.schema([("page_id", "int64"), ("url", "string"), ("record_type", "string"), ("refers_to", "int64"), ("payload_digest", "string"), ("payload_bytes", "int64"), ("payload", "binary")])
 #: An archive file is closed beyond this size. Ranges join over gaps up to GAP, into reads up to SPAN.
 FILE_BYTES, GAP, SPAN = 256 << 20, 64 << 10, 4 << 20
+#: What a reading task reads, about.
+READ_BYTES = 16 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -182,7 +184,9 @@ def _reader(folder: str, with_payload: bool):
 def read(folder: str, selected: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of selected (an index, or part of one) name. Revisits have a null payload."""
     ship(selected.sparkSession)
-    ranges = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ranges = selected.select("file", "offset", "length")
+    total = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # tasks by what they read, not by the index's size
+    ranges = ranges.repartitionByRange(max(1, -(-total // READ_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_reader(folder, with_payload), RECORD)
 
 
