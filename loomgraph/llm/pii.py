@@ -179,7 +179,7 @@ def _undotted(m: Mapped) -> list[tuple[str, int, int]]:
         skip = parts[-1].end() if spoken and parts and re.fullmatch(r"[ \t]+\.[ \t]+", parts[-1].group()) else 0
         labels = domain.split(".")
         end = x.end("domain")
-        if not re.fullmatch(r"[A-Za-z]{2,24}", labels[-1]):
+        if not re.fullmatch(r"[A-Za-z]{2,24}", labels[-1]) or labels[-1].lower() in ("at", "dot", "point", "punkt", "punto"):
             continue
         found.append(("email", *m.source(x.start("local") + skip, end)))
     for x in _disguised_ip.finditer(m.text):
