@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.series import granularity
 from loomgraph.operators import kernel
 from loomgraph.operators.relations import Relation
 from loomgraph.session import ship
@@ -99,6 +100,15 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     return joined.mapInArrow(_kernel(w, r, float(threshold), method), f"src {kind['src']}, dst {kind['dst']}, pin int, i int, j int, dist double")
 
 
+def compatible_pairs(pairs: DataFrame, series: DataFrame, ts_type: str) -> DataFrame:
+    """pairs whose series are of one granularity (days, hours, minutes or seconds): the strict test, to be asked for before
+    a join. Nodes without the series, and series of under two points or of an odd step, go with nothing."""
+    unit = series.where(F.col("ts_type") == ts_type).select("node_id", granularity(F.col("ts")).alias("unit")).where("unit is not null")
+    a = unit.select(F.col("node_id").alias("src"), "unit")
+    b = unit.select(F.col("node_id").alias("dst"), F.col("unit").alias("other"))
+    return pairs.join(a, "src").join(b, "dst").where("unit = other").select(*pairs.columns)
+
+
 def classify(pairs: DataFrame, series: DataFrame, ts_type: str, w: int) -> DataFrame:
     """(src, dst, relation, n, dist): window pairs of each relation when none is asked for, as the baselines sort them.
 

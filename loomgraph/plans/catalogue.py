@@ -11,7 +11,7 @@ from loomgraph.functions import analytics
 from loomgraph.functions import series as fn
 from loomgraph.operators import pattern
 from loomgraph.operators.pattern import Edge, Node
-from loomgraph.operators.tdjoin import classify, td_join
+from loomgraph.operators.tdjoin import classify, compatible_pairs, td_join
 from loomgraph.operators.walk import count_matches, temporal_walk, virtual_edges
 from loomgraph.plans import testgraph
 from loomgraph.plans.model import HybridGraph, first_points, from_lists, from_points
@@ -445,6 +445,14 @@ def granularity_unit(spark, sf_dir):
     return s.select("node_id", fn.granularity(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k * step)).alias("unit"))
 
 
+@query("compatible_pairs", f"WITH {testgraph.VECTORS_SQL} SELECT src, dst FROM e WHERE (src % 3 = 2) = (dst % 3 = 2)")
+def compatible(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    step = F.element_at(F.array(F.lit(fn.HOUR), F.lit(2 * fn.HOUR), F.lit(fn.MINUTE)), (F.col("node_id") % 3 + 1).cast("int"))
+    s = g.series.withColumn("ts", F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda k: k * step))
+    return compatible_pairs(g.edges.select("src", "dst"), s, "signal")
+
+
 @query("rolling_count", f"WITH {testgraph.USERS_SQL} SELECT ts_type, count(*) AS n FROM (SELECT ts_type, unnest(range(0, len(v) - 7 + 1)) AS i FROM s) GROUP BY 1")
 def rolling_count(spark, sf_dir):
     s = testgraph.users(spark, sf_dir).series.where(F.size("v") >= 7)

@@ -13,7 +13,8 @@ from loomgraph.plans.model import first_points, from_lists
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
-#: Bank graph, fixed file formats: node files as (file, label, key, columns with kinds), `|`-separated with a header.
+# The file formats and the names in them.
+#: Bank graph: node files as (file, label, key, columns with kinds), `|`-separated with a header.
 BANK_NODES = {
     "Account": ("accountId", "accountId long, createTime timestamp, isBlocked boolean, accountType string, nickname string, phonenum string, email string, freqLoginType string, lastLoginTime millis, accountLevel string"),
     "Company": ("companyId", "companyId long, companyName string, isBlocked boolean, createTime timestamp, country string, city string, business string, description string, url string"),
