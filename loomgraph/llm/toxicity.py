@@ -158,7 +158,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
     """A classifier from the rows of docs (doc_id, text) that have a toxic label and are not held out.
 
-    Rows that repeat an id count as often; null texts have no signal. Without labelled rows of both classes every score
+    Labels that repeat count once, documents that repeat an id each; null texts have no signal. Without labelled rows of both classes every score
     is the rate of toxic labels (0 without labels).
     """
     spark = docs.sparkSession
@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     bound = F.when(F.col("toxic") == 1, min(1.0, per_class / toxic)).otherwise(min(1.0, per_class / clean))
     chosen = known.where(place < bound)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(place < max(min(1.0, per_class / toxic), min(1.0, per_class / clean)))
+    # at most about 2 * per_class rows, whatever the input: small enough to go to where the texts are
+    chosen = F.broadcast(staged(chosen.distinct(), "chosen"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = staged(texts.join(chosen, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counted = sample.mapInArrow(_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
