@@ -2,7 +2,7 @@
 
 Base spans are what fixed patterns find in the text as it is. Beyond them, a transducer rewrites a text piece by piece
 (look-alike letters and digits to ASCII, zero-width characters to nothing, "at" and "dot" disguises to their signs, runs
-of spelled digits to digits) and keeps for every output character the source characters that it stands for. The same
+of spelled digits to digits, and letters among digits too) and keeps for every output character the source characters that it stands for. The same
 patterns find identifiers in its output, and their spans are mapped back. Only stretches around a disguise are
 rewritten, so that plain text yields base spans alone.
 """
@@ -100,15 +100,15 @@ _digit_word = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _spelled = re.compile(rf"(?<![^\W_])(?:{_digit_word}|[0-9]+)(?:(?:[ \t]*[-.,][ \t]*|[ \t]+)(?:{_digit_word}|[0-9]+|plus|dot|point))*(?![^\W_])", re.I)
 _one = re.compile(rf"{_digit_word}(?![^\W\d_])", re.I)
 
-_wrap_at = r"[ \t]*(?:\[[ \t]*(?:at|@)[ \t]*\]|\([ \t]*(?:at|@)[ \t]*\)|\{[ \t]*(?:at|@)[ \t]*\}|<[ \t]*(?:at|@)[ \t]*>|_at_|-at-)[ \t]*|[ \t]+(?:at|arroba)[ \t]+|[ \t]+@[ \t]*|[ \t]*@[ \t]+"
-_wrap_dot = r"[ \t]*(?:\[[ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\]|\([ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\)|\{[ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\}|<[ \t]*(?:dot|\.)[ \t]*>|_dot_|-dot-)[ \t]*|[ \t]+(?:dot|punkt|punto)[ \t]+|[ \t]+\.[ \t]+"
+_wrap_at = r"[ \t]*(?:\[[ \t]*(?:at|ät|a|@)[ \t]*\]|\([ \t]*(?:at|ät|a|@)[ \t]*\)|\{[ \t]*(?:at|ät|a|@)[ \t]*\}|<[ \t]*(?:at|@)[ \t]*>|_at_|-at-)[ \t]*|[ \t]+(?:at|ät|arroba|arobase)[ \t]+|[ \t]+@[ \t]*|[ \t]*@[ \t]+"
+_wrap_dot = r"[ \t]*(?:\[[ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\]|\([ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\)|\{[ \t]*(?:dot|punkt|point|punto|\.)[ \t]*\}|<[ \t]*(?:dot|\.)[ \t]*>|_dot_|-dot-)[ \t]*|[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]+\.[ \t]+"
 _dot, _at = re.compile(_wrap_dot, re.I), re.compile(_wrap_at, re.I)
 _label, _loc = r"[A-Za-z0-9][A-Za-z0-9-]{0,62}", r"[A-Za-z0-9_%+-]{1,64}"
 _disguised_email = re.compile(rf"(?<![A-Za-z0-9_%+-])(?P<local>{_loc}(?:(?:\.|{_wrap_dot}){_loc}){{0,4}}+)(?P<at>@|{_wrap_at})(?P<domain>{_label}(?:(?P<dots>\.|{_wrap_dot}){_label}){{1,5}})", re.I)
 _disguised_ip = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_wrap_dot})[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _odd = re.compile("[^\x00-\x7fÀ-ɏ]")
 _spelled_hint = re.compile(rf"(?<![^\W_]){_digit_word}(?:[ \t]*[-.,]?[ \t]*)(?:{_digit_word}|[0-9])", re.I)
-_dot_hint = re.compile(r"dot|punkt|punto|point|arroba|[\[({<_-][ \t]*(?:at|@|\.)[ \t]*[\])}>_-]|[ \t]@|@[ \t]", re.I)
+_dot_hint = re.compile(r"dot|punkt|punto|point|arroba|arobase|[\[({<_-][ \t]*(?:at|ät|a|@|\.)[ \t]*[\])}>_-]|[ \t]@|@[ \t]", re.I)
 _ascii = {}
 
 
@@ -171,7 +171,7 @@ def _undotted(m: Mapped) -> list[tuple[str, int, int]]:
         plain_at, plain_dots = x["at"] == "@", domain == x["domain"]
         if plain_at and plain_dots and _dot.sub(".", x["local"]) == x["local"]:
             continue  # an email as it is
-        spoken = re.fullmatch(r"[ \t]+(?:at|arroba)[ \t]+", x["at"], re.I)
+        spoken = re.fullmatch(r"[ \t]+(?:at|ät|arroba|arobase)[ \t]+", x["at"], re.I)
         if spoken and plain_dots and domain.count(".") and not re.search(r"\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|co)$", domain, re.I):
             continue  # "at" before some dotted word is prose
         local = x["local"]
@@ -215,12 +215,28 @@ def _respelled(m: Mapped) -> Mapped | None:
     return m.replaced(pieces)
 
 
+#: Letters that stand for digits among digits.
+AS_DIGITS = str.maketrans("OoIl|", "00111")
+_numeral = re.compile(r"(?<![^\W_])[+]?[0-9OoIl|]+(?:[ ().-]{1,2}[0-9OoIl|]+)*(?![^\W_])")
+_numeral_hint = re.compile(r"[0-9][ ().-]{0,2}[OoIl|]|[OoIl|][ ().-]{0,2}[0-9]")
+
+
+def _numbered(m: Mapped) -> Mapped | None:
+    """m with letters among digits as digits, in runs that are digits for half at least; None if there is none."""
+    pieces = []
+    for run in _numeral.finditer(m.text):
+        letters = [k for k, c in enumerate(run.group()) if c in "OoIl|"]
+        if letters and len(_digits(run.group())) >= len(letters):
+            pieces += [(run.start() + k, run.start() + k + 1, run.group()[k].translate(AS_DIGITS)) for k in letters]
+    return m.replaced(pieces) if pieces else None
+
+
 REACH = 160
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
     """Where a disguise may be, with what is around it; overlapping stretches are one."""
-    marks = [m.span() for p in (_odd, _spelled_hint, _dot_hint) for m in p.finditer(text)]
+    marks = [m.span() for p in (_odd, _spelled_hint, _dot_hint, _numeral_hint) for m in p.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(marks):
         a, b = max(0, a - REACH), min(len(text), b + REACH)
@@ -237,7 +253,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     for lo, hi in _stretches(text):
         m = Mapped.of(text[lo:hi], lo)
         f = m.folded() if _odd.search(m.text) else m
-        views = [f] + ([r] if (r := _respelled(f)) is not None else [])
+        views = [f, *(r for r in (_respelled(f), _numbered(f)) if r is not None)]
         for k, v in enumerate(views):
             if v is not m:
                 for kind, a, b in base_spans(v.text):

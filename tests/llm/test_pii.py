@@ -47,6 +47,11 @@ DISGUISED = [
     ("call +four nine 151 234 five six seven now", "phone", "+four nine 151 234 five six seven"),
     ("ruf +vier neun eins fünf eins zwei drei vier fünf sechs an", "phone", "+vier neun eins fünf eins zwei drei vier fünf sechs"),
     ("call +４９ 151 2345678", "phone", "+４９ 151 2345678"),
+    ("card 4lll 1111 IIII 1111 ok", "card", "4lll 1111 IIII 1111"),
+    ("call +49 l5l 2345 67O now", "phone", "+49 l5l 2345 67O"),
+    ("host 1O.0.0.l", "ip", "1O.0.0.l"),
+    ("mail john_at_example_dot_com", "email", "john_at_example_dot_com"),
+    ("courriel jean arobase exemple point fr", "email", "jean arobase exemple point fr"),
 ]
 
 
@@ -58,7 +63,7 @@ def test_disguises(text, kind, what):
     assert all(s in spans for s in base)
 
 
-@pytest.mark.parametrize("text", ["Meet me at home. Dot your i and at last. one two three, and four dogs", "the dot at the end of the line. At noon.", "un deux trois. Un homme et un chien", "a point at issue dot dot dot", "look at it . then go", "version 1 dot 2", "тест текст", "at", "(at) (dot) [.]", "see chapter 1 . 2 . 3", "it was at page.Next line"])
+@pytest.mark.parametrize("text", ["Meet me at home. Dot your i and at last. one two three, and four dogs", "the dot at the end of the line. At noon.", "un deux trois. Un homme et un chien", "a point at issue dot dot dot", "look at it . then go", "version 1 dot 2", "тест текст", "at", "(at) (dot) [.]", "see chapter 1 . 2 . 3", "Il a 1 I 2 O 3 ou", "10 o 12 l 14 of 300 I", "it was at page.Next line"])
 def test_prose_has_no_span(text):
     assert pii.find(text) == ([], [])
 
