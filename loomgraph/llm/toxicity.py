@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.langid import is_held_out
-from loomgraph.session import ship, staged
+from loomgraph.session import ship, staged, tidy
 
 PER_CLASS, SIGNALS, BEGINNINGS, THRESHOLD = 5000, 600, (4, 5, 6), 0.3
 _word = re.compile(r"[^\W\d_]+")
@@ -146,6 +146,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300,
     return w, float(b)
 
 
+def thinned(x: np.ndarray, y: np.ndarray, weight: np.ndarray, keep: float = 0.5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows, and the likely toxic ones again with few of their signals: one signal must do where a text is short."""
+    rnd, at = np.random.default_rng(seed), np.flatnonzero((y > 0.5) & (x.sum(axis=1) > 1))
+    few = x[at] * (rnd.random((len(at), x.shape[1])) < keep)
+    left = few.sum(axis=1) > 0
+    return np.concatenate((x, few[left])), np.concatenate((y, y[at][left])), np.concatenate((weight, weight[at][left]))
+
+
 class Classifier:
     def __init__(self, names: list[str], w: np.ndarray, b: float) -> None:
         self.voters, self.w, self.b = Voters(names), np.asarray(w, float), b
@@ -177,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = staged(texts.join(chosen, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = sample.mapInArrow(_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(tidy(_counts), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # a feature in the lexicon has a chance only where toxic rows have it over their share: what is collected is far below the vocabulary
     ahead = (F.col("toxic") >= 5) & (F.col("toxic") * float(size.get(0, 0) + 1) > 3.0 * F.col("clean") * float(size.get(1, 0) + 1))
     best = counted.where(ahead).orderBy(F.desc(F.col("toxic") - F.col("clean")), "feature").limit(20 * SIGNALS)
@@ -189,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
             hits = pa.array([voters.fire(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), hits, batch.column(2)], names=["doc_id", "hits", "toxic"])
 
-    rows = sorted((r["doc_id"], r["toxic"], r["hits"]) for r in sample.mapInArrow(fired, "doc_id long, hits array<int>, toxic int").collect())
+    rows = sorted((r["doc_id"], r["toxic"], r["hits"]) for r in sample.mapInArrow(tidy(fired), "doc_id long, hits array<int>, toxic int").collect())
     x, y = np.zeros((len(rows), voters.n), np.float32), np.array([r[1] for r in rows], np.int64)
     for k, (_, _, hits) in enumerate(rows):
         x[k, hits] = 1
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
         return Classifier([], np.zeros(len(PATTERNS)), float(np.log(toxic / clean)))
     weight = np.where(y == 1, toxic / (y == 1).sum(), clean / (y == 0).sum())
     q, _, _ = label_model(x, y, weight)
-    w, b = logistic(x, q, weight)
+    w, b = logistic(*thinned(x, q, weight))
     return Classifier(names, w, b)
 
 
@@ -213,5 +221,5 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, score double")
+    found = rows.mapInArrow(tidy(run), "doc_id long, score double")
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
