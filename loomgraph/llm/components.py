@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship, staged
+from loomgraph.session import ship, staged, tidy
 
 
 class Forest:
@@ -68,7 +68,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame | None:
     spark = edges.sparkSession
     ship(spark)
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = e.select(F.xxhash64(a).alias("a"), F.xxhash64(b).alias("b")).mapInArrow(_spanning, "a long, b long")
+    # written first: one Python worker beside another in a task would double what the workers hold
+    e = staged(e.select(F.xxhash64(a).alias("a"), F.xxhash64(b).alias("b")), "links").mapInArrow(tidy(_spanning), "a long, b long")
     e = staged(e.where("a <> b"), "edges")
     maps: list[DataFrame] = []
     while not e.isEmpty():

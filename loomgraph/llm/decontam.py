@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import ship, tidy
 
 LEAST_WORDS, REPEATS, SAMPLED, BLOCK_BYTES = 5, 64, 2, 4 << 20
 SCHEMA = "doc_id long, item_id long, start_word int, end_word int, distance int, item_words int"
@@ -226,9 +226,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for part in blocks(benchmark):
-        found = rows.mapInArrow(_search(Items(part)), SCHEMA)
+        found = rows.mapInArrow(tidy(_search(Items(part))), SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return rows.mapInArrow(_search(Items([])), SCHEMA).limit(0) if out is None else out
+    return rows.mapInArrow(tidy(_search(Items([]))), SCHEMA).limit(0) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not items.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs
 
 

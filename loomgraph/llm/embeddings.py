@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import Forest, connected
-from loomgraph.session import ship, staged
+from loomgraph.session import ship, staged, tidy
 
 THRESHOLD, TABLES, SURE, CHUNK, SEED = 0.93, 12, 5.0, 2048, 17
 
@@ -198,7 +198,7 @@ def duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     usable = v.where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
     distinct = usable.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.any_value("embedding").alias("embedding"))
     distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    coded = staged(distinct.select("label", "uid", "n", "embedding").mapInArrow(_coder(tables), _CODED), "codes")
+    coded = staged(distinct.select("label", "uid", "n", "embedding").mapInArrow(tidy(_coder(tables)), _CODED), "codes")
 
     # rows by bucket; buckets over the chunk size become pairs of chunks
     rows = coded.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
@@ -212,7 +212,7 @@ def duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = T
     rows = rows.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
     order = [*at, "lo", "hi"]
     rows = rows.select(*order, "own", "uid", "n", "keys", "code", "factor", "vec").repartition(*order).sortWithinPartitions(*order)
-    met = staged(rows.mapInArrow(_meet(threshold), "uid long, links long, other long"), "links")
+    met = staged(rows.mapInArrow(tidy(_meet(threshold)), "uid long, links long, other long"), "links")
 
     counts = staged(met.groupBy("uid").agg(F.sum("links").alias("links")), "counts")
     owner = coded.select("uid").join(distinct.select("uid", *same, "n", "least"), "uid")

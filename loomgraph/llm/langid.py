@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import ship, tidy
 
 SPAN, HIDDEN, PER_LANGUAGE, SPANS, EPOCHS, BATCH = 64, 8, 800, 5, 4, 128
 UNDETERMINED = "und"
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
         return Network([])
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(place < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_sample(SPANS), "lang string, doc_id long, piece binary").collect()
+    rows = known.where(place < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(tidy(_sample(SPANS)), "lang string, doc_id long, piece binary").collect()
     rows = sorted((r["lang"], r["doc_id"], bytes(r["piece"])) for r in rows)
     classes = sorted(counts)
     net = Network(classes)
@@ -247,7 +247,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_label(net), "doc_id long, lang_pred string, score double")
+    found = rows.mapInArrow(tidy(_label(net)), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -271,4 +271,4 @@ def accepted(docs: DataFrame, net: Network, least_score: float = LEAST_SCORE) ->
                 found = net.documents(part.column(at).to_pylist())
                 yield part.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least_score for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.session import fresh_path, ship, staged
+from loomgraph.session import fresh_path, ship, staged, tidy
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 1000
@@ -201,7 +201,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    encoded = rows.mapInArrow(_encode(tokenizer or default_path(), end_id), SCHEMA)
+    encoded = rows.mapInArrow(tidy(_encode(tokenizer or default_path(), end_id)), SCHEMA)
     (
         encoded.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.page.row.count.limit", PAGE_ROWS)
         .option("parquet.dictionary.page.size", 1 << 20).option("parquet.enable.dictionary", "true").option("parquet.writer.version", "PARQUET_2_0")
@@ -233,7 +233,7 @@ def digests(spark, folder: str) -> DataFrame:
     """
     ship(spark)
     rows = read(spark, folder).withColumn("file", F.col("_metadata.file_name")).select("doc_id", "n_tokens", "ids", "file")
-    rows = staged(rows.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, file string"), "checksums")
+    rows = staged(rows.mapInArrow(tidy(_checksums), "doc_id long, n_tokens long, ids_crc32 long, file string"), "checksums")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"))
     before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

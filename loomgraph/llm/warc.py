@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import fresh_path, ship, staged
+from loomgraph.session import fresh_path, ship, staged, tidy
 
 INDEX = "file string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     rows = keyed.join(owners, ["sha", "n"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("owner")) & F.col("owner").isNotNull(), F.lit(False))
     rows = rows.select("page_id", "url", "payload", _base32("sha").alias("digest"), revisit.alias("revisit"), F.when(revisit, F.col("owner")).alias("refers_to"))
-    return staged(rows.mapInArrow(_writer(folder), INDEX), "warc-index")
+    return staged(rows.mapInArrow(tidy(_writer(folder)), INDEX), "warc-index")
 
 
 def _base32(hex_column: str) -> F.Column:
@@ -187,7 +187,7 @@ def read(folder: str, selected: DataFrame, with_payload: bool = True) -> DataFra
     ranges = selected.select("file", "offset", "length")
     total = ranges.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]  # tasks by what they read, not by the index's size
     ranges = ranges.repartitionByRange(max(1, -(-total // READ_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
-    return ranges.mapInArrow(_reader(folder, with_payload), RECORD)
+    return ranges.mapInArrow(tidy(_reader(folder, with_payload)), RECORD)
 
 
 def payloads(folder: str, index: DataFrame, selected: DataFrame) -> DataFrame:
