@@ -142,17 +142,26 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, .
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
     """docs, all columns, as the mix takes them: each row as often as its words are taken, to the nearest whole number.
 
-    A source's run of words ends within one document, so rounding costs half a document a source. Rows that repeat
-    doc_id, source and size share their copies evenly. Documents without words are not taken.
+    The mix takes the first words of a source's run, so in its shuffled order all rows are taken `passes` times and those
+    up to one last row once more: a row for each source says so, and texts need no shuffle. A run ends within one document,
+    so rounding costs half a document a source. Rows that repeat doc_id and size are taken alike. Documents without words
+    are not taken.
     """
     rows, shares, pieces = schedule(docs, block_words, pattern)
-    taken = pieces.groupBy(F.col("source").alias("s_"), F.col("shard").alias("h_"), F.col("place").alias("p_")).agg(F.sum("n_words").alias("taken"))
-    on = rows["source"].eqNullSafe(F.col("s_")) & (rows["shard"] == F.col("h_")) & (rows["place"] == F.col("p_"))
-    copies = rows.join(taken, on).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
-    alike = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
-    both = copies.join(alike, copies["doc_id"].eqNullSafe(alike["doc_id"]) & copies["source"].eqNullSafe(alike["source"]) & (copies["size"] == alike["size"]))
-    copies = both.select(copies["doc_id"].alias("d_"), copies["source"].alias("s_"), copies["size"].alias("n_"), F.floor(F.col("taken") / (copies["size"] * F.col("rows")) + 0.5).cast("int").alias("copies_"))
-    copies = staged(copies.where("copies_ > 0"), "copies")
+    n_shards = max(1, -(-rows.count() // SHARD_ROWS))
+    none = F.lit((1 << 63) - 1)
+    took = pieces.groupBy(F.col("source").alias("s_")).agg(F.sum("n_words").alias("words_"))
+    took = shares.select("source", "total").join(took, F.col("source").eqNullSafe(F.col("s_"))).select("s_", F.expr("words_ div total").cast("int").alias("passes_"), F.expr("words_ % total").alias("left_"))
+    took = staged(took, "took")
+    at = lambda prefix: F.struct(F.col(f"{prefix}shard").cast("long").alias("h"), F.xxhash64(F.col(f"{prefix}doc_id"), F.lit("mix")).alias("at"), F.coalesce(F.col(f"{prefix}doc_id"), none).alias("d"), F.col(f"{prefix}size").alias("n"))
+    once_more = rows.where("size > 0").join(took, F.col("source").eqNullSafe(F.col("s_"))).where("start + size / 2 <= left_")
+    last = once_more.groupBy("s_").agg(F.max(at("")).alias("last_"))
+    ends = took.join(last.withColumnRenamed("s_", "e_"), F.col("s_").eqNullSafe(F.col("e_")), "left").select("s_", "passes_", "last_")
+    ends = staged(ends, "ends")
     keyed = docs.select(F.struct("*").alias("row_"))
-    on = F.col("row_.doc_id").cast("long").eqNullSafe(F.col("d_")) & F.col("row_.source").cast("string").eqNullSafe(F.col("s_")) & (word_count(F.col("row_.text")) == F.col("n_"))
-    return keyed.join(copies, on).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")
+    keyed = keyed.withColumn("k_doc_id", F.col("row_.doc_id").cast("long")).withColumn("k_size", word_count(F.col("row_.text")))
+    keyed = keyed.withColumn("k_shard", F.pmod(F.xxhash64("k_doc_id", F.lit("mix")), F.lit(n_shards)))
+    out = keyed.join(ends, F.col("row_.source").cast("string").eqNullSafe(F.col("s_")))
+    copies = F.col("passes_") + F.coalesce((at("k_") <= F.col("last_")).cast("int"), F.lit(0))
+    out = out.where("k_size > 0").withColumn("copies_", copies).where("copies_ > 0")
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import Forest, connected
-from loomgraph.llm.substrings import mixed, shingles, word_hashes
-from loomgraph.session import ship, staged
+from loomgraph.llm.substrings import flagged, mixed, perhaps_in, shingles, word_hashes
+from loomgraph.session import ship, staged, tidy
 
 WIDTH, RADIUS, BLOCKS, PIVOTS, SEED = 4, 4, 7, 16, 42
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 fps = np.array([fingerprint(x, width) for x in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -164,7 +164,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
     ship(distinct.sparkSession)
     keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks(radius, blocks))]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius), "a long, b long").where("a <> b")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_link(radius)), "a long, b long").where("a <> b")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -195,17 +195,18 @@ def hex_digits(fp) -> F.Column:
 # ---- near-duplicates by exact similarity, found through wide fingerprints ----
 
 #: A wide fingerprint has 4 times 64 bits. In the first 64, texts of similarity 0.8 differ in NEAR bits at most.
-WIDE, NEAR, CLOSE, MISSED = 4, 17, 6, 0.02
+WIDE, NEAR, CLOSE, MISSED, LEAST_BITS = 4, 17, 6, 0.02, 18
 
 
 def key_bits(texts: int, similarity: float = 0.8) -> list[list[int]]:
     """The bits of each key under which wide fingerprints meet.
 
-    Keys have as many random bits as tell the texts apart, so that unrelated texts seldom meet. Texts of the similarity
+    Keys have LEAST_BITS random bits, and one more for each fourfold number of texts, so that unrelated texts seldom meet
+    and keys do not multiply. Texts of the similarity
     differ in angle / pi of their bits on average, where cos(angle) = 2s / (1 + s); there are so many keys that even with
     one standard deviation more they share none in MISSED of all cases only, whatever the number of texts.
     """
-    size = max(12, int(texts).bit_length())
+    size = LEAST_BITS + max(0, int(texts).bit_length() - LEAST_BITS) // 2
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     agree = (1 - differ - np.sqrt(differ * (1 - differ) / (64 * WIDE))) ** size
     keys = int(np.ceil(np.log(MISSED) / np.log1p(-agree)))
@@ -242,12 +243,13 @@ def _wide(width: int):
     return run
 
 
-SMALL = 8
+#: Buckets up to FEW rows give all their near pairs; up to SMALL rows they are compared at once for a whole batch.
+FEW, SMALL = 8, 24
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs to verify. Small buckets give all their near pairs, at once for a batch; large ones as few
-    as connect what is near: the nearest first, each only if the task's pairs so far don't connect it."""
+    """Rows sorted by key: pairs to verify. Beyond a few rows, a bucket gives as few pairs as connect what is near: the
+    nearest first, each only if the task's pairs so far don't connect it."""
     refs, forest = pivots(), Forest()
     out: list[np.ndarray] = []
 
@@ -256,22 +258,29 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
+    def joining(pairs: list[tuple[int, int]]) -> None:
+        pairs = [(min(p), max(p)) for p in pairs if forest.join(*p)]
+        if pairs:
+            out.append(np.array(pairs, np.int64))
+
     def close(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray) -> None:
         starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
         sizes = np.diff(np.r_[starts, len(keys)])
-        small = np.repeat(sizes <= SMALL, sizes)
-        for off in range(1, min(SMALL, len(keys))):
-            i = np.flatnonzero((keys[off:] == keys[:-off]) & small[off:])
-            i = i[np.bitwise_count(fps[i] ^ fps[i + off]) <= NEAR]
-            if len(i):
-                out.append(np.sort(np.stack((uid[i], uid[i + off]), axis=1), axis=1))
+        size = np.repeat(sizes, sizes)
+        more = []
+        for off in range(1, min(SMALL, int(sizes.max()))):
+            i = np.flatnonzero((keys[off:] == keys[:-off]) & (size[off:] <= SMALL))
+            apart = np.bitwise_count(fps[i] ^ fps[i + off])
+            i, apart = i[apart <= NEAR], apart[apart <= NEAR]
+            few = size[i] <= FEW
+            if few.any():
+                out.append(np.sort(np.stack((uid[i[few]], uid[i[few] + off]), axis=1), axis=1))
+            more += zip(apart[~few].tolist(), uid[i[~few]].tolist(), uid[i[~few] + off].tolist(), strict=True)
+        joining([(a, b) for _, a, b in sorted(more)])
         for k in np.flatnonzero(sizes > SMALL).tolist():
             part = slice(starts[k], starts[k] + sizes[k])
             u, f = uid[part], fps[part]
-            pairs = [(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + groups_within(f, NEAR, refs)]
-            pairs = [(min(p), max(p)) for p in pairs if forest.join(*p)]
-            if pairs:
-                out.append(np.array(pairs, np.int64))
+            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + groups_within(f, NEAR, refs)])
 
     rest: list[list[np.ndarray]] = []
     for batch in batches:
@@ -298,7 +307,7 @@ def _sets(width: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, width).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["uid", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique((shingle_set(x, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["uid", "shingles"])
 
     return run
 
@@ -308,7 +317,7 @@ def _similar(similarity: float):
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             keep = batch.filter(pa.array(good, pa.bool_()))
@@ -327,20 +336,21 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     ship(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("uid"), F.col("text").cast("string").cast("binary").alias("raw"))
     names = [f"f{k}" for k in range(WIDE)]
-    prints = staged(d.mapInArrow(_wide(width), "doc_id long, uid long, " + ", ".join(f"{x} long" for x in names)), "wide")
+    prints = staged(d.mapInArrow(tidy(_wide(width)), "doc_id long, uid long, " + ", ".join(f"{x} long" for x in names)), "wide")
     distinct = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("least"), *(F.max(x).alias(x) for x in names)), "distinct")
     keys = []
     for k, bits in enumerate(key_bits(distinct.count(), similarity)):
         parts = [np.array(sum(1 << b % 64 for b in bits if b // 64 == w), np.uint64).astype(np.int64).item() for w in range(WIDE)]
         keys.append(F.xxhash64(F.lit(k), *(F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, parts, strict=True) if m)))
     rows = distinct.select("uid", "f0", F.explode(F.array(*keys)).alias("key")).select("key", "uid", "f0")
-    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long").distinct(), "pairs")
     some = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "asked")
     reader = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("doc_id")).join(some, "uid", "left_semi"), "readers")
-    texts = d.join(reader, (d["uid"] == reader["uid"]) & d["doc_id"].eqNullSafe(reader["doc_id"]), "left_semi").select("uid", "raw")
-    sets = staged(texts.mapInArrow(_sets(width), "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
+    texts = perhaps_in(d, "uid", reader)
+    texts = texts.join(reader, (texts["uid"] == reader["uid"]) & texts["doc_id"].eqNullSafe(reader["doc_id"]), "left_semi").select("uid", "raw")
+    sets = staged(texts.mapInArrow(tidy(_sets(width)), "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
     one, two = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-    links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(similarity)), "a long, b long")
     found = connected(links_)
     if found is None:
         owner = distinct.select("uid", F.col("least").alias("component_id"))
@@ -357,4 +367,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     Of rows that repeat a doc_id, all stay or all go. Rows of a null doc_id stay.
     """
     found = similar_classes(docs, width, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(staged(found, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    found = staged(found.withColumn("id_hash_", F.xxhash64("doc_id")), "dropped")
+    # most rows are surely none of these and go by without a shuffle
+    rows = docs.select(F.struct("*").alias("row_"), F.xxhash64(F.col("doc_id").cast("long")).alias("id_hash_"))
+    rows = flagged(rows, "id_hash_", found, "perhaps_dropped_")
+    rest = rows.where("perhaps_dropped_").join(found.select("id_hash_"), "id_hash_", "left_anti")
+    return rows.where("not perhaps_dropped_").select("row_.*").unionByName(rest.select("row_.*"))
