@@ -248,15 +248,25 @@ FEW, SMALL = 8, 24
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs to verify. Beyond a few rows, a bucket gives as few pairs as connect what is near: the
-    nearest first, each only if the task's pairs so far don't connect it."""
+    """Rows sorted by key: pairs to verify first, and rows (uid and fingerprint as a and b, with their key) to look at again.
+
+    Beyond a few rows, a bucket gives as few pairs as connect what is near: the nearest first, each only if the task's pairs
+    so far don't connect it. These may fail, so all its rows that are near another come out too, for _crossing()."""
     refs, forest = pivots(), Forest()
     out: list[np.ndarray] = []
+    again: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+        rows = np.concatenate([np.empty((0, 3), np.int64), *again])
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+        again.clear()
+        key = pa.array(np.concatenate((np.zeros(len(pairs), np.int64), rows[:, 2])), mask=np.arange(len(pairs) + len(rows)) < len(pairs))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate((pairs[:, k], rows[:, k]))) for k in (0, 1)), key], names=["a", "b", "key"])
+
+    def look_again(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray, at: np.ndarray) -> None:
+        at = np.unique(at)
+        again.append(np.stack((uid[at], fps[at].view(np.int64), keys[at]), axis=1))
 
     def joining(pairs: list[tuple[int, int]]) -> None:
         pairs = [(min(p), max(p)) for p in pairs if forest.join(*p)]
@@ -267,7 +277,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
         sizes = np.diff(np.r_[starts, len(keys)])
         size = np.repeat(sizes, sizes)
-        more = []
+        more, met = [], [np.empty(0, np.int64)]
         for off in range(1, min(SMALL, int(sizes.max()))):
             i = np.flatnonzero((keys[off:] == keys[:-off]) & (size[off:] <= SMALL))
             apart = np.bitwise_count(fps[i] ^ fps[i + off])
@@ -275,12 +285,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             few = size[i] <= FEW
             if few.any():
                 out.append(np.sort(np.stack((uid[i[few]], uid[i[few] + off]), axis=1), axis=1))
+            met += [i[~few], i[~few] + off]
             more += zip(apart[~few].tolist(), uid[i[~few]].tolist(), uid[i[~few] + off].tolist(), strict=True)
+        look_again(keys, uid, fps, np.concatenate(met))
         joining([(a, b) for _, a, b in sorted(more)])
         for k in np.flatnonzero(sizes > SMALL).tolist():
             part = slice(starts[k], starts[k] + sizes[k])
             u, f = uid[part], fps[part]
-            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + groups_within(f, NEAR, refs)])
+            near = groups_within(f, NEAR, refs)  # a spanning forest has every row that is near another
+            look_again(keys[part], u, f, np.array(near, np.int64).reshape(-1))
+            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + near])
 
     rest: list[list[np.ndarray]] = []
     for batch in batches:
@@ -294,7 +308,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
         close(keys[:cut], uid[:cut], fps[:cut].view(np.uint64))
         rest = [[keys[cut:].copy(), uid[cut:].copy(), fps[cut:].copy()]]
-        if sum(map(len, out)) > 200_000:
+        if sum(map(len, out)) + sum(map(len, again)) > 200_000:
             yield flush()
     if rest:
         keys, uid, fps = (np.concatenate([r[k] for r in rest]) for k in range(3))
@@ -302,6 +316,50 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+#: Comparisons that _crossing() makes at once, and the pairs that it hands on together.
+BLOCK, PAIRS = 1 << 20, 200_000
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, uid, fingerprint, class) sorted by key: every near pair of a bucket whose classes differ."""
+    out: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    def close(uid: np.ndarray, fps: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if (cls == cls[0]).all():
+            return
+        step = max(1, BLOCK // len(uid))
+        for at in range(0, len(uid), step):
+            to = slice(at, at + step)
+            near = (np.bitwise_count(fps[to, None] ^ fps[None, at:]) <= NEAR) & (cls[to, None] != cls[None, at:])
+            i, j = np.nonzero(near)
+            i, j = i[i < j] + at, j[i < j] + at
+            out.append(np.sort(np.stack((uid[i], uid[j]), axis=1), axis=1))
+            if sum(map(len, out)) > PAIRS:
+                yield flush()
+
+    rest: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append([batch.column(k).to_numpy() for k in range(4)])
+        if rest[-1][0][0] == rest[-1][0][-1] and rest[0][0][-1] == rest[-1][0][0]:
+            continue  # one bucket goes on
+        keys, uid, fps, cls = (np.concatenate([r[k] for r in rest]) for k in range(4))
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from close(uid[a:b], fps[a:b].view(np.uint64), cls[a:b])
+        rest = [[x[cuts[-1] :].copy() for x in (keys, uid, fps, cls)]]
+    if rest:
+        _, uid, fps, cls = (np.concatenate([r[k] for r in rest]) for k in range(4))
+        yield from close(uid, fps.view(np.uint64), cls)
+    yield flush()
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +387,8 @@ def _similar(similarity: float):
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): one row for each row of docs; documents link if their sets of shingles have the similarity.
 
-    Fingerprints propose, exact sets decide. Equal texts are one; texts without words link with each other. component_id
+    Fingerprints propose, exact sets decide: of two texts that share a key and are within NEAR bits, the sets are compared
+    unless verified links join them already. Equal texts are one; texts without words link with each other. component_id
     is the smallest doc_id reachable; rows of a null doc_id get a class but never name one.
     """
     spark = docs.sparkSession
@@ -343,15 +402,28 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         parts = [np.array(sum(1 << b % 64 for b in bits if b // 64 == w), np.uint64).astype(np.int64).item() for w in range(WIDE)]
         keys.append(F.xxhash64(F.lit(k), *(F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, parts, strict=True) if m)))
     rows = distinct.select("uid", "f0", F.explode(F.array(*keys)).alias("key")).select("key", "uid", "f0")
-    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long").distinct(), "pairs")
+    proposed = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long, key long"), "proposed")
+    pairs = staged(proposed.where("key is null").select("a", "b").distinct(), "pairs")
     some = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "asked")
     reader = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("doc_id")).join(some, "uid", "left_semi"), "readers")
     texts = perhaps_in(d, "uid", reader)
     texts = texts.join(reader, (texts["uid"] == reader["uid"]) & texts["doc_id"].eqNullSafe(reader["doc_id"]), "left_semi").select("uid", "raw")
     sets = staged(texts.mapInArrow(tidy(_sets(width)), "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
     one, two = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-    links_ = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(similarity)), "a long, b long")
+
+    def verified(some_pairs: DataFrame) -> DataFrame:
+        return staged(some_pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(similarity)), "a long, b long"), "similar")
+
+    links_ = verified(pairs)
     found = connected(links_)
+    # proposals thin out on fingerprints alone and may fail: what is near and not of one class by verified links is verified too
+    again = proposed.where("key is not null").select("key", F.col("a").alias("uid"), F.col("b").alias("f0"), F.xxhash64("a").alias("node"))
+    if found is not None:
+        again = again.join(found, "node", "left").select("key", "uid", "f0", F.coalesce("root", "node").alias("node"))
+    more = again.repartition("key").sortWithinPartitions("key").select("key", "uid", "f0", "node").mapInArrow(tidy(_crossing), "a long, b long")
+    more = verified(staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "crossing"))
+    if not more.isEmpty():
+        found = connected(links_.union(more))
     if found is None:
         owner = distinct.select("uid", F.col("least").alias("component_id"))
     else:

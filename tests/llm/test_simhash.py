@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -113,6 +114,46 @@ def test_similar_classes(spark, rows):
     assert sorted(tuple(r) for r in simhash.similar_classes(df).collect()) == similar(more)
 
 
+def test_false_neighbours_hide_no_pair(spark):
+    """Variants of one template, near by fingerprint and mostly under the similarity: the few real pairs are all linked."""
+    rnd, rows = random.Random(9), []
+    template = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    for k in range(80):
+        words = list(template)
+        for at in rnd.sample(range(150), 6):
+            words[at] = f"v{k}x{at}"
+        rows.append((2 * k, " ".join(words)))
+        words[149 if words[149] == template[149] else 147] = "changed"
+        if k % 4 == 0:
+            rows.append((2 * k + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = similar(rows)
+    got = sorted(tuple(r) for r in simhash.similar_classes(df).collect())
+    assert len({c for _, c in want}) > 60 and got == want
+
+
+def test_a_false_edge_hides_no_pair_of_a_bucket():
+    """The forest joins 0 and 1 through what is nearer to both; if that fails, their own pair must come to verification."""
+    fps = np.array([0b1111, 0b11110000, 0, *(1 << k for k in range(20, 30))], np.uint64)
+    keys, uid = np.full(len(fps), 7, np.int64), np.arange(len(fps))
+    first = pa.Table.from_batches(list(simhash._candidates(iter([pa.RecordBatch.from_arrays([pa.array(keys), pa.array(uid), pa.array(fps.view(np.int64))], names=["key", "uid", "f0"])]))))
+    proposed = {(r["a"], r["b"]) for r in first.to_pylist() if r["key"] is None}
+    assert (0, 1) not in proposed and len(proposed) == len(fps) - 1
+    again = first.filter(first["key"].is_valid()).to_pydict()
+    assert sorted(again["a"]) == uid.tolist()
+
+    def crossing(classes):
+        columns = [again["key"], again["a"], again["b"], [classes[a] for a in again["a"]]]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "uid", "f0", "node"])
+        parts = [batch.slice(0, 5), batch.slice(5, 1), batch.slice(6)]
+        return {(r["a"], r["b"]) for out in simhash._crossing(iter(parts)) for r in out.to_pylist()}
+
+    n = len(fps)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if int(fps[i] ^ fps[j]).bit_count() <= simhash.NEAR}
+    assert crossing(list(range(n))) == near and (0, 1) in near
+    assert crossing([0] * n) == set() and crossing([1, 0] + [0] * (n - 2)) == {p for p in near if 0 in p}
+
+
 def test_keep_one(spark, rows):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows] + [(None, "null id", "x")], "doc_id long, text string, component_id string")
     got = simhash.keep_one(df)
