@@ -3,7 +3,8 @@
 Slot n of the mix draws the golden-ratio point frac((n + 1/2) * 0.618...) and maps it through the cumulative target
 shares to a source. Slots are ranked within their source. Each source's documents, in an order shuffled by hash and
 repeated at most `MAX_REPEATS` times, form one run of words that is cut into blocks of equal size; the slot of rank k takes
-block k. Words, not documents, are dealt out, so a source's taken words differ from its target by a few blocks at most.
+block k, and the last block ends at the target. Words, not documents, are dealt out. What the points leave out of a source,
+as all of a source far smaller than a block, follows in slots of its own at the end: each source gives its target to the word.
 
 Ranks and running sums never gather a source: rows are cut into shards by their shuffled order, shard totals are
 summed per source, and rows are ordered within a shard alone.
@@ -19,7 +20,7 @@ from loomgraph.session import staged
 MAX_REPEATS = 3
 #: Rows of a shard, on average; a shard is what one window orders.
 SHARD_ROWS = 2048
-#: Words of a block. A corpus of under LEAST_SLOTS such blocks gets smaller ones, so that sources still come near their targets.
+#: Words of a block. A corpus of under LEAST_SLOTS such blocks gets smaller ones, so that the mix is as fine in it.
 BLOCK_WORDS, LEAST_SLOTS = 1024, 1 << 15
 #: Cells of the unit interval through which points meet the cumulative shares.
 CELLS = 4096
@@ -105,20 +106,28 @@ def schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[flo
     cells = shares.where("lo < hi and target > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int"))))
     drawn = slots.join(cells.select("cell", "source", "lo", "hi", "total"), "cell").where("u >= lo and u < hi")
     drawn = drawn.select("slot", "source", "total", F.expr(f"slot div {SHARD_ROWS}").alias("shard"))
-    ranked = running(drawn, "source", "shard", [F.col("slot")], F.lit(1), "block")
+    ranked = running(drawn, "source", "shard", [F.col("slot")], F.lit(1), "block").select("slot", "source", "block")
+
+    # what the points drew too seldom, at the end: a few blocks a source
+    whole_target = F.floor(F.col("target") + 0.5)
+    got = drawn.groupBy(F.col("source").alias("s_")).agg(F.count(F.lit(1)).alias("got"))
+    short = shares.join(got, F.col("source").eqNullSafe(F.col("s_")), "left").select("source", F.coalesce("got", F.lit(0)).alias("got"), F.ceil(whole_target / block_words).alias("need"))
+    short = short.where("got < need").withColumn("more", F.col("need") - F.col("got"))
+    earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("at", n_slots + F.coalesce(F.sum("more").over(earlier), F.lit(0)) - F.col("got"))
+    short = short.withColumn("block", F.explode(F.sequence(F.col("got"), F.col("need") - 1)))
+    ranked = ranked.unionByName(short.select((F.col("at") + F.col("block")).alias("slot"), "source", "block"))
 
     # documents -> blocks, pass by pass over the source's run of words
-    whole = rows.where("size > 0").join(shares.where("target > 0").select(F.col("source").alias("s_"), "total", "target"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    spread = (F.col("target") * 1.01 + 16 * block_words) / F.col("total")  # passes that the schedule can reach
-    passes = F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_REPEATS), F.ceil(spread)).cast("int") - 1))
+    ends = shares.select(F.col("source").alias("s_"), "total", whole_target.alias("until")).where("until > 0")
+    whole = rows.where("size > 0").join(ends, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+    passes = F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_REPEATS), F.ceil(F.col("until") / F.col("total"))).cast("int") - 1))
     whole = whole.withColumn("pass", passes).withColumn("begin", F.col("pass") * F.col("total") + F.col("start"))
-    whole = whole.where(F.col("begin") < F.col("target") * 1.01 + 16 * block_words)
-    first, last = F.expr(f"begin div {block_words}"), F.expr(f"(begin + size - 1) div {block_words}")
-    cut = whole.withColumn("block", F.explode(F.sequence(first, last)))
+    whole = whole.where("begin < until").withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("until")))
+    cut = whole.withColumn("block", F.explode(F.sequence(F.expr(f"begin div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
     lo = F.greatest(F.col("begin"), F.col("block") * block_words)
-    hi = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words)
+    hi = F.least(F.col("end"), (F.col("block") + 1) * block_words)
     cut = cut.select("doc_id", F.col("source").alias("s_"), "shard", "place", F.col("block").alias("b_"), (lo - F.col("begin")).alias("from_word"), (hi - lo).alias("n_words"))
-    ranked = ranked.select("slot", "source", "block")
     pieces = ranked.join(cut, ranked["source"].eqNullSafe(cut["s_"]) & (ranked["block"] == cut["b_"])).drop("s_", "b_")
     return rows, shares, pieces
 

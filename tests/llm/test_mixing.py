@@ -83,6 +83,21 @@ def test_documents_as_often_as_they_are_taken(docs):
             assert abs(copies.get(r.doc_id, 0) * r.size - r.taken) <= r.size / 2
 
 
+def test_sources_of_less_than_a_block_are_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)  # blocks as of a corpus of any size
+    rows = [(k, "w " * 500, "big") for k in range(400)] + [(1000 + k, "w " * (60 + k), f"s{k:02d}") for k in range(40)] + [(2000, "w " * 1500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source_of, taken, target = {d: s for d, _, s in rows}, {}, {}
+    for r in mixing.mix(df).collect():
+        s = source_of[r.doc_id]
+        assert r.taken <= 3 * r.size
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+    assert len(taken) == 42 and all(abs(taken[s] - target[s]) <= 0.5 for s in taken)
+    pieces = mixing.schedule(df)[2].collect()
+    assert all(len({p.source for p in pieces if p.slot == k}) == 1 for k in {p.slot for p in pieces})
+    assert {r.source for r in mixing.mixed_documents(df).select("source").distinct().collect()} == set(taken)
+
+
 def test_without_words(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in mixing.mix(df).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
