@@ -180,6 +180,13 @@ def stamp_classify(spark, sf_dir):
     return classify(g.edges.where("src < 5"), g.series, "revenue", 40)
 
 
+@query("stamp_classify_all", _sql["stamp_classify"].replace(" WHERE p.src < 5", ""))
+def stamp_classify_all(spark, sf_dir):
+    """All edges; stamp_classify and its SQL have those of the first five nations only."""
+    g = testgraph.trade(spark, sf_dir)
+    return classify(g.edges, g.series, "revenue", 40)
+
+
 # ---- paths ----
 
 _ASIA = "n.region = 'ASIA'"
