@@ -90,3 +90,27 @@ def test_scan(spark):
 
 def test_redacted():
     assert pii.redacted("to a [at] b [dot] org, 1.2.3.4") == "to [EMAIL], [IP]" and pii.redacted(None) == ""
+
+
+def test_no_span_begins_inside_a_number_that_fails():
+    """A mark far off must not cut a long run of digits: its tail is no card, and parts of a dotted run keep their places."""
+    for text in ("4" * 40 + " w" * 71 + " слово", "4" * 40 + " 4" * 90 + " w" * 20 + " слово", "слово" + " w" * 75 + " 4444" * 30, "300" + ".7" * 79 + " слово", "слово " + "7." * 100 + "300"):
+        base, spans = pii.find(text)
+        assert spans == base, text[:60]
+
+
+def test_stretches_end_between_tokens():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = "".join(rnd.choice(["w", "слово", " ", "  ", "4444", "a.b", "-", "\n", "5 5", "(at)", "x" * 170]) for _ in range(rnd.randint(1, 60)))
+        at = 0
+        for a, b in pii._stretches(text):
+            assert at <= a < b <= len(text) and (a == 0 or text[a - 1].isspace() or text[a].isspace()) and (b == len(text) or text[b].isspace() or text[b - 1].isspace())
+            before, after = text[:a].rstrip(), text[b:].lstrip()
+            assert a == at or not before or before[-1] not in pii.NUMERIC
+            assert not after or after[0] not in pii.NUMERIC
+            at = b
+        for k, c in enumerate(text):
+            assert c.isascii() or any(a <= k < b for a, b in pii._stretches(text))
