@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.components import Forest, connected
+from loomgraph.llm.components import FOREST_NODES, Forest, connected
 from loomgraph.llm.substrings import flagged, mixed, perhaps_in, shingles, word_hashes
 from loomgraph.session import ship, staged, tidy
 
-WIDTH, RADIUS, BLOCKS, PIVOTS, SEED = 4, 4, 7, 16, 42
+WIDTH, RADIUS, BLOCKS, PIVOTS, SEED, CHUNK = 4, 4, 7, 16, 42, 4096
+#: Buckets of up to so many rows are compared at once for a whole batch.
+SMALL = 24
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -91,11 +93,9 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def groups_within(fps: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges (positions) of the graph that links distinct fingerprints within the radius."""
-    if len(fps) == 2:
-        return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= radius else []
-    table = distance_table(fps, pivots() if refs is None else refs)
+def groups_within(fps: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of the graph that links distinct fingerprints within the radius; table: their distances."""
+    table = distance_table(fps, pivots()) if table is None else table
     order = np.argsort(table[:, 0], kind="stable")
     table, fps, left = table[order], fps[order], np.arange(len(fps))  # left: not yet reached, by first coordinate
     found: list[tuple[int, int]] = []
@@ -118,52 +118,84 @@ def groups_within(fps: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None
     return found
 
 
-def _link(radius: int):
+def near_in_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits that differ) of all pairs within the radius in buckets of up to SMALL rows; rows sorted by key."""
+    starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+    sizes = np.diff(np.r_[starts, len(keys)])
+    size = np.repeat(sizes, sizes)
+    for off in range(1, min(SMALL, int(sizes.max()))):
+        i = np.flatnonzero((keys[off:] == keys[:-off]) & (size[off:] <= SMALL))
+        i = i[(np.abs(table[i] - table[i + off]) <= radius).all(axis=1)]
+        apart = np.bitwise_count(fps[i] ^ fps[i + off])
+        i, apart = i[apart <= radius], apart[apart <= radius]
+        yield i, i + off, apart
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Array]]:
+    """The columns of rows sorted by their first column, in pieces that end where its value changes."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        keys = batch.column(0).to_numpy()
+        if keys[0] == keys[-1] and rest[0].column(0)[-1].as_py() == keys[0]:
+            continue  # one bucket goes on
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        yield pa.Table.from_batches([*rest[:-1], batch.slice(0, cut)]).combine_chunks().columns
+        rest = [batch.slice(cut)]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().columns
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     refs = pivots()
+    for batch in batches:
+        table = distance_table(batch.column(0).to_numpy().view(np.uint64), refs)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in table], pa.binary())], names=["fp", "distances"])
 
+
+def _link(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key: each run of a key is one bucket; the last may go on in the next batch."""
+        """Rows come sorted by key: each run of a key is one bucket."""
         forest = Forest()
-        held: list[tuple[int, np.ndarray]] = []
-
-        def close(fps: np.ndarray) -> None:
-            for i, j in groups_within(fps, radius, refs):
-                forest.join(int(fps[i]), int(fps[j]))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            if held and held[0][0] != keys[0]:
-                if sum(len(x) for _, x in held) > 1:
-                    close(np.concatenate([x for _, x in held]))
-                held = []
-            last = len(starts) - 1
-            for k in np.flatnonzero(ends - starts > 1) if last else []:
-                if 0 < k < last:
-                    close(fps[starts[k] : ends[k]])
-            if last:
-                whole = [x for _, x in held] + [fps[: ends[0]]]
-                if sum(map(len, whole)) > 1:
-                    close(np.concatenate(whole))
-                held = []
-            held.append((keys[-1], fps[starts[last] :].copy()))
-        if sum(len(x) for _, x in held) > 1:
-            close(np.concatenate([x for _, x in held]))
-        x, y = forest.edges()
-        a, b = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (x, y))
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+        def flush() -> pa.RecordBatch:
+            a, b = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in forest.edges())
+            forest.up.clear()
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for columns in whole_buckets(batches):
+            keys, fps = columns[0].to_numpy(), columns[1].to_numpy().view(np.uint64)
+            table = np.frombuffer(b"".join(columns[2].to_pylist()), np.int8).reshape(len(keys), -1)
+            for i, j, _ in near_in_small(keys, fps, table, radius):
+                for x, y in zip(fps[i].tolist(), fps[j].tolist(), strict=True):
+                    forest.join(x, y)
+            starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+            ends = np.r_[starts[1:], len(keys)]
+            for k in np.flatnonzero(ends - starts > SMALL).tolist():
+                part = slice(starts[k], ends[k])
+                for i, j in groups_within(fps[part], radius, table[part]):
+                    forest.join(int(fps[part][i]), int(fps[part][j]))
+            if len(forest.up) > FOREST_NODES:
+                yield flush()
+        yield flush()
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): spanning edges between the distinct fingerprints of column fp."""
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): spanning edges between the distinct fingerprints of column fp (a written table)."""
     ship(distinct.sparkSession)
     keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for k, m in enumerate(masks(radius, blocks))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
+    known = staged(distinct.select("fp").mapInArrow(tidy(_tables), "fp long, distances binary"), "distances")
+    large = distinct.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    large = staged(large.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("m")), "large")
+    rows = known.select("fp", "distances", F.explode(F.array(*keys)).alias("key"))
+    rows = rows.join(large, "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    key = F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")))
+    rows = rows.select(key.alias("key"), "fp", "distances")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_link(radius)), "a long, b long").where("a <> b")
 
 
@@ -243,8 +275,8 @@ def _wide(width: int):
     return run
 
 
-#: Buckets up to FEW rows give all their near pairs; up to SMALL rows they are compared at once for a whole batch.
-FEW, SMALL = 8, 24
+#: Buckets up to FEW rows give all their near pairs.
+FEW = 8
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,43 +308,28 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray) -> None:
         starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
         sizes = np.diff(np.r_[starts, len(keys)])
-        size = np.repeat(sizes, sizes)
+        size, table = np.repeat(sizes, sizes), distance_table(fps, refs)
         more, met = [], [np.empty(0, np.int64)]
-        for off in range(1, min(SMALL, int(sizes.max()))):
-            i = np.flatnonzero((keys[off:] == keys[:-off]) & (size[off:] <= SMALL))
-            apart = np.bitwise_count(fps[i] ^ fps[i + off])
-            i, apart = i[apart <= NEAR], apart[apart <= NEAR]
+        for i, j, apart in near_in_small(keys, fps, table, NEAR):
             few = size[i] <= FEW
             if few.any():
-                out.append(np.sort(np.stack((uid[i[few]], uid[i[few] + off]), axis=1), axis=1))
-            met += [i[~few], i[~few] + off]
-            more += zip(apart[~few].tolist(), uid[i[~few]].tolist(), uid[i[~few] + off].tolist(), strict=True)
+                out.append(np.sort(np.stack((uid[i[few]], uid[j[few]]), axis=1), axis=1))
+            met += [i[~few], j[~few]]
+            more += zip(apart[~few].tolist(), uid[i[~few]].tolist(), uid[j[~few]].tolist(), strict=True)
         look_again(keys, uid, fps, np.concatenate(met))
         joining([(a, b) for _, a, b in sorted(more)])
         for k in np.flatnonzero(sizes > SMALL).tolist():
             part = slice(starts[k], starts[k] + sizes[k])
             u, f = uid[part], fps[part]
-            near = groups_within(f, NEAR, refs)  # a spanning forest has every row that is near another
+            near = groups_within(f, NEAR, table[part])  # a spanning forest has every row that is near another
             look_again(keys[part], u, f, np.array(near, np.int64).reshape(-1))
-            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, refs) + near])
+            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, table[part]) + near])
 
-    rest: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(k).to_numpy() for k in range(3)]
-        rest.append(now)
-        if now[0][0] == now[0][-1] and rest[0][0][-1] == now[0][0]:
-            continue  # one bucket goes on
-        keys, uid, fps = (np.concatenate([r[k] for r in rest]) for k in range(3))
-        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-        close(keys[:cut], uid[:cut], fps[:cut].view(np.uint64))
-        rest = [[keys[cut:].copy(), uid[cut:].copy(), fps[cut:].copy()]]
+    for columns in whole_buckets(batches):
+        keys, uid, fps = (c.to_numpy() for c in columns)
+        close(keys, uid, fps.view(np.uint64))
         if sum(map(len, out)) + sum(map(len, again)) > 200_000:
             yield flush()
-    if rest:
-        keys, uid, fps = (np.concatenate([r[k] for r in rest]) for k in range(3))
-        close(keys, uid, fps.view(np.uint64))
     yield flush()
 
 
@@ -342,21 +359,11 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, out)) > PAIRS:
                 yield flush()
 
-    rest: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append([batch.column(k).to_numpy() for k in range(4)])
-        if rest[-1][0][0] == rest[-1][0][-1] and rest[0][0][-1] == rest[-1][0][0]:
-            continue  # one bucket goes on
-        keys, uid, fps, cls = (np.concatenate([r[k] for r in rest]) for k in range(4))
-        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+    for columns in whole_buckets(batches):
+        keys, uid, fps, cls = (c.to_numpy() for c in columns)
+        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield from close(uid[a:b], fps[a:b].view(np.uint64), cls[a:b])
-        rest = [[x[cuts[-1] :].copy() for x in (keys, uid, fps, cls)]]
-    if rest:
-        _, uid, fps, cls = (np.concatenate([r[k] for r in rest]) for k in range(4))
-        yield from close(uid, fps.view(np.uint64), cls)
     yield flush()
 
 
@@ -387,8 +394,9 @@ def _similar(similarity: float):
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): one row for each row of docs; documents link if their sets of shingles have the similarity.
 
-    Fingerprints propose, exact sets decide: of two texts that share a key and are within NEAR bits, the sets are compared
-    unless verified links join them already. Equal texts are one; texts without words link with each other. component_id
+    Fingerprints propose, sets decide: of two texts that share a key and are within NEAR bits, the sets are compared
+    unless verified links join them already. A set has 32 bits of each shingle's hash: two texts of 1000 shingles have one
+    by chance in common in 1 of 4000 cases, which is 0.001 of their similarity at most. Equal texts are one; texts without words link with each other. component_id
     is the smallest doc_id reachable; rows of a null doc_id get a class but never name one.
     """
     spark = docs.sparkSession

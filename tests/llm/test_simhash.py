@@ -179,3 +179,48 @@ def test_keys_find_nearly_all_pairs_at_the_similarity(texts):
         bits = np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool)
         hit.append(int(np.bitwise_count(x[0])) <= simhash.NEAR and not (masks & bits).any(axis=1).all())
     assert np.mean(hit) >= 0.97
+
+
+def test_links_do_not_depend_on_chunks(spark):
+    """A key of hundreds of fingerprints, cut into chunks of a few: the same classes as brute force."""
+    rnd = random.Random(21)
+    base = rnd.getrandbits(64)
+    fps = set()
+    for _ in range(40):
+        x = base ^ (rnd.getrandbits(36) << 28)  # one block is the same in all
+        for _ in range(8):
+            y = x
+            for b in rnd.sample(range(64), rnd.choice((2, 4, 6))):
+                y ^= 1 << b
+            fps.add(y)
+    fps = sorted(fps)
+
+    def classes(pairs):
+        up = {x: x for x in fps}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        return [root(x) for x in fps]
+
+    want = classes([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    for chunk in (4096, 16):
+        got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, chunk=chunk).collect()]
+        assert classes(got) == want and len(set(want)) < len(fps)
+
+
+def test_whole_buckets():
+    rnd = random.Random(1)
+    for _ in range(50):
+        keys = sorted(rnd.choices(range(rnd.randint(1, 12)), k=rnd.randint(0, 40)))
+        batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(len(keys)), pa.int64())], names=["key", "x"])
+        cuts = sorted(rnd.choices(range(len(keys) + 1), k=4))
+        parts = [batch.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(keys)])]
+        got = [c[0].to_pylist() for c in simhash.whole_buckets(iter(parts))]
+        assert sum(got, []) == keys and sum(len(set(g)) for g in got) == len(set(keys))
