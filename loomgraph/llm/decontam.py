@@ -5,12 +5,13 @@ the document is within k = floor(n / 5) word insertions, deletions and substitut
 
 Item-sized windows are embedded by CGK random walks: a walk reads the window from its start, writes the word it stands
 at and goes on to the next word or not, by a random bit of (word, step). Windows at a small edit distance give outputs at
-a small Hamming distance. Each of `REPEATS` walks is sampled at `SAMPLED` steps; a window whose samples of any walk equal
-the item's is a candidate, and exact edit distance decides. The walks and samples are enough for a recall of 0.99 of
-passages at the full distance, and more nearer by (tests measure it).
+a small Hamming distance. Each of `REPEATS` walks is sampled at `SAMPLED` steps: the samples of a walk are a key of the
+hash table that the items of a length are in, once for each walk. A window's keys are looked up there; the items it meets
+are its candidates, and exact edit distance decides. The walks and samples are enough for a recall of 0.99 of
+passages at the full distance, and more nearer by (tests measure it over all windows).
 
-Windows are placed by a test that loses nothing: of k + 1 pieces of an item, k edits leave one whole, so a window has to
-hold a piece at the piece's place, give or take k words. Items are a stated query set: they meet all documents in blocks of
+Not all windows need be walked over: of k + 1 pieces of an item, k edits leave one whole, so only windows that hold a piece
+of some item of their length in its place are looked up, which loses nothing. Items are a stated query set: they meet all documents in blocks of
 at most `BLOCK_BYTES`, each sent to the executors.
 """
 
@@ -80,6 +81,16 @@ def walks(windows: np.ndarray, repeats: int = REPEATS, sampled: int = SAMPLED) -
     return out
 
 
+def walk_keys(windows: np.ndarray, repeats: int = REPEATS, sampled: int = SAMPLED) -> np.ndarray:
+    """(rows, repeats): the key of each walk over each row of windows, of its samples and the walk's number."""
+    seen = walks(windows, repeats, sampled)
+    key = np.broadcast_to(np.arange(1, repeats + 1, dtype=np.uint64), seen.shape[:2])
+    for c in range(sampled):
+        with np.errstate(over="ignore"):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + seen[:, :, c].astype(np.uint64))
+    return key
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of text nearest to item: least distance, then least end, then largest start."""
     m = len(text)
@@ -105,17 +116,17 @@ class Items:
     def __init__(self, items: list[tuple[int, str | None]], least: int = LEAST_WORDS) -> None:
         self.items: list[tuple[int, np.ndarray]] = []
         self.ids: dict[str, int] = {}
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        grams: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
             w = words_of(text)
             if item_id is None or len(w) < least:
                 continue
             ids = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], np.int64)
             for offset, length in pieces(len(w)):
-                grams[length][int(self._gram(ids[offset : offset + length], length)[0])].append((len(self.items), offset))
+                grams[length][int(self._gram(ids[offset : offset + length], length)[0])].add((len(w), offset))
             self.items.append((item_id, ids))
-        self.grams = {n: (np.array(sorted(g), np.uint64), dict(g)) for n, g in grams.items()}
-        self.walked: dict[int, np.ndarray] = {}
+        self.grams = {n: (np.array(sorted(g), np.uint64), {x: sorted(y) for x, y in g.items()}) for n, g in grams.items()}
+        self.tables = {n: self._table(n) for n in sorted({len(ids) for _, ids in self.items})}
 
     @staticmethod
     def _gram(ids: np.ndarray, n: int) -> np.ndarray:
@@ -125,71 +136,80 @@ class Items:
                 x = x * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - n + 1 + k].astype(np.uint64)
             return _mix(x)
 
+    def _table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash table of the items of n words: keys of all walks in order, and the item of each."""
+        which = np.array([k for k, (_, ids) in enumerate(self.items) if len(ids) == n])
+        keys = walk_keys(np.array([self.items[k][1] for k in which]))
+        order = np.argsort(keys.reshape(-1), kind="stable")
+        return keys.reshape(-1)[order], np.repeat(which, keys.shape[1])[order]
+
     def places(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """For each item, the window starts at which one of its pieces stands in its place."""
+        """For each length of items, the window starts at which a piece of such an item stands in its place."""
         found: dict[int, set[int]] = defaultdict(set)
-        for n, (sorted_grams, where) in self.grams.items():
-            if len(ids) < n:
+        for length, (sorted_grams, where) in self.grams.items():
+            if len(ids) < length:
                 continue
             known = np.cumsum(np.concatenate(([0], ids > 0)))
-            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            at = np.flatnonzero(known[length:] - known[:-length] == length)
             if not len(at):
                 continue
-            g = self._gram(ids, n)[at]
+            g = self._gram(ids, length)[at]
             k = np.minimum(np.searchsorted(sorted_grams, g), len(sorted_grams) - 1)
             hit = sorted_grams[k] == g
             for p, x in zip(at[hit].tolist(), g[hit].tolist(), strict=True):
-                for item, offset in where[x]:
-                    found[item].add(p - offset)
-        return {k: sorted(v) for k, v in found.items()}
-
-    def alike(self, item: int, ids: np.ndarray, starts: list[int]) -> list[int]:
-        """The starts whose item-sized window agrees with the item in the samples of some walk."""
-        words = self.items[item][1]
-        n = len(words)
-        if item not in self.walked:
-            self.walked[item] = walks(words[None, :])[0]
-        out = []
+                for n, offset in where[x]:
+                    found[n].add(p - offset)
+        return {n: sorted(x) for n, x in found.items()}
+
+    def candidates(self, n: int, ids: np.ndarray, starts: list[int]) -> dict[int, list[int]]:
+        """For each item of n words, the starts whose windows meet it under a key."""
+        keys, which = self.tables[n]
+        out: dict[int, list[int]] = defaultdict(list)
         for at in range(0, len(starts), 256):
             part = np.array(starts[at : at + 256])
             place = part[:, None] + np.arange(n)[None, :]
             inside = (place >= 0) & (place < len(ids))
-            windows = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], -1)
-            exact = (windows == words).all(axis=1)  # equal windows have equal walks
-            agree = exact.copy()
-            if not exact.all():
-                agree[~exact] = (walks(windows[~exact]) == self.walked[item]).all(axis=2).any(axis=1)
-            out += part[agree].tolist()
+            mine = walk_keys(np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], -1)).reshape(-1)
+            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+            met = np.flatnonzero(hi > lo)
+            repeats = len(mine) // len(part)
+            for s, item in sorted({(int(part[m // repeats]), int(x)) for m in met.tolist() for x in which[lo[m] : hi[m]]}):
+                out[item].append(s)
         return out
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, start, end, distance, words of the item), words of the text: one for each stretch that is an item's copy."""
+    def search(self, text: str | None, everywhere: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, start, end, distance, words of the item), words of the text: one for each stretch that is an item's copy.
+
+        everywhere: all windows of the text are looked up, not just those that hold a piece.
+        """
         get = self.ids.get
         words = words_of(text)
         if not words or not self.items:
             return []
         ids = np.array([get(w, 0) for w in words], np.int64)
-        unknown = ids == 0
+        unknown = np.cumsum(np.concatenate(([0], ids == 0)))
         found = []
-        for item, starts in self.places(ids).items():
-            item_id, target = self.items[item]
-            n, k = len(target), allowed(len(target))
+        placed = {n: list(range(-allowed(n), len(ids))) for n in self.tables} if everywhere else self.places(ids)
+        for n, starts in placed.items():
+            k, at = allowed(n), np.array(starts)
             # a window needs n - k words of the item's; what is unknown is in no item
-            starts = [s for s in starts if int(unknown[max(s, 0) : s + n].sum()) <= 2 * k and s + n > 0]
-            region: list[list[int]] = []
-            for s in sorted(self.alike(item, ids, starts)):
-                if region and s <= region[-1][1] + 2 * k:
-                    region[-1][1] = s
-                else:
-                    region.append([s, s])
-            for a, b in region:
-                lo, hi = max(0, a - k), min(len(ids), b + n + k)
-                while hi - lo >= n - k:
-                    d, x, y = best_match(target, ids[lo:hi])
-                    if d > k:
-                        break
-                    found.append((item_id, lo + x, lo + y, d, n))
-                    lo += max(y, 1)  # another copy may follow in the same region
+            odd = unknown[np.clip(at + n, 0, len(ids))] - unknown[np.clip(at, 0, len(ids))]
+            for item, near in self.candidates(n, ids, at[(odd <= 2 * k) & (at + n > 0)].tolist()).items():
+                item_id, target = self.items[item]
+                region: list[list[int]] = []
+                for s in near:
+                    if region and s <= region[-1][1] + 2 * k:
+                        region[-1][1] = s
+                    else:
+                        region.append([s, s])
+                for a, b in region:
+                    lo, hi = max(0, a - k), min(len(ids), b + n + k)
+                    while hi - lo >= n - k:
+                        d, x, y = best_match(target, ids[lo:hi])
+                        if d > k:
+                            break
+                        found.append((item_id, lo + x, lo + y, d, n))
+                        lo += max(y, 1)  # another copy may follow in the same region
         return sorted(set(found))
 
 

@@ -95,3 +95,19 @@ def test_blocks_cover_all_items(spark):
     bench = spark.createDataFrame([(k, f"word{k} " * 9) for k in range(50)], "item_id long, text string")
     parts = list(decontam.blocks(bench, 700))
     assert len(parts) > 1 and sorted(i for p in parts for i, _ in p) == list(range(50))
+
+
+def test_recall_of_the_keys_alone():
+    """All windows are looked up, without the test of pieces: the walks' keys find what brute force finds."""
+    rnd = random.Random(31)
+    items = [(k, " ".join(rnd.choice(VOCABULARY) for _ in range(size))) for k, size in enumerate([10, 20, 30, 45] * 5)]
+    index, hit, of, extra = Items(items), 0, 0, 0
+    for k, text in items:
+        for _ in range(4):
+            words = [*(rnd.choice(VOCABULARY) for _ in range(40)), *edited(rnd, text.split(), len(text.split()) // 5, VOCABULARY), *(rnd.choice(VOCABULARY) for _ in range(40))]
+            numbers = {w: n for n, w in enumerate(set(words + [w for _, t in items for w in t.split()]))}
+            near = {i for i, t in items if best_match(np.array([numbers[w] for w in t.split()]), np.array([numbers[w] for w in words]))[0] <= len(t.split()) // 5}
+            got = {f[0] for f in index.search(" ".join(words), everywhere=True)}
+            hit, of, extra = hit + len(near & got), of + len(near), extra + len(got - near)
+            assert {f[0] for f in index.search(" ".join(words))} <= got
+    assert of >= 75 and hit / of >= 0.99 and extra == 0
