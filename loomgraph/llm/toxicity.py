@@ -1,13 +1,20 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are words and word beginnings whose presence goes with toxic labels (mined from labelled rows), a short list of
-common insults, and patterns of the whole text. The label model is a two-class mixture fitted by expectation
-maximisation: it estimates how often each voter fires in either class, and how far voters are correlated within a class,
-so that nested or copied voters do not count twice; the given label is one more voter, with errors of its own. A
-logistic regression learns the posterior labels from the same signals, and its score is the result.
-
-All that is learnt comes from a bounded sample: every labelled, not held-out row whose hashed id is below a bound that
-gives `PER_CLASS` rows of each class on average. Scores are made from whole texts.
+Signals are words and word beginnings that go with toxic labels (mined from labelled rows), a short list of common insults,
+and patterns of the whole text. A lexicon is all signals of the same first letters; each lexicon, and each pattern that
+is precise enough, is a voter that says toxic or abstains.
+
+The label model is generative: a text of either class gets a number of independent votes, and voters share in the votes
+of a class each at its rate. Expectation maximisation over labelled and unlabelled texts alike estimates both, how often
+each voter is right, and how far voters are correlated within a class, so that those that fire together do not count
+twice. A row's given label is no evidence there: labels only say where the estimates begin, which is also what they
+are held to in proportion to the votes on labelled rows. It runs for few rounds: toxic texts of one language have other voters
+than those of another, and a longer run leaves all but the largest such group to the clean class. A logistic
+regression learns the posterior labels from the signals, and its score is the result.
+
+All that is learnt comes from bounded samples of what is not held out: labelled rows whose hashed id is below a bound that
+gives `PER_CLASS` of each class on average, and as many unlabelled ones of all documents. At most `SIGNALS` signals are
+mined, the most precise. Scores are made from whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from loomgraph.llm.langid import is_held_out
 from loomgraph.session import ship, staged, tidy
 
 PER_CLASS, SIGNALS, BEGINNINGS, THRESHOLD = 5000, 600, (4, 5, 6), 0.3
+#: A signal is mined if the log odds of its being right are over LEAST_ODDS (right in four of five cases) by SURE standard errors.
+LEAST_ODDS, SURE, LEAST_ROWS = float(np.log(4)), 1.5, 5
 _word = re.compile(r"[^\W\d_]+")
 #: Common insults; voters whether or not the labelled rows have them.
 INSULTS = ("bastard", "clown", "cretin", "disgusting", "dumb", "fool", "garbage", "hate", "idiot", "imbecile", "kill", "loser", "moron", "pathetic", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -92,44 +101,47 @@ class Voters:
         return sorted(out)
 
 
-def select(counts: list[tuple[str, int, int]], clean: int, toxic: int, most: int = SIGNALS) -> list[str]:
-    """The features that go with toxic rows most surely: by the lower end of their log odds ratio, ties by name."""
-    scored = []
-    for name, c, t in counts:
-        if t < 5:
-            continue
-        p, q = (t + 0.5) / (toxic + 1), (c + 0.5) / (clean + 1)
-        z = (np.log(p / (1 - p)) - np.log(q / (1 - q))) / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if z > 2.5 and p > 3 * q:
-            scored.append((-round(float(z) * np.sqrt(t), 9), name))
-    chosen = [x for _, x in sorted(scored)[:most]]
-    return sorted(set(chosen) | set(INSULTS))
+def certainty(toxic, clean, log, sqrt):
+    """The log odds of toxic against clean rows with a signal, less their standard errors; rows count by weight of class."""
+    (t, wt), (c, wc) = toxic, clean
+    return log((t + 0.5) * wt / ((c + 0.5) * wc)) - SURE * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
 
 
-def label_model(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of the toxic class, firing rates by class (2, voters), shares of independent evidence).
+def lexicons(names: list[str]) -> list[list[int]]:
+    """The places of names, by their first letters: nested signals are of one lexicon."""
+    groups: dict[str, list[int]] = {}
+    for k, x in enumerate(names):
+        groups.setdefault(x.rstrip("-")[: BEGINNINGS[0]], []).append(k)
+    return [groups[k] for k in sorted(groups)]
 
-    x: 1 where a voter fires, a row for each text. The label is a voter whose accuracy has a prior of 0.95.
+
+def label_model(votes: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of the toxic class, how often each voter is right, correlation of voters that fire together).
+
+    votes: 1 where a voter votes, a row for each text; start: 1 or 0 for texts whose label says where to begin, NaN for others.
     """
-    q = np.where(label == 1, 0.95, 0.05)
-    share, rates, accuracy = np.ones(x.shape[1]), np.zeros((2, x.shape[1])), 0.95
+    known = ~np.isnan(start)
+    q, m, held = np.where(known, np.clip(start, 0.001, 0.999), 0.0), weight * known, None
+    together = np.zeros((votes.shape[1], votes.shape[1]))
     for _ in range(rounds):
-        for k, r in enumerate((1 - q, q)):
-            m = r * weight
-            rates[k] = (m @ x + 0.1) / (m.sum() + 20.0)
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        residual = (x - np.outer(1 - q, rates[0]) - np.outer(q, rates[1])) * np.sqrt(weight / weight.sum())[:, None]
+        share = votes / (1 + votes @ together)  # of independent evidence, beside what else votes on the text
+        size = share.sum(axis=1)
+        number = np.eye(4)[np.where(size > 0, np.clip(np.rint(size), 1, 3), 0).astype(int)]  # none, one, two or more
+        seen = [((m * r) @ share + 0.05, (m * r) @ number + 1.0) for r in (1 - q, q)]
+        held = held or seen
+        seen = seen if held is seen else [(a + c, b + d) for (a, b), (c, d) in zip(seen, held, strict=True)]
+        (which_clean, many_clean), (which_toxic, many_toxic) = [(a / a.sum(), b / b.sum()) for a, b in seen]
+        prior = np.log(seen[1][1].sum() / seen[0][1].sum())
+        rates = [((m * r) @ votes + 0.1) / ((m * r).sum() + 20.0) for r in (1 - q, q)]
+        residual = (votes - np.outer(1 - q, rates[0]) - np.outer(q, rates[1])) * np.sqrt(m / m.sum())[:, None]
         cov = residual.T @ residual
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        rho = np.clip(cov / np.outer(sd, sd), 0, 1)
-        share = 1 / np.maximum((rho * (rho > 0.1)).sum(axis=1), 1.0)
-        on, off = np.log(rates[1] / rates[0]) * share, np.log((1 - rates[1]) / (1 - rates[0])) * share
-        agree = (weight * np.where(label == 1, q, 1 - q)).sum()
-        accuracy = min(0.995, (agree + 95) / (weight.sum() + 100))
-        prior = np.clip((weight * q).sum() / weight.sum(), 1e-4, 1 - 1e-4)
-        logit = np.log(prior / (1 - prior)) + off.sum() + x @ (on - off) + np.where(label == 1, 1, -1) * np.log(accuracy / (1 - accuracy))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q, rates, share
+        together = np.clip(cov / np.outer(sd, sd), 0, 1)
+        together = together * (together > 0.1)
+        np.fill_diagonal(together, 0)
+        q = 1 / (1 + np.exp(-np.clip(prior + number @ np.log(many_toxic / many_clean) + share @ np.log(which_toxic / which_clean), -30, 30)))
+        m = weight
+    return q, ((weight * q) @ votes + 0.1) / (weight @ votes + 1), together
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, decay: float = 2e-5) -> tuple[np.ndarray, float]:
@@ -163,11 +175,15 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
-    """A classifier from the rows of docs (doc_id, text) that have a toxic label and are not held out.
+def _place(salt: str) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, signals: int = SIGNALS) -> Classifier:
+    """A classifier from the rows of docs (doc_id, text) that are not held out, and their toxic labels.
 
-    Labels that repeat count once, documents that repeat an id each; null texts have no signal. Without labelled rows of both classes every score
-    is the rate of toxic labels (0 without labels).
+    Labels that repeat count once; of documents that repeat an id the smallest text counts; null texts have no signal.
+    Without labelled rows of both classes every score is the rate of toxic labels (0 without labels).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -177,19 +193,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Classifier([], np.zeros(len(PATTERNS)), 30.0 if toxic else -30.0)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     bound = F.when(F.col("toxic") == 1, min(1.0, per_class / toxic)).otherwise(min(1.0, per_class / clean))
-    chosen = known.where(place < bound)
-    # at most about 2 * per_class rows, whatever the input: small enough to go to where the texts are
+    chosen = known.where(_place("toxicity") < bound)
+    # about 2 * per_class rows at most, whatever the input: small enough to go to where the texts are
     chosen = F.broadcast(staged(chosen.distinct(), "chosen"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = staged(texts.join(chosen, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    some = min(1.0, per_class / max(docs.count(), 1))
+    others = texts.where(~is_held_out(F.col("doc_id")) & (_place("unlabelled") < some)).withColumn("toxic", F.lit(None).cast("int"))
+    sample = texts.join(chosen, "doc_id").select("doc_id", "text", "toxic").unionByName(others)
+    # one row for an id and label, so that a repeated id is no larger share of the sample
+    sample = staged(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = sample.mapInArrow(tidy(_counts), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # a feature in the lexicon has a chance only where toxic rows have it over their share: what is collected is far below the vocabulary
-    ahead = (F.col("toxic") >= 5) & (F.col("toxic") * float(size.get(0, 0) + 1) > 3.0 * F.col("clean") * float(size.get(1, 0) + 1))
-    best = counted.where(ahead).orderBy(F.desc(F.col("toxic") - F.col("clean")), "feature").limit(20 * SIGNALS)
-    names = select([(r["feature"], r["clean"], r["toxic"]) for r in best.collect()], size.get(0, 0), size.get(1, 0))
+    if not size.get(0) or not size.get(1):
+        return Classifier([], np.zeros(len(PATTERNS)), float(np.log(toxic / clean)))
+    heavy = {1: toxic / size[1], 0: clean / size[0]}
+    counted = sample.where("toxic is not null").mapInArrow(tidy(_counts), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sure = certainty((F.col("toxic"), heavy[1]), (F.col("clean"), heavy[0]), F.ln, F.sqrt)
+    best = counted.where(F.col("toxic") >= LEAST_ROWS).withColumn("sure", F.round(sure, 9)).where(F.col("sure") > LEAST_ODDS)
+    names = sorted({r["feature"] for r in best.orderBy(F.desc("sure"), "feature").limit(signals).collect()} | set(INSULTS))
     voters = Voters(names)
 
     def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +218,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Class
             hits = pa.array([voters.fire(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), hits, batch.column(2)], names=["doc_id", "hits", "toxic"])
 
-    rows = sorted((r["doc_id"], r["toxic"], r["hits"]) for r in sample.mapInArrow(tidy(fired), "doc_id long, hits array<int>, toxic int").collect())
+    rows = sorted(((r["doc_id"], -1 if r["toxic"] is None else r["toxic"], r["hits"]) for r in sample.mapInArrow(tidy(fired), "doc_id long, hits array<int>, toxic int").collect()), key=lambda r: r[:2])
     x, y = np.zeros((len(rows), voters.n), np.float32), np.array([r[1] for r in rows], np.int64)
     for k, (_, _, hits) in enumerate(rows):
         x[k, hits] = 1
-    if len(set(y.tolist())) < 2:
-        return Classifier([], np.zeros(len(PATTERNS)), float(np.log(toxic / clean)))
-    weight = np.where(y == 1, toxic / (y == 1).sum(), clean / (y == 0).sum())
-    q, _, _ = label_model(x, y, weight)
+    weight = np.where(y == 1, heavy[1], np.where(y == 0, heavy[0], (toxic + clean) / max(size.get(None, 0), 1)))
+    q, _, _ = label_model(ballot(names, x, y, heavy), np.where(y < 0, np.nan, y), weight)
     w, b = logistic(*thinned(x, q, weight))
     return Classifier(names, w, b)
 
 
+def ballot(names: list[str], x: np.ndarray, y: np.ndarray, heavy: dict[int, float]) -> np.ndarray:
+    """What the label model's voters vote: lexicons, and patterns that are as precise as mined signals."""
+    t, c = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
+    sure = certainty((t, heavy[1]), (c, heavy[0]), np.log, np.sqrt)
+    patterns = [x[:, k] for k in range(len(names), x.shape[1]) if t[k] >= LEAST_ROWS and sure[k] > LEAST_ODDS]
+    return np.stack([x[:, g].max(axis=1) for g in lexicons(names)] + patterns, axis=1).astype(float)
+
+
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs; empty and null texts get the intercept's score.
 
