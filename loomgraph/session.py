@@ -9,12 +9,14 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own: dict[str, str] = {}
+_paths: list[str] = []
 
 
 #: Rows that go to Python at a time, unless the session says otherwise: a batch of texts, in several copies, is some megabytes.
@@ -75,13 +77,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is removed when the driver's process ends."""
+    """A new path below the shared folder; it is removed when the driver's process ends, or its scratch() does."""
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _paths.append(path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are removed at the end: what is made of them must be written by then."""
+    at = len(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths[at:]:
+            remove(spark, path)
+        del _paths[at:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is None:
             return
