@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontam, langid, mixing, simhash, tokens
-from loomgraph.session import fresh_path, read, staged
+from loomgraph.session import fresh_path, read, remove, scratch
 
 #: No SQL has a recurrent network, fingerprints or tokenizers: the stages are tested against brute force.
 ORACLE_SQL = None
@@ -48,7 +48,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. Of the stages before, only the newest table is kept: the tables that made it go when it is written."""
+    docs, path = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        to = fresh_path(spark, name.replace(" ", "-").lower())
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(to)
+        if path is not None:
+            remove(spark, path)
+        docs, path = spark.read.schema(found.schema).parquet(to), to
     return STAGES[-1][1](spark, docs, sf_dir)
