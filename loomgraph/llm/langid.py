@@ -200,21 +200,27 @@ def is_held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network:
-    """A network trained on documents (doc_id, text, lang) that are not held out and have a language.
+#: Languages that a network tells apart: those with most documents.
+MOST_LANGUAGES = 64
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> Network:
+    """A network trained on documents (doc_id, text, lang) that are not held out and have one of the `most` frequent languages.
 
     The sample is every document whose hashed id is below a bound that gives per_language documents for each language
-    on average: at most about per_language * SPANS * SPAN bytes of each reach the driver.
+    on average (one row of each id and language, that of the smallest text): at most about per_language * SPANS * SPAN
+    bytes of each reach the driver, SPANS pieces of each text that lie evenly over it.
     """
     ship(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return Network([])
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(place < share[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(tidy(_sample(SPANS)), "lang string, doc_id long, piece binary").collect()
+    sample = known.where(place < share[F.col("lang")]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = sample.select("doc_id", "lang", "text").mapInArrow(tidy(_sample(SPANS)), "lang string, doc_id long, piece binary").collect()
     rows = sorted((r["lang"], r["doc_id"], bytes(r["piece"])) for r in rows)
     classes = sorted(counts)
     net = Network(classes)

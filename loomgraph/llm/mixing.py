@@ -20,7 +20,7 @@ from loomgraph.session import staged
 MAX_REPEATS = 3
 #: Rows of a shard, on average; a shard is what one window orders.
 SHARD_ROWS = 2048
-#: Words of a block. A corpus of under LEAST_SLOTS such blocks gets smaller ones, so that the mix is as fine in it.
+#: Words of a block, at most: it is 1 / LEAST_SLOTS of all words where that is less, so that a mix has LEAST_SLOTS slots or more.
 BLOCK_WORDS, LEAST_SLOTS = 1024, 1 << 15
 #: Cells of the unit interval through which points meet the cumulative shares.
 CELLS = 4096
@@ -75,12 +75,17 @@ def running(rows: DataFrame, key: str, shard: str, order: list[Column], value: C
     return out.join(totals, on).withColumn(name, F.col(name) + F.col("base_")).drop("k_", "s_", "base_")
 
 
+def _order(doc_id: Column, text: Column) -> Column:
+    """The shuffled order, of id and text: rows that repeat an id, or have none, lie apart unless their texts are equal too."""
+    return F.xxhash64(doc_id, text, F.lit("mix"))
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
-    order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("at", order), "sizes")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return staged(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(F.col("doc_id"), F.col("text")).alias("at")), "sizes")
 
 
-def schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, ...] = (1.0, 2.0, 3.0)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[float, ...] = (1.0, 2.0, 3.0), least_slots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, shares, pieces).
 
     rows: doc_id, source, size, pos (its place within source: unique), start (words of its source before it).
@@ -91,13 +96,13 @@ def schedule(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tuple[flo
     sized = _sizes(docs)
     shares = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("total")), pattern), "shares")
     seen = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    block_words = max(1, min(block_words, seen[1] // LEAST_SLOTS))
+    block_words = max(1, min(block_words, seen[1] // (least_slots or LEAST_SLOTS)))
     n_shards, n_slots = max(1, -(-seen[0] // SHARD_ROWS)), -(-seen[1] // block_words)
     rows = sized.withColumn("shard", F.expr(f"pmod(at, {n_shards})"))
     order = [F.col("at"), F.col("doc_id").asc_nulls_last(), F.col("size")]
     within = Window.partitionBy("source", "shard").orderBy(*order)
     rows = running(rows.withColumn("place", F.row_number().over(within)), "source", "shard", [F.col("place")], F.col("size"), "start")
-    rows = staged(rows.select("doc_id", "source", "size", "shard", "place", "start"), "rows")
+    rows = staged(rows.select("doc_id", "source", "size", "at", "shard", "place", "start"), "rows")
 
     # slot -> source: points and shares meet in a cell of the unit interval
     point = (F.col("id") + 0.5) * GOLDEN
@@ -153,7 +158,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tu
 
     The mix takes the first words of a source's run, so in its shuffled order all rows are taken `passes` times and those
     up to one last row once more: a row for each source says so, and texts need no shuffle. A run ends within one document,
-    so rounding costs half a document a source. Rows that repeat doc_id and size are taken alike. Documents without words
+    so rounding costs half a document a source. Rows that repeat doc_id and text are taken alike. Documents without words
     are not taken.
     """
     rows, shares, pieces = schedule(docs, block_words, pattern)
@@ -162,14 +167,15 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, pattern: tu
     took = pieces.groupBy(F.col("source").alias("s_")).agg(F.sum("n_words").alias("words_"))
     took = shares.select("source", "total").join(took, F.col("source").eqNullSafe(F.col("s_"))).select("s_", F.expr("words_ div total").cast("int").alias("passes_"), F.expr("words_ % total").alias("left_"))
     took = staged(took, "took")
-    at = lambda prefix: F.struct(F.col(f"{prefix}shard").cast("long").alias("h"), F.xxhash64(F.col(f"{prefix}doc_id"), F.lit("mix")).alias("at"), F.coalesce(F.col(f"{prefix}doc_id"), none).alias("d"), F.col(f"{prefix}size").alias("n"))
+    at = lambda prefix: F.struct(F.col(f"{prefix}shard").cast("long").alias("h"), F.col(f"{prefix}at").alias("at"), F.coalesce(F.col(f"{prefix}doc_id"), none).alias("d"), F.col(f"{prefix}size").alias("n"))
     once_more = rows.where("size > 0").join(took, F.col("source").eqNullSafe(F.col("s_"))).where("start + size / 2 <= left_")
     last = once_more.groupBy("s_").agg(F.max(at("")).alias("last_"))
     ends = took.join(last.withColumnRenamed("s_", "e_"), F.col("s_").eqNullSafe(F.col("e_")), "left").select("s_", "passes_", "last_")
     ends = staged(ends, "ends")
     keyed = docs.select(F.struct("*").alias("row_"))
     keyed = keyed.withColumn("k_doc_id", F.col("row_.doc_id").cast("long")).withColumn("k_size", word_count(F.col("row_.text")))
-    keyed = keyed.withColumn("k_shard", F.pmod(F.xxhash64("k_doc_id", F.lit("mix")), F.lit(n_shards)))
+    keyed = keyed.withColumn("k_at", _order(F.col("k_doc_id"), F.col("row_.text").cast("string")))
+    keyed = keyed.withColumn("k_shard", F.pmod("k_at", F.lit(n_shards)))
     out = keyed.join(ends, F.col("row_.source").cast("string").eqNullSafe(F.col("s_")))
     copies = F.col("passes_") + F.coalesce((at("k_") <= F.col("last_")).cast("int"), F.lit(0))
     out = out.where("k_size > 0").withColumn("copies_", copies).where("copies_ > 0")
