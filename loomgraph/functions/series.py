@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,27 @@ def mean(x: Column) -> Column:
     return total(x) / F.nullif(F.size(x), F.lit(0))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside a lambda, a plain column would be computed for each element again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _standardised(x: Column, flat: float) -> Column:
+    def with_mean(m: Column) -> Column:
+        sd = F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.nullif(F.size(x), F.lit(0)))
+        return bound(sd, lambda d: F.transform(x, lambda v: F.when(d == 0, F.lit(flat)).otherwise((v - m) / F.nullif(d, F.lit(0.0)))))
+
+    return bound(mean(x), with_mean)
+
+
 def z_normalised(x: Column) -> Column:
     """(x - mean) / standard deviation of the population; zeros where all values are the same."""
-    m = mean(x)
-    centred = F.transform(x, lambda v: v - m)
-    sd = F.sqrt(total(F.transform(centred, lambda v: v * v)) / F.nullif(F.size(x), F.lit(0)))
-    return F.when(sd == 0, F.transform(x, lambda v: F.lit(0.0))).otherwise(F.transform(centred, lambda v: v / F.nullif(sd, F.lit(0.0))))
+    return _standardised(x, 0.0)
+
+
+def z_list(x: Column) -> Column:
+    """As z_normalised(), of a whole list and without the guard: all NaN where all values are the same."""
+    return _standardised(x, float("nan"))
 
 
 def euclidean(a: Column, b: Column) -> Column:

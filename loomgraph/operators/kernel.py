@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from loomgraph.operators.relations import Relation
 
-#: Doubles in one working array, about.
-ROOM = 4_000_000
+#: Doubles in one working array, about: whatever the length of a series, some ten such arrays are all that a join holds.
+ROOM = 2_000_000
 
 
 def z_windows(values: np.ndarray, m: int) -> np.ndarray:
@@ -106,6 +108,13 @@ def _matrix(za: np.ndarray, zb: np.ndarray, allowed: np.ndarray, threshold: floa
             best.offer(np.full(int(sure.sum()), k + base), dist[sure], i[sure], j[sure])
 
 
+def _tiles(n_a: int, n_b: int) -> Iterator[tuple[int, int]]:
+    """Source windows in runs whose pairs with all target windows fit into a working array."""
+    step = max(1, ROOM // max(n_b, 1))
+    for lo in range(0, n_a, step):
+        yield lo, min(lo + step, n_a)
+
+
 def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset: int, threshold: float) -> Best:
     """Pairs of series (rows of a and b) whose grids are `offset` steps apart."""
     best, n_a, n_b = Best(len(a)), a.shape[1] - m + 1, b.shape[1] - m + 1
@@ -121,18 +130,46 @@ def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset:
             for k in range(1, m - 1):
                 _shifted(za, zb, offset + k, threshold, best, lo)
         else:
-            allowed = np.ones((n_a, n_b), bool)
-            if relation is Relation.BEFORE:
-                allowed = np.arange(n_b)[None, :] >= np.arange(n_a)[:, None] + m + offset
-            if allowed.any():
-                _matrix(za, zb, allowed[None], threshold, best, lo)
+            for x, y in _tiles(n_a, n_b):
+                if relation is Relation.BEFORE:
+                    allowed = np.arange(n_b)[None, :] >= np.arange(x, y)[:, None] + m + offset
+                    if not allowed.any():
+                        continue
+                else:
+                    allowed = np.ones((1, 1), bool)
+                part = Best(len(za))
+                _matrix(za[:, x:y], zb, allowed[None], threshold, part, 0)
+                best.offer(np.arange(len(za)) + lo, part.dist, part.i + x, part.j)
     return best
 
 
-def stamp_relations(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> dict[str, np.ndarray]:
-    """Masks (source windows, target windows) of the relations that the matrix-profile methods read off timestamps."""
+def stamp_relation(name: str, start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """Mask (source windows, target windows) of a relation that the matrix-profile methods read off timestamps.
+
+    crosses is overlaps with those that start together."""
     sa, ea, sb, eb = start_a[:, None], end_a[:, None], start_b[None, :], end_b[None, :]
-    return {"equal": (sa == sb) & (ea == eb), "meets": sb == ea + 1_000_000, "overlaps": (sa < eb) & (ea > sb) & (sa != sb), "before": ea < sb, "crosses": (sa < eb) & (ea > sb)}
+    if name == "equal":
+        return (sa == sb) & (ea == eb)
+    if name == "meets":
+        return sb == ea + 1_000_000
+    if name == "before":
+        return ea < sb
+    return (sa < eb) & (ea > sb) & ((sa != sb) | (name == "crosses"))
+
+
+def _direct(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray, relation: Relation) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of equal or meeting windows, by one lookup of each source's time among the target's start times.
+
+    Of repeated start times the last target stands."""
+    order = np.argsort(start_b, kind="stable")
+    starts, wanted = start_b[order], start_a if relation is Relation.EQUAL else end_a + 1_000_000
+    at = np.searchsorted(starts, wanted, side="right") - 1
+    i = np.flatnonzero((at >= 0) & (starts[np.maximum(at, 0)] == wanted)) if len(starts) else np.empty(0, np.int64)
+    j = order[at[i]]
+    if relation is Relation.EQUAL:
+        same = end_a[i] == end_b[j]
+        i, j = i[same], j[same]
+    return i, j
 
 
 def profile_join(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m: int, relation: Relation) -> tuple[int, int, float] | None:
@@ -143,24 +180,43 @@ def profile_join(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m
     """
     if relation is Relation.NONE:
         return None
-    mask = stamp_relations(ta[: len(a) - m + 1], ta[m - 1 :], tb[: len(b) - m + 1], tb[m - 1 :])[relation.value]
-    direct = relation in (Relation.EQUAL, Relation.MEETS)
-    if direct:
-        starts = tb[: len(b) - m + 1]
-        final = np.array([not (starts[k + 1 :] == starts[k]).any() for k in range(len(starts))]) if len(np.unique(starts)) < len(starts) else np.ones(len(starts), bool)
-        mask = mask & final[None, :]
-    if not mask.any():
-        return None
-    za, zb, best = z_windows(a[None], m), z_windows(b[None], m), Best(1)
-    if direct:
-        i, j = np.nonzero(mask)
-        dist = rounded(np.sqrt(((za[0, i] - zb[0, j]) ** 2).sum(axis=1)))
+    times = ta[: len(a) - m + 1], ta[m - 1 :], tb[: len(b) - m + 1], tb[m - 1 :]
+    best = Best(1)
+    if relation in (Relation.EQUAL, Relation.MEETS):
+        i, j = _direct(*times, relation)
+        if not len(i):
+            return None
+        za, zb = z_windows(a[None], m)[0], z_windows(b[None], m)[0]
+        dist = rounded(np.sqrt(((za[i] - zb[j]) ** 2).sum(axis=1)))
         best.i[:] = len(a)
         best.offer(np.zeros(len(i), int), dist, i, j, last=False)
     else:
-        step = max(1, ROOM // zb.shape[1])
-        for lo in range(0, za.shape[1], step):
-            part = Best(1)
-            _matrix(za[:, lo : lo + step], zb, mask[None, lo : lo + step], None, part, 0)
-            best.offer(np.zeros(1, int), part.dist, part.i + lo, part.j)
+        za, zb = z_windows(a[None], m), z_windows(b[None], m)
+        for x, y in _tiles(za.shape[1], zb.shape[1]):
+            mask = stamp_relation(relation.value, times[0][x:y], times[1][x:y], *times[2:])
+            if mask.any():
+                part = Best(1)
+                _matrix(za[:, x:y], zb, mask[None], None, part, 0)
+                best.offer(np.zeros(1, int), part.dist, part.i + x, part.j)
     return None if not np.isfinite(best.dist[0]) else (int(best.i[0]), int(best.j[0]), float(best.dist[0]))
+
+
+def classified(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m: int) -> dict[str, tuple[int, float]]:
+    """By relation, the window pairs (how many, least distance) of which it is the first that holds."""
+    times = ta[: len(a) - m + 1], ta[m - 1 :], tb[: len(b) - m + 1], tb[m - 1 :]
+    za, zb = z_windows(a[None], m)[0], z_windows(b[None], m)[0]
+    found: dict[str, tuple[int, float]] = {}
+    for x, y in _tiles(len(za), len(zb)):
+        left = np.ones((y - x, len(zb)), bool)
+        for name in ("equal", "meets", "overlaps", "before"):
+            # what starts together but ends apart overlaps here
+            mask = stamp_relation("crosses" if name == "overlaps" else name, times[0][x:y], times[1][x:y], *times[2:]) & left
+            left &= ~mask
+            i, j = np.nonzero(mask)
+            if len(i):
+                n, least = found.get(name, (0, np.inf))
+                for q in range(0, len(i), 65536):
+                    apart = za[i[q : q + 65536] + x] - zb[j[q : q + 65536]]
+                    least = min(least, float(rounded(np.sqrt((apart**2).sum(axis=1))).min()))
+                found[name] = (n + len(i), least)
+    return found

@@ -71,8 +71,10 @@ def hops(graph: HybridGraph, start: Node, edge: Edge, n: int, through: Node = No
 def both(left: DataFrame, right: DataFrame, on: dict[int, int]) -> DataFrame:
     """Two patterns of one match: on maps places of left's nodes to places of right's that are the same node.
 
-    Edges differ over the whole match.
+    Edges differ over the whole match. Patterns without a common node are an error, not a cross join.
     """
+    if not on:
+        raise ValueError("two patterns of one match have a node in common")
     r = right.select(F.col("nodes").alias("other_nodes"), F.col("edge_ids").alias("other_edges"))
     for k, j in on.items():
         left, r = left.withColumn(f"k{k}", F.col("nodes")[k]), r.withColumn(f"k{k}", F.col("other_nodes")[j])
@@ -92,9 +94,11 @@ def where_nodes(paths: DataFrame, graph: HybridGraph, names: dict[int, str], con
     return out.where(condition).select(*paths.columns)
 
 
-def every_node(paths: DataFrame, ids: DataFrame) -> DataFrame:
-    """Paths all of whose nodes are among ids (node_id): one semi-join for each place."""
-    longest = paths.agg(F.max(F.size("nodes"))).first()[0] or 0
+def every_node(paths: DataFrame, ids: DataFrame, longest: int | None = None) -> DataFrame:
+    """Paths all of whose nodes are among ids (node_id): one semi-join for each place.
+
+    longest is the nodes of the longest path; without it, it is looked up first."""
+    longest = (paths.agg(F.max(F.size("nodes"))).first()[0] or 0) if longest is None else longest
     for k in range(longest):
         have = ids.select(F.col("node_id").alias("id_"))
         here = F.get("nodes", F.lit(k))

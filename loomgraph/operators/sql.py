@@ -53,19 +53,22 @@ def register(spark: SparkSession, name: str = "td_join") -> None:
 
 
 class SeriesCache:
-    """Series of one type kept for several joins; clear() lets them go."""
+    """Series of one type kept for several joins; clear() lets them go.
+
+    A table is known by its object, which the cache holds on to: another table never gets its rows.
+    """
 
     def __init__(self) -> None:
-        self._kept: dict[tuple[int, str], DataFrame] = {}
+        self._kept: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
 
     def series(self, series: DataFrame, ts_type: str) -> DataFrame:
         key = (id(series), ts_type)
         if key not in self._kept:
-            self._kept[key] = series.where(series["ts_type"] == ts_type).persist()
-        return self._kept[key]
+            self._kept[key] = series, series.where(series["ts_type"] == ts_type).persist()
+        return self._kept[key][1]
 
     def clear(self) -> str:
-        for df in self._kept.values():
+        for _, df in self._kept.values():
             df.unpersist()
         self._kept.clear()
         return "Cache cleared"

@@ -125,16 +125,8 @@ def classify(pairs: DataFrame, series: DataFrame, ts_type: str, w: int) -> DataF
             ta, va, tb, vb = (_rows(batch.column(k), t) for k, t in ((2, np.int64), (3, float), (4, np.int64), (5, float)))
             out = []
             for k in range(batch.num_rows):
-                masks = kernel.stamp_relations(ta[k][: len(ta[k]) - w + 1], ta[k][w - 1 :], tb[k][: len(tb[k]) - w + 1], tb[k][w - 1 :])
-                za, zb = kernel.z_windows(va[k][None], w)[0], kernel.z_windows(vb[k][None], w)[0]
-                left = np.ones((len(za), len(zb)), bool)
-                for name in ("equal", "meets", "overlaps", "before"):
-                    mask = masks["crosses" if name == "overlaps" else name]  # what starts together but ends apart overlaps here
-                    i, j = np.nonzero(mask & left)
-                    left &= ~mask
-                    if len(i):
-                        least = min(float(kernel.rounded(np.sqrt(((za[i[q : q + 65536]] - zb[j[q : q + 65536]]) ** 2).sum(axis=1))).min()) for q in range(0, len(i), 65536))
-                        out.append((k, name, len(i), least))
+                found = kernel.classified(va[k], ta[k], vb[k], tb[k], w)
+                out += [(k, name, *found[name]) for name in found]
             take = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.float64())], names=["src", "dst", "relation", "n", "dist"])
 

@@ -61,6 +61,18 @@ def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: s
     return out.drop("pin")
 
 
+def both_walks(paths: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float, n_hops: int, method: str = "td") -> DataFrame:
+    """paths with hops_2cont and hops_cont, for those that match under either semantics: what path costs are compared on."""
+    free = temporal_walk(paths, series, ts_type, relation, w, threshold, "2cont", method, n_hops).withColumnRenamed("hops", "hops_2cont")
+    return temporal_walk(free, series, ts_type, relation, w, threshold, "cont", method, n_hops).withColumnRenamed("hops", "hops_cont")
+
+
+def matching(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td") -> DataFrame:
+    """Rows of pairs (src, dst and any other columns) whose series match, repeats included."""
+    hits = td_join(pairs, series, ts_type, relation, w, threshold, method).select("src", "dst")
+    return pairs.join(hits, ["src", "dst"], "left_semi").select(pairs.columns)
+
+
 def virtual_edges(walked: DataFrame, series: DataFrame, ts_type: str, w: int, threshold: float) -> DataFrame:
     """A row for each hop of each path: src, dst, both windows' points (ts, v), ts_type, sub_length, threshold."""
     hop = walked.select("nodes", F.posexplode("hops").alias("hop", "h")).select("nodes", "hop", "h.*")
@@ -75,5 +87,4 @@ def virtual_edges(walked: DataFrame, series: DataFrame, ts_type: str, w: int, th
 def count_matches(paths: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td") -> DataFrame:
     """n: paths of one hop that match; a semi-join of the pairs, no windows are kept."""
     ends = paths.select(F.col("nodes")[0].alias("src"), F.col("nodes")[1].alias("dst"))
-    hits = td_join(ends, series, ts_type, relation, w, threshold, method).select("src", "dst")
-    return ends.join(hits, ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    return matching(ends, series, ts_type, relation, w, threshold, method).agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from loomgraph.functions import series as fn
 from loomgraph.operators import pattern
 from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.tdjoin import classify, compatible_pairs, td_join
-from loomgraph.operators.walk import count_matches, temporal_walk, virtual_edges
+from loomgraph.operators.walk import both_walks, count_matches, matching, temporal_walk, virtual_edges
 from loomgraph.plans import testgraph
 from loomgraph.plans.model import HybridGraph, first_points, from_lists, from_points
 from loomgraph.session import read
@@ -131,6 +131,12 @@ def stamp_meets_seconds(spark, sf_dir):
     return _hits(td_join(g.edges, _seconds(g), "signal", "meets", 20, method="stamp"))
 
 
+@query("stomp_meets_seconds", f"WITH {_SECONDS}, {windows_sql('signal', 12)}, {join_sql('e', 'meets', 12, 0, method='stomp')} SELECT src, dst, i, j, dist FROM hit")
+def stomp_meets_seconds(spark, sf_dir):
+    g = testgraph.vectors(spark, sf_dir)
+    return _hits(td_join(g.edges, _seconds(g), "signal", "meets", 12, method="stomp"))
+
+
 _SHIFTED = testgraph.VECTORS_SQL.replace("s AS (SELECT vec_id", "s0 AS (SELECT vec_id") + ",\ns AS (SELECT node, ts_type, list_transform(ts, lambda t: t + (node % 2) * 1800000000) AS ts, v FROM s0)"
 
 
@@ -248,6 +254,33 @@ _register_walk("stomp_walk2_n2", 2, "before", 6, 0.0, "2cont", "stomp")
 _register_walk("stomp_cont_n2", 2, "before", 6, 0.0, "cont", "stomp")
 
 
+def _register_cost(n: int, relation: str, w: int, threshold: float) -> None:
+    parts = [testgraph.TRADE_SQL, _paths_sql(n), windows_sql("revenue", w), "pairs AS (" + " UNION ".join(f"SELECT n{k} AS src, n{k + 1} AS dst FROM paths" for k in range(n)) + ")", join_sql("pairs", relation, w, threshold)]
+    done = "paths"
+    for k in range(n):
+        pin = f", j{k - 1} AS pin" if k else ""
+        parts.append(f"front{k} AS (SELECT n{k} AS src, n{k + 1} AS dst{pin} FROM {done})")
+        parts.append(join_sql(f"front{k}", relation, w, threshold, f"hop{k}", pinned=bool(k)))
+        on = f"h.src = p.n{k} AND h.dst = p.n{k + 1}" + (f" AND h.pin = p.j{k - 1}" if k else "")
+        parts.append(f"walk{k} AS (SELECT p.*, h.i AS i{k}, h.j AS j{k}, h.dist AS dist{k} FROM {done} p JOIN hop{k} h ON {on})")
+        done = f"walk{k}"
+    columns = ", ".join(["p.*"] + [f"f{k}.i AS free_i{k}, f{k}.j AS free_j{k}, f{k}.dist AS free_dist{k}" for k in range(n)])
+    joins = " ".join(f"JOIN hit f{k} ON f{k}.src = p.n{k} AND f{k}.dst = p.n{k + 1}" for k in range(n))
+
+    @query(f"path_cost_n{n}", "WITH " + ", ".join(parts) + f" SELECT {columns} FROM {done} p {joins}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = testgraph.trade(spark, sf_dir)
+        found = both_walks(_asia_paths(g, n), g.series, "revenue", relation, w, threshold, n)
+        columns = [F.col("nodes")[k].alias(f"n{k}") for k in range(n + 1)]
+        for name, hops in (("", "hops_cont"), ("free_", "hops_2cont")):
+            columns += [F.col(hops)[k][c].alias(f"{name}{c}{k}") for k in range(n) for c in ("i", "j", "dist")]
+        return found.select(*columns)
+
+
+for _n in (1, 2, 3):
+    _register_cost(_n, "overlaps", 8, 0.3)
+
+
 @query(
     "walk_count",
     f"""WITH {testgraph.TRADE_SQL}, one AS (SELECT src, dst FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.region = 'ASIA' AND b.region = 'EUROPE'),
@@ -355,6 +388,86 @@ def match_skip_limit(spark, sf_dir):
     return _ends(pattern.page(pattern.hops(testgraph.vectors(spark, sf_dir), Node(), Edge(), 2), 3, 5), 2)
 
 
+# ---- patterns, then the temporal join ----
+
+
+def _selected(name: str, graph: str, ctes: str, ts_type: str, relation: str, w: int, threshold: float):
+    """A query whose pattern is the CTE m (src, dst, and what tells matches apart): by pair, how many matches there are whose series match."""
+    text = f"WITH {_GRAPHS[graph][1]}, {ctes}, {windows_sql(ts_type, w)}, {join_sql('m', relation, w, threshold)} SELECT m.src, m.dst, count(*) AS n FROM m JOIN hit h ON h.src = m.src AND h.dst = m.dst GROUP BY 1, 2"
+
+    def register(pairs: Callable[[SparkSession, str, HybridGraph], DataFrame]):
+        @query(name, text)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            g = _GRAPHS[graph][0](spark, sf_dir)
+            found = matching(pairs(spark, sf_dir, g).select("src", "dst"), g.series, ts_type, relation, w, threshold)
+            return found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+        return run
+
+    return register
+
+
+def _ends_of(paths: DataFrame, a: int = 0, b: int = 1) -> DataFrame:
+    return paths.select(F.col("nodes")[a].alias("src"), F.col("nodes")[b].alias("dst"))
+
+
+def _owned(g: HybridGraph, kinds: tuple[str, ...]) -> DataFrame:
+    """Buyers of both ends of an edge, as owners of accounts: p1 -> a1 -> a2 <- p2."""
+    left = pattern.match(g, Node(), (Edge(("purchase",)), Node()), (Edge(kinds), Node()))
+    return pattern.both(left, pattern.match(g, Node(), (Edge(("purchase",)), Node())), {2: 1})
+
+
+def _owned_sql(kinds: str, more: str = "") -> str:
+    distinct = "b.edge_id <> a.edge_id AND c.edge_id <> a.edge_id AND c.edge_id <> b.edge_id"
+    return f"m AS (SELECT b.src, b.dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.dst = b.dst JOIN n x ON x.node_id = a.src JOIN n y ON y.node_id = c.src WHERE a.type = 'purchase' AND c.type = 'purchase' AND b.type IN ({kinds}) AND {distinct} {more})"
+
+
+@_selected("sel_owners_differ", "users", _owned_sql("'click'", "AND x.team <> y.team"), "value", "overlaps", 7, 0.85)
+def sel_owners_differ(spark, sf_dir, g):
+    m = _owned(g, ("click",)).select(F.array(F.col("nodes")[0], F.col("nodes")[1], F.col("nodes")[2], F.col("other_nodes")[0]).alias("nodes"), "edge_ids")
+    return _ends_of(pattern.where_nodes(m, g, {0: "a", 3: "b"}, "a_team <> b_team", ["team"]), 1, 2)
+
+
+@_selected("sel_owners_any", "users", _owned_sql("'click', 'view'"), "value", "before", 7, 0.9)
+def sel_owners_any(spark, sf_dir, g):
+    return _ends_of(_owned(g, ("click", "view")), 1, 2)
+
+
+@_selected("sel_directed", "users", "m AS (SELECT src, dst FROM e WHERE type = 'click')", "value", "equal", 7, 0.6)
+def sel_directed(spark, sf_dir, g):
+    return _ends_of(pattern.match(g, Node(), (Edge(("click",)), Node())))
+
+
+@_selected("sel_undirected", "users", "m AS (SELECT x.src, x.dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst) x JOIN n a ON a.node_id = x.src WHERE a.team = 3)", "value", "meets", 7, 0.5)
+def sel_undirected(spark, sf_dir, g):
+    return _ends_of(pattern.match(g, Node("User", "team = 3"), (Edge((), "any"), Node())))
+
+
+@_selected("sel_proximity", "users", "m AS (SELECT e.src, e.dst FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE abs(a.lat - b.lat) < 1.5)", "value", "overlaps", 5, 0.9)
+def sel_proximity(spark, sf_dir, g):
+    return _ends_of(pattern.where_nodes(pattern.match(g, Node(), (Edge(), Node())), g, {0: "a", 1: "b"}, "abs(a_lat - b_lat) < 1.5", ["lat"]))
+
+
+@_selected("sel_limit_then_join", "vectors", "m AS (SELECT src, dst FROM e ORDER BY edge_id, src, dst LIMIT 60 OFFSET 5)", "signal", "overlaps", 20, 0.3)
+def sel_limit_then_join(spark, sf_dir, g):
+    return _ends_of(pattern.page(pattern.match(g, Node(), (Edge(), Node())), 5, 60))
+
+
+@_selected("sel_both_ends", "trade", "m AS (SELECT src, dst FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.region = 'ASIA' AND b.region = 'EUROPE')", "revenue", "overlaps", 30, 0.3)
+def sel_both_ends(spark, sf_dir, g):
+    return _ends_of(pattern.match(g, Node("Nation", "region = 'ASIA'"), (Edge(("TRADES",)), Node("Nation", "region = 'EUROPE'"))))
+
+
+_USER_PEOPLE = "people AS (SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'M' ELSE 'F' END AS gender, node_id % 11 AS last, node_id % 5 AS city, 1940 + (node_id * 7) % 60 AS y FROM n)"
+
+
+@_selected("sel_fathers", "users", f"{_USER_PEOPLE}, m AS (SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.last = b.last AND a.gender = 'M' AND b.y - a.y BETWEEN 25 AND 35)", "value", "overlaps", 7, 0.5)
+def sel_fathers(spark, sf_dir, g):
+    k = F.col("node_id")
+    people = g.nodes.select("node_id", F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), (k % 11).alias("last"), (k % 5).alias("city"), F.make_date((F.lit(1940) + (k * 7) % 60).cast("int"), F.lit(1), F.lit(1)).alias("birthdate"))
+    return loaders.father_of(people)
+
+
 # ---- ingestion ----
 
 _PEOPLE = "people AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, (c_custkey // 40)::VARCHAR AS last, (c_custkey // 200)::VARCHAR AS city, 1940 + (c_custkey * 7) % 60 AS y FROM customer)"
@@ -408,7 +521,7 @@ def list_slice_500(spark, sf_dir):
     return s.select("node_id", fn.total(F.col("v")).alias("total"), F.size("v").cast("long").alias("n"))
 
 
-@query("node_sample")
+@query("node_sample", "SELECT c_custkey AS node_id FROM customer WHERE ('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT < 2147483648")
 def node_sample(spark, sf_dir):
     return synthetic.half(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id")))
 
@@ -429,6 +542,12 @@ def znorm_windows(spark, sf_dir):
     return w.select("node_id", "i", F.round(fn.total(F.transform("z", F.abs)), 6).alias("size"), F.round(F.col("z")[0], 6).alias("z0"))
 
 
+@query("znorm_list", f"WITH {testgraph.VECTORS_SQL}, a AS (SELECT node, v, list_sum(v) / len(v) AS mu FROM s) SELECT node AS node_id, round(list_sum(list_transform(v, lambda y: abs(y - mu))) / sqrt(list_sum(list_transform(v, lambda y: (y - mu) * (y - mu))) / len(v)), 6) AS size FROM a")
+def znorm_list(spark, sf_dir):
+    s = testgraph.vectors(spark, sf_dir).series
+    return s.select("node_id", F.round(fn.total(F.transform(fn.z_list(F.col("v")), F.abs)), 6).alias("size"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = testgraph.vectors(spark, sf_dir)
     v = g.series.select("node_id", "v")

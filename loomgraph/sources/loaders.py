@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.model import first_points, from_lists
+from loomgraph.plans.model import HybridGraph, first_points, from_lists
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -74,14 +74,20 @@ def bank_nodes(spark: SparkSession, folder: str, label: str) -> DataFrame:
 
 
 def bank_edges(spark: SparkSession, folder: str, file: str, nodes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Edges of one file; with nodes by label, only those whose ends exist. Every row is an edge of its own."""
+    """Edges of one file; with nodes by label, only those whose ends exist. Every row is an edge of its own.
+
+    edge_id is the hash of the row's values and its number among equal rows: the same whenever the file is read."""
     kind, a, ka, b, kb, more = BANK_EDGES[file]
     rows = read_delimited(spark, f"{folder}/{file}.csv", f"{ka} long, {kb} long, {more}", "|")
-    rows = rows.select(F.concat_ws(":", F.lit(a), F.col(ka)).alias("src"), F.concat_ws(":", F.lit(b), F.col(kb)).alias("dst"), F.lit(kind).alias("type"), *[n for n, _ in _kinds(more)])
+    values = rows.columns
+    rows = rows.groupBy(*values).agg(F.count(F.lit(1)).cast("int").alias("equal_")).withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("equal_"))))
+    # two hashes: 64 bits alone would meet by chance among some billions of edges
+    number = F.concat_ws("-", F.hex(F.xxhash64(*values)), F.hex(F.xxhash64(F.lit(1), *values)), "nth_")
+    rows = rows.select(number.alias("number_"), F.concat_ws(":", F.lit(a), F.col(ka)).alias("src"), F.concat_ws(":", F.lit(b), F.col(kb)).alias("dst"), F.lit(kind).alias("type"), *[n for n, _ in _kinds(more)])
     for side, label in (("src", a), ("dst", b)):
         if nodes is not None:
             rows = rows.join(nodes[label].select(F.col("node_id").alias(side)), side)
-    return rows.withColumn("edge_id", F.concat_ws("#", F.lit(file), F.monotonically_increasing_id()))
+    return rows.withColumn("edge_id", F.concat_ws("#", F.lit(file), "number_")).drop("number_")
 
 
 def bank_balances(spark: SparkSession, path: str) -> DataFrame:
@@ -132,14 +138,53 @@ def stations(spark: SparkSession, path: str, points: int = 500) -> tuple[DataFra
     return nodes, _unnest(rows, "station_id", STATION_SERIES, points)
 
 
-def trips(spark: SparkSession, path: str, points: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(edges, series of the edges): one edge for each (from, to, start, end)."""
-    rows = spark.read.schema(TRIP).option("multiLine", True).json(path).dropDuplicates(["from", "to", "start", "end"])
-    rows = rows.withColumn("edge_id", F.concat_ws("|", "from", "to", "start", "end"))
+def trips(spark: SparkSession, path: str, points: int = 500, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, series of the edges): one edge for each (from, to, start, end), of repeats the row of the least series.
+
+    With nodes (node_id), only edges whose stations both exist."""
+    key = ["from", "to", "start", "end"]
+    rows = spark.read.schema(TRIP).option("multiLine", True).json(path).groupBy(*key).agg(F.min("ts").alias("ts"))
+    for end in ("from", "to") if nodes is not None else ():
+        rows = rows.join(nodes.select(F.col("node_id").alias(end)).distinct(), end, "left_semi")
+    rows = rows.withColumn("edge_id", F.concat_ws("|", *key))
     edges = rows.select("edge_id", F.col("from").alias("src"), F.col("to").alias("dst"), F.lit("SUPER_EDGE").alias("type"), F.col("start").try_cast("timestamp").alias("start"), F.col("end").try_cast("timestamp").alias("end"))
     return edges, _unnest(rows, "edge_id", TRIP_SERIES, points)
 
 
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def bank(spark: SparkSession, folder: str, balances: str = "account_balances.csv") -> HybridGraph:
+    """The whole bank graph of a folder: five node files, thirteen edge files, the accounts' balances."""
+    nodes = {label: bank_nodes(spark, folder, label) for label in BANK_NODES}
+    edges = [bank_edges(spark, folder, file, nodes) for file in BANK_EDGES]
+    # columns of one name have one kind only within a label; the graph's are texts where kinds differ
+    kinds: dict[str, set[str]] = {}
+    for df in nodes.values():
+        for name, kind in df.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    plain = [df.select(*[F.col(c).cast("string").alias(c) if len(kinds[c]) > 1 else F.col(c) for c in df.columns]) for df in nodes.values()]
+    return HybridGraph(_together(plain), _together(edges), bank_balances(spark, f"{folder}/{balances}"))
+
+
+def hospital(spark: SparkSession, folder: str) -> HybridGraph:
+    """The whole patient graph of a folder: patients.csv, timeseries.csv, and the three derived edge types."""
+    people = patients(spark, f"{folder}/patients.csv")
+    fathers = father_of(people)
+    return HybridGraph(people, _together([fathers, mother_of(people, fathers), classmates(people)]), patient_series(spark, f"{folder}/timeseries.csv"))
+
+
+def bikes(spark: SparkSession, folder: str, points: int = 500) -> HybridGraph:
+    """The whole bike graph of a folder: nodes.json, edges.json; series of stations and of trips."""
+    nodes, series = stations(spark, f"{folder}/nodes.json", points)
+    edges, of_edges = trips(spark, f"{folder}/edges.json", points, nodes)
+    return HybridGraph(nodes, edges, series.unionByName(of_edges))
+
+
 def sensors(spark: SparkSession, path: str) -> DataFrame:
     """Road sensors: node_id, latitude, longitude as Parquet, CSV with a header or JSON, by the path's ending."""
     kind = path.rstrip("/").rsplit(".", 1)[-1]
@@ -182,4 +227,4 @@ def write_graph(nodes: DataFrame, edges: DataFrame, series: DataFrame, folder: s
 
 
 def append_results(rows: DataFrame, folder: str) -> None:
-    rows.coalesce(1).write.mode("append").option("header", True).option("sep", ";").csv(folder)
+    rows.write.mode("append").option("header", True).option("sep", ";").csv(folder)

@@ -50,5 +50,6 @@ def balances(accounts: DataFrame, days: int = DAYS_A_YEAR, start: str = "2022-01
 
 
 def half(nodes: DataFrame, share: float = 0.5, seed: int = 42) -> DataFrame:
-    """A sample by hashed id: the same rows in any order or partitioning."""
-    return nodes.where(F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """A sample by the first 32 bits of the md5 of seed and id: the same rows in any order or partitioning, or engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("node_id").cast("string"))), 1, 8)
+    return nodes.where(F.conv(digits, 16, 10).cast("long") < int(share * (1 << 32)))

@@ -120,3 +120,50 @@ def test_points_arrive_as_a_stream(spark, tmp_path):
     q = windowed_means(stream, "12 hours").writeStream.format("memory").queryName("means_").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.v, r.n) for r in spark.sql("SELECT * FROM means_ ORDER BY start").collect()][:2] == [(5.5, 24), (17.5, 24)]
+
+
+def test_the_cache_never_gives_another_tables_rows(spark):
+    cache = sql.SeriesCache()
+    for k in range(30):
+        table = spark.createDataFrame([(k, "x", [k], [float(k)])], "node_id long, ts_type string, ts array<long>, v array<double>")
+        assert cache.series(table, "x").first().node_id == k
+        del table
+    cache.clear()
+
+
+def _write(df, path, sep):
+    df.coalesce(1).toPandas().to_csv(path, sep=sep, index=False)
+
+
+def test_a_whole_bank(spark, tmp_path):
+    folder, sf = str(tmp_path), "/root/testdata/sf0.001"
+    keep = {"long": "l_orderkey % 40", "double": "l_extendedprice", "timestamp": "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss')", "string": "concat('t', l_linenumber)", "boolean": "l_linenumber = 1", "millis": "unix_millis(cast(l_shipdate AS timestamp))"}
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").limit(300)
+    for label, (key, columns) in loaders.BANK_NODES.items():
+        kinds = [c for c in loaders._kinds(columns) if c[0] != key]
+        rows = spark.range(30).join(lines.limit(1))
+        _write(rows.selectExpr(f"id AS {key}", *[f"{keep[k]} AS {n}" for n, k in kinds]), f"{folder}/{label}.csv", "|")
+    for file, (_, _, a, _, b, more) in loaders.BANK_EDGES.items():
+        rows = lines.selectExpr(f"l_orderkey % 40 AS {a}", f"l_partkey % 33 AS {b}", *[f"{keep[k]} AS {n}" for n, k in loaders._kinds(more)])
+        _write(rows.union(rows.limit(2)), f"{folder}/{file}.csv", "|")
+    _write(spark.sql("SELECT id, \"['2024-01-01T00:00:00+0000', '2024-01-02T00:00:00+0000']\" AS balance_timestamps, concat('[1.5, ', id, ']') AS balance_values FROM range(15)"), f"{folder}/account_balances.csv", ",")
+    g = loaders.bank(spark, folder)
+    assert g.nodes.count() == 150 and g.series.count() == 15
+    edges = g.edges.select("edge_id", "src", "dst", "type").collect()
+    want = lines.where("l_orderkey % 40 < 30 AND l_partkey % 33 < 30").count()
+    assert 13 * want <= len(edges) <= 13 * (want + 2) and len({e.edge_id for e in edges}) == len(edges)
+    assert sorted(edges) == sorted(loaders.bank(spark, folder).edges.select("edge_id", "src", "dst", "type").repartition(7).collect())
+
+
+def test_trips_of_known_stations(spark, tmp_path):
+    import json
+
+    point = lambda v: [{"Start": "2024-01-01T00:00:00", "Value": v}]
+    series = lambda names, v: {n: point(v) for n in names}
+    stations = [{"station_id": s, "name": s, "capacity": 3, "lat": 1.0, "lon": 2.0, "start": "2024-01-01", "end": "2024-02-01", "ts": series(loaders.STATION_SERIES, 1.0)} for s in "ab"]
+    trips = [{"from": a, "to": b, "start": "2024-01-01", "end": "2024-01-02", "ts": series(loaders.TRIP_SERIES, v)} for a, b, v in (("a", "b", 7.0), ("a", "b", 5.0), ("b", "x", 1.0), ("x", "a", 1.0), ("b", "a", 2.0))]
+    (tmp_path / "nodes.json").write_text(json.dumps(stations))
+    (tmp_path / "edges.json").write_text(json.dumps(trips))
+    g = loaders.bikes(spark, str(tmp_path))
+    assert sorted((e.src, e.dst) for e in g.edges.collect()) == [("a", "b"), ("b", "a")]
+    assert {tuple(r.v) for r in g.series.where("ts_type = 'num_bikes'").collect()} == {(5.0,), (2.0,)} and g.series.where("node_id = 'a'").count() == 4

@@ -6,8 +6,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import emulator
+import numpy as np
 from pyspark.sql import functions as F
 
+from loomgraph.operators import kernel
 from loomgraph.operators.relations import Relation, target_range
 from loomgraph.operators.tdjoin import classify, td_join
 
@@ -147,3 +149,31 @@ def test_target_range():
     assert target_range(Relation.OVERLAPS, 0, 0, 4, 9) == (1, 2)
     assert target_range(Relation.NONE, 5, 0, 4, 3) == (0, 2)
     assert target_range(Relation.MEETS, 0, 6, 4, 5) is None
+
+
+@pytest.mark.parametrize("relation", KINDS)
+def test_tiles_change_nothing(monkeypatch, relation):
+    """With a working array of a few windows, joins and classes are the same."""
+    rnd = np.random.default_rng(5)
+    a, b = rnd.integers(0, 4, (3, 40)).astype(float), rnd.integers(0, 4, (3, 33)).astype(float)
+    ta, tb = np.arange(40) * DAY, np.sort(rnd.integers(-3, 36, 33)) * DAY
+    def run():
+        best = kernel.grid_join(a, b, 5, Relation.of(relation), 2, 0.3)
+        return best.dist.tolist(), best.i.tolist(), best.j.tolist(), [kernel.profile_join(x, ta, y, tb, 5, Relation.of(relation)) for x, y in zip(a, b)], [kernel.classified(x, ta, y, tb, 5) for x, y in zip(a, b)]
+
+    want = run()
+    for room in (1, 70, 500):
+        monkeypatch.setattr(kernel, "ROOM", room)
+        assert run() == want
+
+
+def test_memory_does_not_grow_with_the_square_of_the_length():
+    import tracemalloc
+
+    rnd = np.random.default_rng(6)
+    a, b = rnd.random((2, 1, 20_000))
+    tracemalloc.start()
+    best = kernel.grid_join(a, b, 8, Relation.BEFORE, 0, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.i[0] >= 0 and peak < 300e6
