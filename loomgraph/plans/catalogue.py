@@ -178,17 +178,10 @@ for _relation, _w, _t in (("equal", 8, -1.0), ("meets", 8, 0.0), ("before", 8, 0
     "stamp_classify",
     f"""WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 40)},
 c AS (SELECT p.src, p.dst, CASE WHEN a.ti = b.ti AND a.te = b.te THEN 'equal' WHEN b.ti = a.te + 1000000 THEN 'meets' WHEN a.ti < b.te AND a.te > b.ti THEN 'overlaps' WHEN a.te < b.ti THEN 'before' END AS relation, floor(list_distance(a.z, b.z) * 1e5 + 0.5) / 1e5 AS dist
- FROM e p JOIN win a ON a.node = p.src JOIN win b ON b.node = p.dst WHERE p.src < 5)
+ FROM e p JOIN win a ON a.node = p.src JOIN win b ON b.node = p.dst)
 SELECT src, dst, relation, count(*) AS n, min(dist) AS dist FROM c WHERE relation IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def stamp_classify(spark, sf_dir):
-    g = testgraph.trade(spark, sf_dir)
-    return classify(g.edges.where("src < 5"), g.series, "revenue", 40)
-
-
-@query("stamp_classify_all", _sql["stamp_classify"].replace(" WHERE p.src < 5", ""))
-def stamp_classify_all(spark, sf_dir):
-    """All edges; stamp_classify and its SQL have those of the first five nations only."""
     g = testgraph.trade(spark, sf_dir)
     return classify(g.edges, g.series, "revenue", 40)
 
