@@ -228,6 +228,8 @@ def hex_digits(fp) -> F.Column:
 
 #: A wide fingerprint has 4 times 64 bits. In the first 64, texts of similarity 0.8 differ in NEAR bits at most.
 WIDE, NEAR, CLOSE, MISSED, LEAST_BITS = 4, 17, 6, 0.02, 18
+#: Proposed pairs that differ in more of all bits are dropped: five standard deviations more than texts of similarity 0.8.
+WIDE_NEAR = 80
 
 
 def key_bits(texts: int, similarity: float = 0.8) -> list[list[int]]:
@@ -275,96 +277,112 @@ def _wide(width: int):
     return run
 
 
-#: Buckets up to FEW rows give all their near pairs.
-FEW = 8
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs to verify first, and rows (uid and fingerprint as a and b, with their key) to look at again.
+    """Rows sorted by key: as few pairs as connect what is near in each bucket.
 
-    Beyond a few rows, a bucket gives as few pairs as connect what is near: the nearest first, each only if the task's pairs
-    so far don't connect it. These may fail, so all its rows that are near another come out too, for _crossing()."""
+    The nearest come first, each only if the task's pairs so far don't connect it. Pairs may fail when sets are compared;
+    what they connect is then compared as a whole, by _crossing().
+    """
     refs, forest = pivots(), Forest()
-    out: list[np.ndarray] = []
-    again: list[np.ndarray] = []
+    out: list[tuple[int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
-        rows = np.concatenate([np.empty((0, 3), np.int64), *again])
+        pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
         out.clear()
-        again.clear()
-        key = pa.array(np.concatenate((np.zeros(len(pairs), np.int64), rows[:, 2])), mask=np.arange(len(pairs) + len(rows)) < len(pairs))
-        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate((pairs[:, k], rows[:, k]))) for k in (0, 1)), key], names=["a", "b", "key"])
-
-    def look_again(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray, at: np.ndarray) -> None:
-        at = np.unique(at)
-        again.append(np.stack((uid[at], fps[at].view(np.int64), keys[at]), axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
     def joining(pairs: list[tuple[int, int]]) -> None:
-        pairs = [(min(p), max(p)) for p in pairs if forest.join(*p)]
-        if pairs:
-            out.append(np.array(pairs, np.int64))
+        out.extend((min(p), max(p)) for p in pairs if forest.join(*p))
 
     def close(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray) -> None:
         starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
-        sizes = np.diff(np.r_[starts, len(keys)])
-        size, table = np.repeat(sizes, sizes), distance_table(fps, refs)
-        more, met = [], [np.empty(0, np.int64)]
+        sizes, table, more = np.diff(np.r_[starts, len(keys)]), distance_table(fps, refs), []
         for i, j, apart in near_in_small(keys, fps, table, NEAR):
-            few = size[i] <= FEW
-            if few.any():
-                out.append(np.sort(np.stack((uid[i[few]], uid[j[few]]), axis=1), axis=1))
-            met += [i[~few], j[~few]]
-            more += zip(apart[~few].tolist(), uid[i[~few]].tolist(), uid[j[~few]].tolist(), strict=True)
-        look_again(keys, uid, fps, np.concatenate(met))
+            more += zip(apart.tolist(), uid[i].tolist(), uid[j].tolist(), strict=True)
         joining([(a, b) for _, a, b in sorted(more)])
         for k in np.flatnonzero(sizes > SMALL).tolist():
             part = slice(starts[k], starts[k] + sizes[k])
             u, f = uid[part], fps[part]
-            near = groups_within(f, NEAR, table[part])  # a spanning forest has every row that is near another
-            look_again(keys[part], u, f, np.array(near, np.int64).reshape(-1))
-            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, table[part]) + near])
+            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, table[part]) + groups_within(f, NEAR, table[part])])
 
     for columns in whole_buckets(batches):
         keys, uid, fps = (c.to_numpy() for c in columns)
         close(keys, uid, fps.view(np.uint64))
-        if sum(map(len, out)) + sum(map(len, again)) > 200_000:
+        if len(out) > 200_000:
             yield flush()
+        if len(forest.up) > FOREST_NODES:
+            forest.up.clear()
     yield flush()
 
 
-#: Comparisons that _crossing() makes at once, and the pairs that it hands on together.
-BLOCK, PAIRS = 1 << 20, 200_000
+def _crossing(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, side, uid, class, shingles) sorted by key and side: the sets of different classes are compared, those of
+        one side if there is but one, and those of one side with those of the other. Links come out as a forest of classes."""
+        for columns in whole_buckets(batches):
+            keys, side, uid, cls = (c.to_numpy() for c in columns[:4])
+            cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                found = linked_sets([np.frombuffer(x, np.uint32) for x in columns[4].slice(lo, hi - lo).to_pylist()], side[lo:hi], cls[lo:hi], similarity)
+                if found:
+                    i, j = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[lo:hi][i]), pa.array(uid[lo:hi][j])], names=["a", "b"])
 
+    return run
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, uid, fingerprint, class) sorted by key: every near pair of a bucket whose classes differ."""
-    out: list[np.ndarray] = []
 
-    def flush() -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *out]), axis=0)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+def linked_sets(sets: list[np.ndarray], side: np.ndarray, cls: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (positions) of similar sets that join all classes which similar sets join; sides as _crossing() has them."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes + 1)))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.empty(0, np.int64)
+    flat, at = np.full(ends[-1], len(ids)), 0  # each set ends with a number that no set has, so that none is empty
+    for k, n in enumerate(sizes.tolist()):
+        flat[ends[k] : ends[k] + n] = ids[at : at + n]
+        at += n
+    mark = np.zeros(len(ids) + 1, bool)
+    forest, found = Forest(), []
+    second = int(np.searchsorted(side, 1))
+    for x in range(second):
+        first = second if second < len(sets) else x + 1
+        if first == len(sets) or (cls[first:] == cls[x]).all():
+            continue
+        own = flat[ends[x] : ends[x + 1] - 1]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[ends[first] :]], ends[first:-1] - ends[first], dtype=np.int64)
+        mark[own] = False
+        good = (common >= similarity * (sizes[x] + sizes[first:] - common) - 1e-9) & (cls[first:] != cls[x])
+        for y in (np.flatnonzero(good) + first).tolist():
+            if forest.join(int(cls[x]), int(cls[y])):
+                found.append((x, y))
+    return found
 
-    def close(uid: np.ndarray, fps: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if (cls == cls[0]).all():
-            return
-        step = max(1, BLOCK // len(uid))
-        for at in range(0, len(uid), step):
-            to = slice(at, at + step)
-            near = (np.bitwise_count(fps[to, None] ^ fps[None, at:]) <= NEAR) & (cls[to, None] != cls[None, at:])
-            i, j = np.nonzero(near)
-            i, j = i[i < j] + at, j[i < j] + at
-            out.append(np.sort(np.stack((uid[i], uid[j]), axis=1), axis=1))
-            if sum(map(len, out)) > PAIRS:
-                yield flush()
 
-    for columns in whole_buckets(batches):
-        keys, uid, fps, cls = (c.to_numpy() for c in columns)
-        cuts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield from close(uid[a:b], fps[a:b].view(np.uint64), cls[a:b])
-    yield flush()
+#: Rows and bytes of sets that _crossing() compares with as many others, on average.
+CROSS_ROWS, CROSS_BYTES = 512, 1 << 23
+
+
+def crossing(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the classes of each group, of rows (group, class, uid, shingles; a written table).
+
+    Groups are cut into chunks, and pairs of chunks are compared. A class of more than a chunk has chunks of its own, which are
+    not compared with each other; smaller classes share chunks.
+    """
+    sizes = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / CROSS_ROWS, F.col("bytes") / CROSS_BYTES)).cast("int")
+    sizes = staged(sizes.withColumn("m", parts), "class-sizes")
+    small = sizes.where("m = 1").groupBy("group").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("group", parts.alias("pool"))
+    sizes = sizes.select("group", "class", "m").join(small, "group", "left")
+    own = F.when(F.col("m") > 1, F.xxhash64("class", F.pmod(F.xxhash64("uid"), F.col("m")))).otherwise(F.pmod(F.xxhash64("class"), F.col("pool")))
+    rows = rows.join(sizes, ["group", "class"]).select("group", "class", "uid", "shingles", own.alias("chunk"), F.when(F.col("m") > 1, F.col("class")).alias("only"))
+    chunks = rows.select("group", "chunk", "only").distinct()
+    chunks = staged(chunks, "chunks")
+    two = chunks.select("group", F.col("chunk").alias("with"), F.col("only").alias("its"))
+    pairs = chunks.join(two, "group").where("chunk <= with and (only is null or its is null or only <> its)")
+    pairs = pairs.select("group", "chunk", "with", F.xxhash64("group", "chunk", "with").alias("key"))
+    ends = pairs.select("group", "chunk", "key", F.lit(0).alias("side")).union(pairs.where("chunk <> with").select("group", "with", "key", F.lit(1)))
+    dealt = rows.join(staged(ends, "chunk-pairs"), ["group", "chunk"]).select("key", "side", "uid", "class", "shingles")
+    return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(tidy(_crossing(similarity)), "a long, b long")
 
 
 def _sets(width: int):
@@ -394,8 +412,8 @@ def _similar(similarity: float):
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): one row for each row of docs; documents link if their sets of shingles have the similarity.
 
-    Fingerprints propose, sets decide: of two texts that share a key and are within NEAR bits, the sets are compared
-    unless verified links join them already. A set has 32 bits of each shingle's hash: two texts of 1000 shingles have one
+    Fingerprints propose, sets decide: texts that share a key and are within NEAR bits are connected by proposed pairs, whose
+    sets are compared; where some fail, all that the proposals connect is compared across its classes. A set has 32 bits of each shingle's hash: two texts of 1000 shingles have one
     by chance in common in 1 of 4000 cases, which is 0.001 of their similarity at most. Equal texts are one; texts without words link with each other. component_id
     is the smallest doc_id reachable; rows of a null doc_id get a class but never name one.
     """
@@ -410,28 +428,28 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         parts = [np.array(sum(1 << b % 64 for b in bits if b // 64 == w), np.uint64).astype(np.int64).item() for w in range(WIDE)]
         keys.append(F.xxhash64(F.lit(k), *(F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, parts, strict=True) if m)))
     rows = distinct.select("uid", "f0", F.explode(F.array(*keys)).alias("key")).select("key", "uid", "f0")
-    proposed = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long, key long"), "proposed")
-    pairs = staged(proposed.where("key is null").select("a", "b").distinct(), "pairs")
+    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long").distinct(), "proposed")
+    prints_of = lambda end: distinct.select(F.col("uid").alias(end), F.array(*names).alias(f"of_{end}"))
+    apart = sum(F.bit_count(F.col("of_a")[k].bitwiseXOR(F.col("of_b")[k])) for k in range(WIDE))
+    pairs = staged(pairs.join(prints_of("a"), "a").join(prints_of("b"), "b").where(apart <= WIDE_NEAR).select("a", "b"), "pairs")
     some = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "asked")
     reader = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("doc_id")).join(some, "uid", "left_semi"), "readers")
     texts = perhaps_in(d, "uid", reader)
     texts = texts.join(reader, (texts["uid"] == reader["uid"]) & texts["doc_id"].eqNullSafe(reader["doc_id"]), "left_semi").select("uid", "raw")
     sets = staged(texts.mapInArrow(tidy(_sets(width)), "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
     one, two = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-
-    def verified(some_pairs: DataFrame) -> DataFrame:
-        return staged(some_pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(similarity)), "a long, b long"), "similar")
-
-    links_ = verified(pairs)
-    found = connected(links_)
-    # proposals thin out on fingerprints alone and may fail: what is near and not of one class by verified links is verified too
-    again = proposed.where("key is not null").select("key", F.col("a").alias("uid"), F.col("b").alias("f0"), F.xxhash64("a").alias("node"))
-    if found is not None:
-        again = again.join(found, "node", "left").select("key", "uid", "f0", F.coalesce("root", "node").alias("node"))
-    more = again.repartition("key").sortWithinPartitions("key").select("key", "uid", "f0", "node").mapInArrow(tidy(_crossing), "a long, b long")
-    more = verified(staged(more.distinct().join(pairs, ["a", "b"], "left_anti"), "crossing"))
-    if not more.isEmpty():
-        found = connected(links_.union(more))
+    links_ = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(tidy(_similar(similarity)), "a long, b long"), "similar")
+    found, group = connected(links_), connected(pairs)
+    # a proposed pair may fail that stands for others: what proposals connect and verified links don't is compared as a whole
+    if group is not None:
+        nodes = group.select("node", F.col("root").alias("group"))
+        nodes = nodes.join(found, "node", "left") if found is not None else nodes.withColumn("root", F.col("node"))
+        nodes = staged(nodes.select("node", "group", F.coalesce("root", "node").alias("class")), "nodes")
+        open_ = nodes.groupBy("group").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("group")
+        rows = sets.withColumn("node", F.xxhash64("uid")).join(nodes, "node").join(open_, "group", "left_semi").select("group", "class", "uid", "shingles")
+        more = staged(crossing(staged(rows, "open"), similarity), "crossing")
+        if not more.isEmpty():
+            found = connected(links_.union(more))
     if found is None:
         owner = distinct.select("uid", F.col("least").alias("component_id"))
     else:

@@ -132,26 +132,69 @@ def test_false_neighbours_hide_no_pair(spark):
     assert len({c for _, c in want}) > 60 and got == want
 
 
-def test_a_false_edge_hides_no_pair_of_a_bucket():
-    """The forest joins 0 and 1 through what is nearer to both; if that fails, their own pair must come to verification."""
-    fps = np.array([0b1111, 0b11110000, 0, *(1 << k for k in range(20, 30))], np.uint64)
-    keys, uid = np.full(len(fps), 7, np.int64), np.arange(len(fps))
-    first = pa.Table.from_batches(list(simhash._candidates(iter([pa.RecordBatch.from_arrays([pa.array(keys), pa.array(uid), pa.array(fps.view(np.int64))], names=["key", "uid", "f0"])]))))
-    proposed = {(r["a"], r["b"]) for r in first.to_pylist() if r["key"] is None}
-    assert (0, 1) not in proposed and len(proposed) == len(fps) - 1
-    again = first.filter(first["key"].is_valid()).to_pydict()
-    assert sorted(again["a"]) == uid.tolist()
-
-    def crossing(classes):
-        columns = [again["key"], again["a"], again["b"], [classes[a] for a in again["a"]]]
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "uid", "f0", "node"])
+def test_proposed_pairs_connect_what_is_near():
+    rnd = random.Random(12)
+    for _ in range(20):
+        base = [rnd.getrandbits(64) for _ in range(3)]
+        fps = sorted({x ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(14))) for x in rnd.choices(base, k=rnd.randint(2, 60))})
+        fps = np.array(fps, np.uint64)
+        columns = [np.full(len(fps), 7, np.int64), np.arange(len(fps)), fps.view(np.int64)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "uid", "f0"])
         parts = [batch.slice(0, 5), batch.slice(5, 1), batch.slice(6)]
-        return {(r["a"], r["b"]) for out in simhash._crossing(iter(parts)) for r in out.to_pylist()}
-
-    n = len(fps)
-    near = {(i, j) for i in range(n) for j in range(i + 1, n) if int(fps[i] ^ fps[j]).bit_count() <= simhash.NEAR}
-    assert crossing(list(range(n))) == near and (0, 1) in near
-    assert crossing([0] * n) == set() and crossing([1, 0] + [0] * (n - 2)) == {p for p in near if 0 in p}
+        got = [(r["a"], r["b"]) for out in simhash._candidates(iter(parts)) for r in out.to_pylist()]
+        near = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= simhash.NEAR]
+        assert set(got) <= {(j, i) for i, j in near} and len(got) < len(fps)
+        assert joined(range(len(fps)), got) == joined(range(len(fps)), near)
+
+
+def joined(nodes, pairs):
+    of = {x: x for x in nodes}
+    for a, b in pairs:
+        a, b = sorted((of[a], of[b]))
+        of = {x: a if c == b else c for x, c in of.items()}
+    return of
+
+
+def sets_and_classes(rnd, n):
+    """Variants of a few sets, empty ones too, some already of one class."""
+    base = [rnd.sample(range(400), 30) for _ in range(3)]
+    sets = [np.array(sorted({y if rnd.random() < 0.93 else rnd.randrange(400) for y in rnd.choice(base)} if rnd.random() < 0.9 else ()), np.uint32) for _ in range(n)]
+    return sets, np.array([rnd.randrange(max(1, n)) for _ in range(n)])
+
+
+def links_by_brute_force(sets, cls, similarity=0.8):
+    return [(int(cls[i]), int(cls[j])) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j]))]
+
+
+def test_linked_sets():
+    rnd = random.Random(13)
+    for n in [1, 2, *rnd.choices(range(3, 40), k=40)]:
+        sets, cls = sets_and_classes(rnd, n)
+        got = simhash.linked_sets(sets, np.zeros(n, np.int64), cls, 0.8)
+        want = joined(range(n), links_by_brute_force(sets, cls))
+        assert joined(range(n), [(int(cls[i]), int(cls[j])) for i, j in got]) == want and len(got) < n
+        if n > 1:
+            side = np.arange(n) >= n // 2
+            across = [(int(cls[i]), int(cls[j])) for i in range(n // 2) for j in range(n // 2, n) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+            got = simhash.linked_sets(sets, side.astype(np.int64), cls, 0.8)
+            assert joined(range(n), [(int(cls[i]), int(cls[j])) for i, j in got]) == joined(range(n), across)
+
+
+@pytest.mark.parametrize("rows, size", [(512, 1 << 23), (4, 1 << 23), (512, 600)])
+def test_crossing_does_not_depend_on_chunks(spark, monkeypatch, rows, size):
+    """Large and small classes in chunks of any size: the classes are joined as by brute force."""
+    monkeypatch.setattr(simhash, "CROSS_ROWS", rows)
+    monkeypatch.setattr(simhash, "CROSS_BYTES", size)
+    rnd, data, want = random.Random(14), [], {}
+    for group in range(3):
+        sets, cls = sets_and_classes(rnd, 40)
+        cls[:15] = 0  # a class larger than a chunk
+        cls += 100 * group
+        data += [(group, int(c), 1000 * group + k, x.tobytes()) for k, (x, c) in enumerate(zip(sets, cls, strict=True))]
+        want |= joined(range(100 * group, 100 * group + 100), links_by_brute_force(sets, cls))
+    got = simhash.crossing(spark.createDataFrame(data, "group long, class long, uid long, shingles binary"), 0.8).collect()
+    of = {uid: c for _, c, uid, _ in data}
+    assert joined(want, [(of[r.a], of[r.b]) for r in got]) == want and got
 
 
 def test_keep_one(spark, rows):
