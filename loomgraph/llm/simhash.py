@@ -93,11 +93,15 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def groups_within(fps: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges (positions) of the graph that links distinct fingerprints within the radius; table: their distances."""
+def groups_within(fps: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None, wide: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges (positions) of the graph that links distinct fingerprints within the radius; table: their distances.
+
+    With wide fingerprints, only those link that are within WIDE_NEAR too.
+    """
     table = distance_table(fps, pivots()) if table is None else table
     order = np.argsort(table[:, 0], kind="stable")
     table, fps, left = table[order], fps[order], np.arange(len(fps))  # left: not yet reached, by first coordinate
+    wide = wide if wide is None else wide[order]
     found: list[tuple[int, int]] = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -111,6 +115,8 @@ def groups_within(fps: np.ndarray, radius: int = RADIUS, table: np.ndarray | Non
                     break
                 near = near[(np.abs(table[near, k : k + 5] - table[x, k : k + 5]) <= radius).all(axis=1)]
             near = near[np.bitwise_count(fps[near] ^ fps[x]) <= radius]
+            if wide is not None and len(near):
+                near = near[bits_apart(wide[near], wide[x]) <= WIDE_NEAR]
             if len(near):
                 found += [(int(order[x]), int(order[y])) for y in near]
                 queue += near.tolist()
@@ -228,10 +234,15 @@ def hex_digits(fp) -> F.Column:
 
 #: A wide fingerprint has 4 times 64 bits. In the first 64, texts of similarity 0.8 differ in NEAR bits at most.
 WIDE, NEAR, CLOSE, MISSED, LEAST_BITS = 4, 17, 6, 0.02, 18
-#: Proposed pairs that differ in more of all bits are dropped: five standard deviations more than texts of similarity 0.8.
+#: Pairs that differ in more of all bits are not proposed: five standard deviations more than texts of similarity 0.8.
 WIDE_NEAR = 80
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits wide fingerprints (rows) differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
 def key_bits(texts: int, similarity: float = 0.8) -> list[list[int]]:
     """The bits of each key under which wide fingerprints meet.
 
@@ -278,36 +289,42 @@ def _wide(width: int):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: as few pairs as connect what is near in each bucket.
+    """Rows (key, uid, f0, f1, ...) sorted by key: as few pairs as connect what is near in each bucket, and the bits they differ in.
 
-    The nearest come first, each only if the task's pairs so far don't connect it. Pairs may fail when sets are compared;
-    what they connect is then compared as a whole, by _crossing().
+    Near is what is within NEAR bits of f0 and within WIDE_NEAR of all. The nearest come first, each only if the task's
+    pairs so far don't connect it. Pairs may fail when sets are compared; what they connect is then compared as a whole,
+    by _crossing().
     """
     refs, forest = pivots(), Forest()
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+        pairs = np.array(out, np.int64).reshape(-1, 3)
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (1, 2, 0)], names=["a", "b", "apart"])
 
-    def joining(pairs: list[tuple[int, int]]) -> None:
-        out.extend((min(p), max(p)) for p in pairs if forest.join(*p))
+    def joining(pairs: list[tuple[int, int, int]]) -> None:
+        out.extend((n, min(a, b), max(a, b)) for n, a, b in pairs if forest.join(a, b))
 
-    def close(keys: np.ndarray, uid: np.ndarray, fps: np.ndarray) -> None:
-        starts = np.r_[0, np.flatnonzero(np.diff(keys)) + 1]
+    def close(keys: np.ndarray, uid: np.ndarray, wide: np.ndarray) -> None:
+        starts, fps = np.r_[0, np.flatnonzero(np.diff(keys)) + 1], np.ascontiguousarray(wide[:, 0])
         sizes, table, more = np.diff(np.r_[starts, len(keys)]), distance_table(fps, refs), []
-        for i, j, apart in near_in_small(keys, fps, table, NEAR):
+        for i, j, _ in near_in_small(keys, fps, table, NEAR):
+            apart = bits_apart(wide[i], wide[j])
+            i, j, apart = (x[apart <= WIDE_NEAR] for x in (i, j, apart))
             more += zip(apart.tolist(), uid[i].tolist(), uid[j].tolist(), strict=True)
-        joining([(a, b) for _, a, b in sorted(more)])
+        joining(sorted(more))
         for k in np.flatnonzero(sizes > SMALL).tolist():
             part = slice(starts[k], starts[k] + sizes[k])
-            u, f = uid[part], fps[part]
-            joining([(int(u[i]), int(u[j])) for i, j in groups_within(f, CLOSE, table[part]) + groups_within(f, NEAR, table[part])])
+            u, f, t, w = uid[part], fps[part], table[part], wide[part]
+            for radius in (CLOSE, NEAR):
+                found = np.array(groups_within(f, radius, t, w), np.int64).reshape(-1, 2)
+                i, j = found[:, 0], found[:, 1]
+                joining(list(zip(bits_apart(w[i], w[j]).tolist(), u[i].tolist(), u[j].tolist(), strict=True)))
 
     for columns in whole_buckets(batches):
-        keys, uid, fps = (c.to_numpy() for c in columns)
-        close(keys, uid, fps.view(np.uint64))
+        keys, uid, *fps = (c.to_numpy() for c in columns)
+        close(keys, uid, np.stack(fps, axis=1).view(np.uint64))
         if len(out) > 200_000:
             yield flush()
         if len(forest.up) > FOREST_NODES:
@@ -315,6 +332,19 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _fewest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs sorted by the bits they differ in: those that connect what the ones before don't.
+
+    Every task of _candidates() connects a group anew, by pairs of its own; all of them are near, so any forest will do.
+    """
+    forest = Forest()
+    for batch in batches:
+        keep = [forest.join(a, b) for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+        if len(forest.up) > FOREST_NODES:
+            forest.up.clear()
+
+
 def _crossing(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (key, side, uid, class, shingles) sorted by key and side: the sets of different classes are compared, those of
@@ -427,11 +457,11 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     for k, bits in enumerate(key_bits(distinct.count(), similarity)):
         parts = [np.array(sum(1 << b % 64 for b in bits if b // 64 == w), np.uint64).astype(np.int64).item() for w in range(WIDE)]
         keys.append(F.xxhash64(F.lit(k), *(F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, parts, strict=True) if m)))
-    rows = distinct.select("uid", "f0", F.explode(F.array(*keys)).alias("key")).select("key", "uid", "f0")
-    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long").distinct(), "proposed")
-    prints_of = lambda end: distinct.select(F.col("uid").alias(end), F.array(*names).alias(f"of_{end}"))
-    apart = sum(F.bit_count(F.col("of_a")[k].bitwiseXOR(F.col("of_b")[k])) for k in range(WIDE))
-    pairs = staged(pairs.join(prints_of("a"), "a").join(prints_of("b"), "b").where(apart <= WIDE_NEAR).select("a", "b"), "pairs")
+    rows = distinct.select("uid", *names, F.explode(F.array(*keys)).alias("key")).select("key", "uid", *names)
+    pairs = staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "a long, b long, apart long"), "proposed")
+    for _ in range(2):  # what many tasks proposed is read by few, of so many rows, and what they keep by fewer
+        few = pairs.coalesce(pairs.count() // FOREST_NODES + 1)
+        pairs = staged(few.sortWithinPartitions("apart", "a", "b").mapInArrow(tidy(_fewest), "a long, b long, apart long"), "pairs")
     some = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "asked")
     reader = staged(prints.groupBy("uid").agg(F.min("doc_id").alias("doc_id")).join(some, "uid", "left_semi"), "readers")
     texts = perhaps_in(d, "uid", reader)

@@ -147,6 +147,45 @@ def test_proposed_pairs_connect_what_is_near():
         assert joined(range(len(fps)), got) == joined(range(len(fps)), near)
 
 
+def test_what_is_far_in_all_bits_stands_for_no_pair():
+    """b is near a and c in the first 64 bits, and a and c are near in all: b, which is far in the others, is in no pair."""
+    rnd, ones = random.Random(15), (1 << 64) - 1
+    for n in (1, 30):  # buckets of few rows and of many
+        first, rest = rnd.getrandbits(64), [rnd.getrandbits(64) for _ in range(3)]
+        ends = [(first, *rest)] * n + [(first ^ 0b1111, *rest)] * n
+        rows = ends + [(first ^ 0b11, *(x ^ ones for x in rest))] * n
+        columns = [np.full(len(rows), 7, np.int64), np.arange(len(rows)), *np.array(rows, np.uint64).view(np.int64).T]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "uid", "f0", "f1", "f2", "f3"])
+        got = [(r["a"], r["b"]) for out in simhash._candidates(iter([batch])) for r in out.to_pylist()]
+        of = joined(range(len(rows)), got)
+        assert {of[k] for k in range(2 * n)} == {0} and {of[k] for k in range(2 * n, 3 * n)} == {2 * n}
+
+
+def test_fewest_pairs_connect_what_all_tasks_proposed(spark, monkeypatch):
+    """Near copies meet under every key, and each task connects them by pairs of its own: what is compared is no multiple of them."""
+    rnd, counts, real = random.Random(16), {}, simhash.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    words, rows = [f"w{rnd.randrange(5000)}" for _ in range(150)], []
+    for k in range(300):
+        copy = list(words)
+        copy[rnd.randrange(150)] = f"v{k}"
+        rows.append((k, " ".join(copy)))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # as many tasks as partitions
+    try:
+        got = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r.component_id for r in got.collect()} == {0}
+    finally:
+        spark.conf.unset(setting)
+    assert counts["pairs"] <= 2 * len(rows) < counts["proposed"]
+
+
 def joined(nodes, pairs):
     of = {x: x for x in nodes}
     for a, b in pairs:
