@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.chunks import chunk_pairs, whole_buckets
 from loomgraph.llm.components import FOREST_NODES, Forest, connected
 from loomgraph.llm.substrings import flagged, mixed, perhaps_in, shingles, word_hashes
 from loomgraph.session import ship, staged, tidy
@@ -137,23 +138,6 @@ def near_in_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius:
         yield i, i + off, apart
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Array]]:
-    """The columns of rows sorted by their first column, in pieces that end where its value changes."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append(batch)
-        keys = batch.column(0).to_numpy()
-        if keys[0] == keys[-1] and rest[0].column(0)[-1].as_py() == keys[0]:
-            continue  # one bucket goes on
-        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-        yield pa.Table.from_batches([*rest[:-1], batch.slice(0, cut)]).combine_chunks().columns
-        rest = [batch.slice(cut)]
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().columns
-
-
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     refs = pivots()
     for batch in batches:
@@ -395,23 +379,9 @@ CROSS_ROWS, CROSS_BYTES = 512, 1 << 23
 def crossing(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links between the classes of each group, of rows (group, class, uid, shingles; a written table).
 
-    Groups are cut into chunks, and pairs of chunks are compared. A class of more than a chunk has chunks of its own, which are
-    not compared with each other; smaller classes share chunks.
+    Each is compared in pairs of chunks, as chunk_pairs() makes them.
     """
-    sizes = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("n") / CROSS_ROWS, F.col("bytes") / CROSS_BYTES)).cast("int")
-    sizes = staged(sizes.withColumn("m", parts), "class-sizes")
-    small = sizes.where("m = 1").groupBy("group").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("group", parts.alias("pool"))
-    sizes = sizes.select("group", "class", "m").join(small, "group", "left")
-    own = F.when(F.col("m") > 1, F.xxhash64("class", F.pmod(F.xxhash64("uid"), F.col("m")))).otherwise(F.pmod(F.xxhash64("class"), F.col("pool")))
-    rows = rows.join(sizes, ["group", "class"]).select("group", "class", "uid", "shingles", own.alias("chunk"), F.when(F.col("m") > 1, F.col("class")).alias("only"))
-    chunks = rows.select("group", "chunk", "only").distinct()
-    chunks = staged(chunks, "chunks")
-    two = chunks.select("group", F.col("chunk").alias("with"), F.col("only").alias("its"))
-    pairs = chunks.join(two, "group").where("chunk <= with and (only is null or its is null or only <> its)")
-    pairs = pairs.select("group", "chunk", "with", F.xxhash64("group", "chunk", "with").alias("key"))
-    ends = pairs.select("group", "chunk", "key", F.lit(0).alias("side")).union(pairs.where("chunk <> with").select("group", "with", "key", F.lit(1)))
-    dealt = rows.join(staged(ends, "chunk-pairs"), ["group", "chunk"]).select("key", "side", "uid", "class", "shingles")
+    dealt = chunk_pairs(rows.withColumn("bytes", F.length("shingles")), CROSS_ROWS, CROSS_BYTES).select("key", "side", "uid", "class", "shingles")
     return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(tidy(_crossing(similarity)), "a long, b long")
 
 

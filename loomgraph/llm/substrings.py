@@ -9,8 +9,9 @@ hash functions find near-duplicates (similarity 0.8: 64 % for each pair and plac
 hashes runs of nearly as many words as a passage has: equal passages share its minima whatever frequent line they hold, and
 whoever shares such a run is alike.
 
-Members of a group are aligned with its first member, never with each other. Aligned stretches that touch are one, and
-every place in them is verified by the shingles that both sides have. Equal texts are worked on once.
+Members of a group are aligned with its first member. Aligned stretches that touch are one, and every place in them is
+verified by the shingles that both sides have. Where some are not alike to the first, the group's members are compared with
+each other, but for those of one class. Equal texts are worked on once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.chunks import chunk_pairs, whole_buckets
 from loomgraph.llm.mixing import word_count
 from loomgraph.session import ship, staged, tidy
 
@@ -196,7 +198,8 @@ def _local(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     """The first row of each group of a key, without a representative, and the others, aligned with it: further places
     of the first one's own text too.
 
-    Aligned rows are dealt out by their own hash. So a group of any size sends one row from here to its key's task.
+    Aligned rows are dealt out by their own hash, not by their key. So a group of any size sends one row from here to its
+    key's task.
     """
     key, uid, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
     order = np.lexsort((pos, uid, key))
@@ -205,8 +208,7 @@ def _local(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     first = np.empty(len(key), np.int64)  # of each row, its group's first; rows stay in the order of their texts
     first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else order
     own = first == np.arange(len(key))
-    spread = mixed(uid.view(np.uint64) ^ mixed(pos.view(np.uint64))).view(np.int64)
-    columns = [np.where(own, key, spread), uid, pos]
+    columns = [key, uid, pos]
     rep = [pa.array(uid[first], mask=own), pa.array(pos[first], mask=own)]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), *rep], names=["key", "uid", "pos", "rep", "rep_pos"])
 
@@ -242,28 +244,25 @@ def _emit(t: int):
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, uid and pos: each row but its group's first and that one's copies is aligned with the first.
+    """Rows sorted by key: each row but its group's first (the least uid and pos) and that one's copies is aligned with the first.
 
     Rows that have a representative pass through.
     """
-    held: tuple[int, int, int] | None = None
-    for batch in batches:
+    for columns in whole_buckets(batches):
+        batch = pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["key", "uid", "pos", "rep", "rep_pos"])
         done = batch.filter(batch.column(3).is_valid())
         if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(k) for k in (1, 3, 2, 4)], names=["uid", "rep", "pos", "rep_pos"])
+            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 1, 3, 2, 4)], names=["key", "uid", "rep", "pos", "rep_pos"])
         batch = batch.filter(batch.column(3).is_null())
         if not batch.num_rows:
             continue
         key, uid, pos = (batch.column(k).to_numpy() for k in range(3))
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        rep, rep_pos = uid[first], pos[first]
-        if held is not None and held[0] == key[0]:
-            run = first == 0
-            rep, rep_pos = np.where(run, held[1], rep), np.where(run, held[2], rep_pos)
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        sizes = np.diff(np.concatenate((starts, [len(key)])))
+        rep = np.repeat(np.minimum.reduceat(uid, starts), sizes)
+        rep_pos = np.repeat(np.minimum.reduceat(np.where(uid == rep, pos, np.iinfo(np.int64).max), starts), sizes)
         other = (uid != rep) | (pos != rep_pos)
-        held = (int(key[-1]), int(rep[-1]), int(rep_pos[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (uid, rep, pos, rep_pos)], names=["uid", "rep", "pos", "rep_pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (key, uid, rep, pos, rep_pos)], names=["key", "uid", "rep", "pos", "rep_pos"])
 
 
 #: Starts that are verified together, and the grid on which the stretches that they need are shared.
@@ -424,6 +423,166 @@ def perhaps_in(rows: DataFrame, key: str, some: DataFrame) -> DataFrame:
     return flagged(rows, key, some).where("perhaps_").drop("perhaps_")
 
 
+def _places(edges: DataFrame) -> DataFrame:
+    """edges with shift, and lo and hi, the starts that both sides have."""
+
+    def part(name: str, shift: int, bits: int) -> F.Column:
+        return F.shiftright(F.col(name), shift).bitwiseAND(F.lit((1 << bits) - 1))
+
+    for end, name in (("", "pos"), ("rep_", "rep_pos")):
+        low = part(name, 0, 40)
+        edges = edges.withColumns({f"{end}low": low, f"{end}high": low + part(name, 40, 12), f"{end}place": low + part(name, 52, 12)})
+    shift = F.col("place") - F.col("rep_place")
+    a, b = F.greatest("low", F.col("rep_low") + shift), F.least("high", F.col("rep_high") + shift)
+    meet = {"shift": F.when(a <= b, shift).otherwise(F.col("low") - F.col("rep_low")), "lo": F.when(a <= b, a).otherwise(F.col("low")), "hi": F.when(a <= b, b).otherwise(F.col("low"))}
+    return edges.withColumns(meet)
+
+
+def _verified(met: DataFrame, every: DataFrame, t: int, similarity: float) -> DataFrame:
+    """(uid, at, to, rep, rep_at, rep_to): what is alike of met (uid, rep, shift, lo, hi), that is starts lo to hi of uid beside those of rep."""
+    asked = met.repartition("uid").sortWithinPartitions("uid", "rep", "shift", "lo")
+    asked = asked.mapInArrow(tidy(_cover(t)), "uid long, a int, b int, rep long, shift int").distinct()
+    grid = lambda x: F.greatest(x - F.pmod(x, F.lit(GRID)), F.lit(0))
+    asked = staged(asked.withColumn("at", grid(F.col("a"))).withColumn("rep_at", grid(F.col("a") - F.col("shift"))), "asked")
+
+    # the stretches of shingles that both sides need: on a grid, so that a text has no more of them than places
+    wanted = asked.select("uid", "at").union(asked.select("rep", "rep_at")).distinct().groupBy("uid").agg(F.collect_list("at").alias("starts"))
+    wanted = staged(wanted, "wanted")
+    texts_ = perhaps_in(every, "uid", wanted).join(wanted, "uid").select("uid", "starts", "raw")
+    shown = staged(texts_.mapInArrow(tidy(_stretches(t)), "uid long, at int, shingles binary"), "stretches")  # a repeat does no harm
+    other = shown.select(F.col("uid").alias("rep"), F.col("at").alias("rep_at"), F.col("shingles").alias("rep_shingles"))
+    both = asked.join(shown, ["uid", "at"]).join(other, ["rep", "rep_at"])
+    both = both.select("uid", "a", "b", "rep", "shift", "at", "rep_at", "shingles", "rep_shingles")
+    return staged(both.mapInArrow(tidy(_verify(t, similarity)), "uid long, at int, to int, rep long, rep_at int, rep_to int"), "verified")
+
+
+#: Members of a group that are compared with as many others, on average, and bytes of their shingles.
+CROSS_ROWS, CROSS_BYTES = 512, 1 << 23
+
+
+def linked_windows(shown: list[np.ndarray], before: np.ndarray, side: np.ndarray, cls: np.ndarray, t: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (positions) of members with alike windows that join all classes which such pairs join.
+
+    shown: the shingles of each, from its first start on; before: how many of them come before the place at which members are
+    aligned. If there is a side 1, members of side 0 are compared with those of side 1, else with each other.
+    """
+    sizes = np.array([len(x) for x in shown], np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    values, flat = np.unique(np.concatenate(shown), return_inverse=True)
+    label, mark, found = np.unique(cls, return_inverse=True)[1], np.zeros(len(values) + 1, bool), []
+    ahead = int(before.max())
+    lined = np.full((len(shown), int((ahead - before + sizes).max())), len(values))  # a row for each, by distance from the place
+    lined[np.repeat(np.arange(len(shown)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] + before - ahead, sizes)] = flat
+    enough = 2 * t * similarity / (1 + similarity) - 1e-9
+
+    def most(hits: np.ndarray) -> np.ndarray:
+        sums = np.pad(np.cumsum(hits, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+        return (sums[:, t:] - sums[:, :-t]).max(axis=1) if hits.shape[1] >= t else np.zeros(len(hits), np.int32)
+
+    second = int(np.searchsorted(side, 1))
+    for x in range(second):
+        first = second if second < len(shown) else x + 1
+        if first == len(shown) or (label[first:] == label[x]).all():
+            continue
+        own = flat[ends[x] : ends[x + 1]]
+        mark[own] = True
+        known = np.add.reduceat(mark[flat[ends[first] :]], ends[first:-1] - ends[first], dtype=np.int64)
+        near = np.flatnonzero((known >= enough) & (label[first:] != label[x])) + first
+        beside = lined[near]
+        good = most((beside == lined[x]) & (beside < len(values))) >= enough  # place by place; else by sets, as alike() does
+        perhaps = np.flatnonzero(~good)
+        perhaps = perhaps[most(mark[beside[perhaps]]) >= enough] if len(perhaps) else perhaps
+        mark[own] = False
+        for k in perhaps.tolist():
+            y = int(near[k])
+            good[k] = alike(flat[ends[y] : ends[y + 1]], own, int(before[x] - before[y]), np.arange(max(sizes[y] - t + 1, 0)), t, similarity).any()
+        for y in near[good].tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                found.append((x, y))
+    return found
+
+
+def _crossing(t: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, side, uid, class, place, low, high, shingles) sorted by key and side: what of one of them begins in another."""
+        for columns in whole_buckets(batches):
+            keys, side, uid, cls, place, low, high = (c.to_numpy() for c in columns[:7])
+            cuts, rows = np.r_[0, np.flatnonzero(np.diff(keys)) + 1, len(keys)], []
+            for k, to in zip(cuts, cuts[1:], strict=False):
+                if (cls[k:to] == cls[k]).all():
+                    continue
+                shown = [np.frombuffer(x, np.uint32) for x in columns[7].slice(k, to - k).to_pylist()]
+                for x, y in linked_windows(shown, (place - low)[k:to], side[k:to], cls[k:to], t, similarity):
+                    x, y = x + k, y + k
+                    shift = place[y] - place[x]
+                    rows.append((uid[y], uid[x], shift, max(low[y], low[x] + shift), min(high[y], high[x] + shift)))
+                    if rows[-1][3] > rows[-1][4]:
+                        rows[-1] = (uid[y], uid[x], shift, low[y], high[y])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], names=["uid", "rep", "shift", "lo", "hi"])
+
+    return run
+
+
+def _regions(t: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of all windows that begin from low to high."""
+        seen: set[int] = set()
+        for batch in batches:
+            for uid, wanted, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if uid in seen:
+                    continue
+                seen.add(uid)
+                sh = (shingles(word_hashes(raw)) >> np.uint64(32)).astype(np.uint32)
+                low, high = ([x[k] for x in wanted] for k in ("low", "high"))
+                rows = [sh[a : b + t].tobytes() for a, b in zip(low, high, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(rows), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.binary())], names=["uid", "low", "high", "shingles"])
+
+    return run
+
+
+def _unsettled(met: DataFrame, sure: DataFrame, every: DataFrame, t: int, similarity: float) -> DataFrame:
+    """(uid, rep, shift, lo, hi): pairs that connect what is alike in each group beside its first members.
+
+    Members that are alike to the one they were aligned with are of its class. The classes of each group of three or more are
+    compared with each other, all members of one with all of the other. Groups that have the same members, classes and shifts are one.
+    """
+    here = (F.col("met.uid") == F.col("sure.uid")) & (F.col("met.rep") == F.col("sure.rep"))
+    here &= (F.col("hi") >= F.col("at")) & (F.col("lo") <= F.col("to") - F.lit(t + WIDTH - 1))
+    open_ = staged(met.alias("met").join(sure.alias("sure"), here, "left_anti").select("key", "uid", "pos", "rep", "rep_pos"), "open")
+    some = perhaps_in(met, "key", open_)
+    some = some.join(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    some = some.join(open_.select("key").distinct(), "key", "left_semi")
+    some = some.join(open_.distinct().withColumn("open", F.lit(1)), ["key", "uid", "pos", "rep", "rep_pos"], "left")
+    some = staged(some.select("key", "uid", "place", "low", "high", "rep", "rep_place", "rep_low", "rep_high", F.coalesce("open", F.lit(0)).alias("open")), "crowded")
+
+    all_ = some.select("key", "uid", "place", "low", "high", "open", F.when(F.col("open") == 1, F.struct("uid", "place")).otherwise(F.struct(F.col("rep").alias("uid"), F.col("rep_place").alias("place"))).alias("of"))
+    reps = some.select("key", F.col("rep").alias("uid"), F.col("rep_place").alias("place"), F.col("rep_low").alias("low"), F.col("rep_high").alias("high"), F.lit(2).alias("open"), F.struct(F.col("rep").alias("uid"), F.col("rep_place").alias("place")).alias("of"))
+    all_ = all_.union(reps).groupBy("key", "uid", "place").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("open", "of")).alias("best"))
+    all_ = staged(all_.select("key", "uid", "place", "low", "high", "best.of"), "members")
+    # the first of a task's rows may be of the class of the first of all
+    top = all_.select("key", F.struct("uid", "place").alias("of"), F.col("of").alias("top"))
+    all_ = all_.join(top, ["key", "of"], "left").withColumn("of", F.coalesce("top", "of")).drop("top")
+    all_ = all_.join(all_.groupBy("key").agg(F.min(F.struct("uid", "place")).alias("at")), "key")
+    since = lambda place: F.col(place) - F.col("at.place")
+    all_ = all_.select("key", "at", "uid", "place", "low", "high", since("place").alias("since"), F.xxhash64("of.uid", since("of.place")).alias("class"))
+    # a group's members, wherever in a stretch of 64 places its key lies
+    row = F.xxhash64("uid", "since", "class").cast("decimal(38,0)")
+    all_ = staged(all_, "placed")
+    group = all_.groupBy("key").agg(F.first("at").alias("at"), F.sum(row).alias("rows"), F.count(F.lit(1)).alias("n"), F.min("class").alias("one"), F.max("class").alias("other")).where("one <> other")
+    group = group.select("key", F.xxhash64(F.col("at.uid"), F.shiftright(F.col("at.place"), 6), F.col("rows").cast("string"), F.col("n")).alias("group"))
+    all_ = all_.join(group, "key").groupBy("group", "uid", "since").agg(F.min("place").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("class").alias("class"))
+    all_ = staged(all_.withColumn("bytes", 4 * (F.col("high") - F.col("low") + t)), "to-compare")
+    dealt = staged(chunk_pairs(all_, CROSS_ROWS, CROSS_BYTES), "dealt")
+    wanted = staged(dealt.select("uid", "low", "high").distinct().groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("wanted")), "regions-wanted")
+    texts = perhaps_in(every, "uid", wanted).join(wanted, "uid").select("uid", "wanted", "raw")
+    shown = staged(texts.mapInArrow(tidy(_regions(t)), "uid long, low long, high long, shingles binary").dropDuplicates(["uid", "low", "high"]), "regions")
+    dealt = dealt.join(shown, ["uid", "low", "high"]).select("key", "side", "uid", "class", "place", "low", "high", "shingles")
+    found = dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(tidy(_crossing(t, similarity)), "uid long, rep long, shift long, lo long, hi long")
+    return staged(found, "crossing")
+
+
 def passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, start_word, end_word, class_doc_id, class_start: a row for each passage that another document has too.
 
@@ -445,31 +604,14 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float
     every = d.select(F.xxhash64("text").alias("uid"), F.col("text").cast("binary").alias("raw"))
 
     rows = every.mapInArrow(tidy(_emit(t)), _ROWS)
-    aligned = rows.repartition("key").sortWithinPartitions("key", "uid", "pos").mapInArrow(tidy(_align), "uid long, rep long, pos long, rep_pos long")
-
-    def part(name: str, shift: int, bits: int) -> F.Column:
-        return F.shiftright(F.col(name), shift).bitwiseAND(F.lit((1 << bits) - 1))
-
-    low, rep_low = part("pos", 0, 40), part("rep_pos", 0, 40)
-    place, rep_place = low + part("pos", 52, 12), rep_low + part("rep_pos", 52, 12)
-    high, rep_high = low + part("pos", 40, 12), rep_low + part("rep_pos", 40, 12)
-    shift = place - rep_place
-    a, b = F.greatest(low, rep_low + shift), F.least(high, rep_high + shift)
-    met = aligned.select("uid", "rep", F.when(a <= b, shift).otherwise(low - rep_low).alias("shift"), F.when(a <= b, a).otherwise(low).alias("lo"), F.when(a <= b, b).otherwise(low).alias("hi"))
-    met = staged(met.where("uid <> rep or shift <> 0"), "aligned").repartition("uid").sortWithinPartitions("uid", "rep", "shift", "lo")
-    asked = met.mapInArrow(tidy(_cover(t)), "uid long, a int, b int, rep long, shift int").distinct()
-    grid = lambda x: F.greatest(x - F.pmod(x, F.lit(GRID)), F.lit(0))
-    asked = staged(asked.withColumn("at", grid(F.col("a"))).withColumn("rep_at", grid(F.col("a") - F.col("shift"))), "asked")
-
-    # the stretches of shingles that both sides need: on a grid, so that a text has no more of them than places
-    wanted = asked.select("uid", "at").union(asked.select("rep", "rep_at")).distinct().groupBy("uid").agg(F.collect_list("at").alias("starts"))
-    wanted = staged(wanted, "wanted")
-    texts_ = perhaps_in(every, "uid", wanted).join(wanted, "uid").select("uid", "starts", "raw")
-    shown = staged(texts_.mapInArrow(tidy(_stretches(t)), "uid long, at int, shingles binary"), "stretches")  # a repeat does no harm
-    other = shown.select(F.col("uid").alias("rep"), F.col("at").alias("rep_at"), F.col("shingles").alias("rep_shingles"))
-    both = asked.join(shown, ["uid", "at"]).join(other, ["rep", "rep_at"])
-    both = both.select("uid", "a", "b", "rep", "shift", "at", "rep_at", "shingles", "rep_shingles")
-    sure = staged(both.mapInArrow(tidy(_verify(t, similarity)), "uid long, at int, to int, rep long, rep_at int, rep_to int"), "verified")
+    dealt = rows.repartition(F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.xxhash64("uid", "pos")))
+    aligned = dealt.sortWithinPartitions("key").mapInArrow(tidy(_align), "key long, uid long, rep long, pos long, rep_pos long")
+
+    same = "uid = rep and pos = rep_pos"
+    edges = staged(aligned.where(f"not ({same})"), "aligned")
+    met = _places(edges).where("uid <> rep or shift <> 0")
+    sure = _verified(met.select("uid", "rep", "shift", "lo", "hi"), every, t, similarity)
+    sure = sure.union(_verified(_unsettled(met, sure, every, t, similarity), every, t, similarity))
 
     none = F.lit((1 << 63) - 1)
     first = texts.select(F.col("uid").alias("rep"), F.coalesce("first", none).alias("class_doc_id"))

@@ -181,3 +181,49 @@ def test_variants_of_a_frequent_template_find_each_other(spark):
         rows += [(1000 + 2 * k, " ".join(text(rnd, 50) + passage + text(rnd, 30))), (1001 + 2 * k, " ".join(text(rnd, 57) + other + text(rnd, 30)))]
     found = {r.doc_id for r in passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert len([d for d in found if d >= 1000]) >= 190 and not any(d < 1000 for d in found)
+
+
+def test_linked_windows():
+    """Classes are joined as by brute force over all pairs, whatever the places at which members are aligned."""
+    rnd, t = random.Random(13), 20
+    for n in [2, *rnd.choices(range(3, 30), k=40)]:
+        base = [[rnd.randrange(10**6) for _ in range(60)] for _ in range(3)]
+        shown, before = [], []
+        for _ in range(n):
+            x, a = list(rnd.choice(base)), rnd.randrange(30)
+            for _ in range(rnd.randrange(8)):
+                x[rnd.randrange(60)] = rnd.randrange(10**6)
+            if rnd.random() < 0.3:
+                x.insert(rnd.randrange(60), rnd.randrange(10**6))
+            shown.append(np.array(x[a : a + t + rnd.randrange(30)], np.uint32))
+            before.append(30 - a)
+        cls, before = np.array([rnd.randrange(n) for _ in range(n)]), np.array(before)
+
+        def joins(pairs):
+            of = {int(c): int(c) for c in cls}
+            for i, j in pairs:
+                a, b = sorted((of[int(cls[i])], of[int(cls[j])]))
+                of = {c: a if x == b else x for c, x in of.items()}
+            return of
+
+        def like(i, j):
+            starts = np.arange(max(len(shown[j]) - t + 1, 0))
+            return substrings.alike(shown[j], shown[i], int(before[i] - before[j]), starts, t, 0.8).any()
+
+        for side in (np.zeros(n, np.int64), (np.arange(n) >= n // 2).astype(np.int64)):
+            pairs = [(i, j) for j in range(n) for i in range(j) if (side[i] < side[j] or not side.any()) and like(i, j)]
+            got = substrings.linked_windows(shown, before, side, cls, t, 0.8)
+            assert set(got) <= set(pairs) and joins(got) == joins(pairs) and len(got) < n
+
+
+def test_what_the_first_is_not_alike_to_is_compared_with_all(spark):
+    """Copies with one word changed, all around a line of 36 words that 400 texts have: a key's first is seldom one of the two."""
+    rnd = random.Random(17)
+    line = text(rnd, 36)
+    rows = [(k, " ".join(text(rnd, 40) + line + text(rnd, 40))) for k in range(400)]
+    for k in range(200):
+        passage = text(rnd, 9) + line + text(rnd, 9)
+        other = [*passage[:6], "changed", *passage[7:]]
+        rows += [(1000 + 2 * k, " ".join(text(rnd, 50) + passage + text(rnd, 30))), (1001 + 2 * k, " ".join(text(rnd, 57) + other + text(rnd, 30)))]
+    found = {r.doc_id for r in passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert len([d for d in found if d >= 1000]) >= 394 and not any(d < 1000 for d in found)
