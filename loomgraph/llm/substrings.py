@@ -11,7 +11,8 @@ whoever shares such a run is alike.
 
 Members of a group are aligned with its first member. Aligned stretches that touch are one, and every place in them is
 verified by the shingles that both sides have. Where some are not alike to the first, the group's members are compared with
-each other, but for those of one class. Equal texts are worked on once.
+each other, but for those of one class. Equal texts are worked on once. Keys are dealt out by the bucket: a row has all of a
+bucket that a task made.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.chunks import chunk_pairs, whole_buckets
-from loomgraph.llm.mixing import word_count
 from loomgraph.session import ship, staged, tidy
 
 WIDTH, LEAST_WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 8
@@ -48,7 +48,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | bytes | None) -> np.ndarray:
     """A hash of each word (a run of characters other than ASCII white space, A-Z in lower case)."""
     raw = (text or b"") if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")
-    return np.array(list(map(xxhash.xxh64_intdigest, raw.lower().split())), np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, raw.lower().split())), ">u8").astype(np.uint64)
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -64,17 +64,14 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 
 def sliding_minima(keys: np.ndarray, t: int) -> np.ndarray:
-    """The minimum of each run of t keys, by block-wise running minima from both sides."""
+    """The minimum of each run of t keys: minima of runs of 2, 4, 8, ... of them, and of two such runs that cover t."""
     n = len(keys) - t + 1
     if n <= 0:
         return keys[:0]
-    full = -(-len(keys) // t) * t
-    padded = np.full(full, np.iinfo(keys.dtype).max, keys.dtype)
-    padded[: len(keys)] = keys
-    blocks = padded.reshape(-1, t)
-    after = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    before = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(before[:n], after[t - 1 : t - 1 + n])
+    size = 1
+    while 2 * size <= t:
+        keys, size = np.minimum(keys[:-size], keys[size:]), 2 * size
+    return np.minimum(keys[:n], keys[t - size : t - size + n])
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -189,33 +186,96 @@ def signatures(texts: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate([x[k] for x in out]) for k in range(5))
 
 
-#: Rows whose groups a task makes by itself before they are dealt out.
-LOCAL_ROWS = 500_000
-_ROWS = "key long, uid long, pos long, rep long, rep_pos long"
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the number of their words in their place."""
+    for batch in batches:
+        n = [len(x.split()) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], names=["doc_id", "uid", "n_words"])
 
 
-def _local(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """The first row of each group of a key, without a representative, and the others, aligned with it: further places
-    of the first one's own text too.
+#: Rows whose groups a task makes by itself before they are dealt out, and bytes of text whose signatures are made together.
+LOCAL_ROWS, LOCAL_BYTES = 500_000, 300_000
+#: A bucket of keys has BUCKET_ROWS or so. There are FEW_BUCKETS at least, and over MANY_BUCKETS only where they would have over MOST_ROWS.
+BUCKET_ROWS, MOST_ROWS, FEW_BUCKETS, MANY_BUCKETS = 100_000, 1_000_000, 1024, 4096
+_ROWS = "bucket int, n_columns int, rows binary"
 
-    Aligned rows are dealt out by their own hash, not by their key. So a group of any size sends one row from here to its
-    key's task.
+
+def buckets_of(n_words: int) -> int:
+    """In how many buckets the keys of texts of so many words, which have about as many rows, are dealt out."""
+    return max(FEW_BUCKETS, min(MANY_BUCKETS, n_words // BUCKET_ROWS), n_words // MOST_ROWS)
+
+
+def packed_rows(columns: np.ndarray) -> bytes:
+    """64-bit columns as bytes, first all lowest bytes of a column, then all second ones: what is small or sorted compresses."""
+    return columns.view(np.uint8).reshape(*columns.shape, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpacked_rows(rows: bytes, n_columns: int) -> np.ndarray:
+    planes = np.frombuffer(rows, np.uint8).reshape(n_columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).reshape(n_columns, -1).view(np.int64)
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, where groups start in it, how large they are)."""
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return order, starts, np.diff(np.r_[starts, len(key)])
+
+
+def _first_of(key: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of all rows that share their key, the least uid there, the least pos of that, whether a row is the first of its group)."""
+    order, starts, sizes = _grouped(key)
+    many = sizes > 1
+    at = order[np.repeat(many, sizes)]
+    if not len(at):
+        return at, at, at, at.astype(bool)
+    sizes = sizes[many]
+    starts = np.cumsum(sizes) - sizes
+    rep = np.repeat(np.minimum.reduceat(uid[at], starts), sizes)
+    own = np.where(uid[at] == rep, pos[at], np.iinfo(np.int64).max)
+    rep_pos = np.repeat(np.minimum.reduceat(own, starts), sizes)
+    first = np.zeros(len(at), bool)
+    same = np.flatnonzero(own == rep_pos)
+    group = np.repeat(starts, sizes)[same]
+    first[same[np.r_[True, group[1:] != group[:-1]]]] = True
+    return at, rep, rep_pos, first
+
+
+def _local(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """The first row of each group of a key, and the others, aligned with it: further places of the first one's own text too.
+
+    A row of the result has all rows of a bucket, of three columns, or of five if they are aligned. Aligned rows are dealt out
+    by their own hash, not by their key. So a group of any size sends one row from here to its key's bucket.
     """
     key, uid, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((pos, uid, key))
-    new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    first = np.empty(len(key), np.int64)  # of each row, its group's first; rows stay in the order of their texts
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else order
-    own = first == np.arange(len(key))
-    columns = [key, uid, pos]
-    rep = [pa.array(uid[first], mask=own), pa.array(pos[first], mask=own)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *rep], names=["key", "uid", "pos", "rep", "rep_pos"])
-
-
-def _emit(t: int):
+    at, rep, rep_pos, first = _first_of(key, uid, pos)
+    others = at[~first]
+    single = np.ones(len(key), bool)
+    single[others] = False
+    firsts = np.flatnonzero(single)
+    with np.errstate(over="ignore"):
+        dealt = mixed(uid[others].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * pos[others].view(np.uint64))
+    out: list[tuple[int, int, bytes]] = []
+    for by, columns in (
+        (key[firsts].view(np.uint64), np.stack([key[firsts], uid[firsts], pos[firsts]])),
+        (dealt, np.stack([key[others], uid[others], rep[~first], pos[others], rep_pos[~first]])),
+    ):
+        order = np.argsort(by)
+        bucket = (by[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        columns = columns[:, order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True][: len(bucket) + 1]) if len(bucket) else bucket
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            out.append((int(bucket[a]), len(columns), packed_rows(np.ascontiguousarray(columns[:, a:b]))))
+    columns_ = list(zip(*out, strict=True)) or [[]] * 3
+    types = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns_, types, strict=True)], names=["bucket", "n_columns", "rows"])
+
+
+def _emit(t: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_rows = 0
         seen: set[int] = set()
         for batch in batches:
             fresh = []  # a task works on equal texts once; copies in other tasks give the same rows again
@@ -228,41 +288,43 @@ def _emit(t: int):
             raw, at = batch.column(1).to_pylist(), 0
             while at < len(raw):
                 size, to = 0, at
-                while to < len(raw) and (to == at or size + len(raw[to] or b"") < 1_500_000):
+                while to < len(raw) and (to == at or size + len(raw[to] or b"") < LOCAL_BYTES):
                     size += len(raw[to] or b"")
                     to += 1
                 key, who, place, low, high = signatures([shingles(word_hashes(x)) for x in raw[at:to]], t)
                 parts.append((key.view(np.int64), uid[at:to][who], place - low << 52 | (high - low) << 40 | low))
+                n_rows += len(key)
                 at = to
-                if sum(len(p[0]) for p in parts) > LOCAL_ROWS:
-                    yield _local(parts)
-                    parts = []
+                if n_rows > LOCAL_ROWS:
+                    yield _local(parts, buckets)
+                    parts, n_rows = [], 0
         if parts:
-            yield _local(parts)
+            yield _local(parts, buckets)
 
     return run
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each row but its group's first (the least uid and pos) and that one's copies is aligned with the first.
+    """Rows sorted by bucket: each row but its group's first (the least uid and pos) and that one's copies is aligned with the first.
 
-    Rows that have a representative pass through.
+    Rows that are aligned already pass through.
     """
+    names = ["key", "uid", "rep", "pos", "rep_pos"]
     for columns in whole_buckets(batches):
-        batch = pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["key", "uid", "pos", "rep", "rep_pos"])
-        done = batch.filter(batch.column(3).is_valid())
-        if done.num_rows:
-            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 1, 3, 2, 4)], names=["key", "uid", "rep", "pos", "rep_pos"])
-        batch = batch.filter(batch.column(3).is_null())
-        if not batch.num_rows:
-            continue
-        key, uid, pos = (batch.column(k).to_numpy() for k in range(3))
-        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-        sizes = np.diff(np.concatenate((starts, [len(key)])))
-        rep = np.repeat(np.minimum.reduceat(uid, starts), sizes)
-        rep_pos = np.repeat(np.minimum.reduceat(np.where(uid == rep, pos, np.iinfo(np.int64).max), starts), sizes)
-        other = (uid != rep) | (pos != rep_pos)
-        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (key, uid, rep, pos, rep_pos)], names=["key", "uid", "rep", "pos", "rep_pos"])
+        bucket = columns[0].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            parts: dict[int, list[np.ndarray]] = {3: [], 5: []}
+            for n, x in zip(*(c.slice(a, b - a).to_pylist() for c in columns[1:]), strict=True):
+                parts[n].append(unpacked_rows(x, n))
+            if parts[5]:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts[5], axis=1)], names=names)
+            if parts[3]:
+                key, uid, pos = np.concatenate(parts[3], axis=1)
+                at, rep, rep_pos, _ = _first_of(key, uid, pos)
+                key, uid, pos = key[at], uid[at], pos[at]
+                other = (uid != rep) | (pos != rep_pos)
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (key, uid, rep, pos, rep_pos)], names=names)
 
 
 #: Starts that are verified together, and the grid on which the stretches that they need are shared.
@@ -270,35 +332,31 @@ PIECE, GRID = 128, 16
 
 
 def _cover(t: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by uid, rep, shift and low: touching intervals of starts are one, and come out in pieces."""
-        now: tuple[int, int, int] | None = None
-        a = b = 0
-        out: list[tuple[int, int, int, int, int]] = []
-
-        def close() -> None:
-            if now is not None:
-                uid, rep, shift = now
-                out.extend((uid, k, min(k + PIECE - 1, b), rep, shift) for k in range(a, b + 1, PIECE))
+    names, types = ("uid", "a", "b", "rep", "shift"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=["uid", "a", "b", "rep", "shift"])
-            out.clear()
-            return batch
+    def pieces(uid: np.ndarray, rep: np.ndarray, shift: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        parts = (b - a) // PIECE + 1
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        uid, rep, shift, a, b = (np.repeat(x, parts) for x in (uid, rep, shift, a, b))
+        a = a + nth * PIECE
+        columns = (uid, a, np.minimum(a + PIECE - 1, b), rep, shift)
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(x) for c, x in zip(columns, types, strict=True)], names=list(names))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by uid, rep, shift and low: touching intervals of starts are one, and come out in pieces."""
+        last = [np.empty(0, np.int64)] * 5
         for batch in batches:
-            for uid, rep, shift, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if now == (uid, rep, shift) and lo <= b + t:
-                    b = max(b, hi)
-                else:
-                    close()
-                    now, a, b = (uid, rep, shift), lo, hi
-            if len(out) > 20_000:
-                yield flush()
-        close()
-        yield flush()
+            if not batch.num_rows:
+                continue
+            uid, rep, shift, lo, hi = (np.concatenate((x, batch.column(k).to_numpy().astype(np.int64))) for k, x in enumerate(last))
+            new = np.r_[True, (uid[1:] != uid[:-1]) | (rep[1:] != rep[:-1]) | (shift[1:] != shift[:-1])]
+            reach = np.maximum.accumulate((np.cumsum(new) << 40) + hi) & ((1 << 40) - 1)  # the end of what came so far
+            new[1:] |= lo[1:] > reach[:-1] + t
+            first = np.flatnonzero(new)
+            merged = [x[first] for x in (uid, rep, shift, lo)] + [reach[np.r_[first[1:], len(uid)] - 1]]
+            yield pieces(*(x[:-1] for x in merged))
+            last = [x[-1:] for x in merged]
+        yield pieces(*last)
 
     return run
 
@@ -337,35 +395,69 @@ def alike(own: np.ndarray, other: np.ndarray, shift: int, starts: np.ndarray, t:
     ok = (starts >= 0) & (starts + t <= n)
     hits = same[np.clip(starts, 0, n) + t] - same[np.clip(starts, 0, n)]
     good = ok & (hits >= enough - 1e-9)
-    if not good.any() and ok.any():
-        known = np.zeros(n + t + 1, np.int64)
-        known[1 : n + 1] = np.isin(own, other)
-        known = np.cumsum(known)
-        near = np.where(ok, known[np.clip(starts, 0, n) + t] - known[np.clip(starts, 0, n)], -1)
-        best = int(np.argmax(near))
-        if near[best] >= enough - 1e-9:
-            s = int(starts[best])
-            x, y = set(own[s : s + t].tolist()), set(other[max(s + shift, 0) : max(s + shift, 0) + t].tolist())
-            good[best] = len(x & y) >= similarity * len(x | y)
+    if not good.any() and ok.any() and (best := by_sets(own, other, shift, starts[ok], t, similarity)) >= 0:
+        good[np.flatnonzero(ok)[best]] = True
     return good
 
 
+def by_sets(own: np.ndarray, other: np.ndarray, shift: int, starts: np.ndarray, t: int, similarity: float) -> int:
+    """Which of the starts (each has t shingles of own) begins most shingles that other has; -1 if their sets are not similar enough."""
+    have = set(other.tolist())
+    known = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(np.fromiter(map(have.__contains__, own.tolist()), bool, len(own)), out=known[1:])
+    near = known[starts + t] - known[starts]
+    best = int(np.argmax(near))
+    if near[best] < 2 * t * similarity / (1 + similarity) - 1e-9:
+        return -1
+    s = int(starts[best])
+    x, y = set(own[s : s + t].tolist()), set(other[max(s + shift, 0) : max(s + shift, 0) + t].tolist())
+    return best if len(x & y) >= similarity * len(x | y) else -1
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all rows of a binary column, where each row's begin and the last ones end)."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) // 4
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint32)[ends[0] : ends[-1]] if data else np.empty(0, np.uint32), ends - ends[0]
+
+
 def _verify(t: int, similarity: float):
+    enough = 2 * t * similarity / (1 + similarity) - 1e-9
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("uid", "at", "to", "rep", "rep_at", "rep_to")
         for batch in batches:
-            rows = []
-            for uid, a, b, rep, shift, at, rep_at, own, other in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
-                x, y = np.frombuffer(own, np.uint32), np.frombuffer(other, np.uint32)
-                starts = np.arange(a, b + 1) - at
-                good = np.flatnonzero(alike(x, y, at - shift - rep_at, starts, t, similarity))
-                if len(good):
-                    for run_ in np.split(good, np.flatnonzero(np.diff(good) > t) + 1):
-                        lo, hi = a + int(run_[0]), a + int(run_[-1]) + t + WIDTH - 1
-                        rows.append((uid, lo, hi, rep, max(lo - shift, 0), max(hi - shift, 0)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            if not batch.num_rows:
+                continue
+            uid, a, b, rep, shift, at, rep_at = (batch.column(k).to_numpy().astype(np.int64) for k in range(7))
+            (x, ends), (y, rep_ends) = _lines(batch.column(7)), _lines(batch.column(8))
+            n, m = np.diff(ends), np.diff(rep_ends)
+            # place by place, for all rows at once, as alike() does
+            place = np.arange(max(int(n.max()), 1))
+            there = place + (at - shift - rep_at)[:, None]
+            inside = (place < n[:, None]) & (there >= 0) & (there < m[:, None])
+            same = np.zeros(inside.shape, bool)
+            same[inside] = x[(place + ends[:-1, None])[inside]] == y[(there + rep_ends[:-1, None])[inside]]
+            sums = np.zeros((len(uid), len(place) + t + 1), np.int32)
+            np.cumsum(same, axis=1, out=sums[:, 1 : len(place) + 1])
+            sums[:, len(place) + 1 :] = sums[:, len(place), None]
+            starts = (a - at)[:, None] + np.arange(int((b - a).max()) + 1)
+            ok = (starts <= (b - at)[:, None]) & (starts >= 0) & (starts + t <= n[:, None])
+            starts = np.clip(starts, 0, len(place))
+            good = ok & (np.take_along_axis(sums, starts + t, axis=1) - np.take_along_axis(sums, starts, axis=1) >= enough)
+            for k in np.flatnonzero(ok.any(axis=1) & ~good.any(axis=1)).tolist():
+                own, other = x[ends[k] : ends[k + 1]], y[rep_ends[k] : rep_ends[k + 1]]
+                nth = np.flatnonzero(ok[k])
+                if (best := by_sets(own, other, int(at[k] - shift[k] - rep_at[k]), starts[k, nth], t, similarity)) >= 0:
+                    good[k, nth[best]] = True
+            row, nth = np.nonzero(good)
+            new = np.r_[True, (row[1:] != row[:-1]) | (np.diff(nth) > t)][: len(row)]
+            first, row = np.flatnonzero(new), row[new]
+            lo, hi = a[row] + nth[first], a[row] + nth[np.r_[first[1:], len(nth)][: len(first)] - 1] + t + WIDTH - 1
+            columns = (uid[row], lo, hi, rep[row], np.maximum(lo - shift[row], 0), np.maximum(hi - shift[row], 0))
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, types, strict=True)], names=list(names))
 
     return run
 
@@ -458,6 +550,8 @@ def _verified(met: DataFrame, every: DataFrame, t: int, similarity: float) -> Da
 
 #: Members of a group that are compared with as many others, on average, and bytes of their shingles.
 CROSS_ROWS, CROSS_BYTES = 512, 1 << 23
+#: Shingles that are looked up at a time.
+ACROSS = 1 << 17
 
 
 def linked_windows(shown: list[np.ndarray], before: np.ndarray, side: np.ndarray, cls: np.ndarray, t: int, similarity: float) -> list[tuple[int, int]]:
@@ -469,37 +563,62 @@ def linked_windows(shown: list[np.ndarray], before: np.ndarray, side: np.ndarray
     sizes = np.array([len(x) for x in shown], np.int64)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     values, flat = np.unique(np.concatenate(shown), return_inverse=True)
-    label, mark, found = np.unique(cls, return_inverse=True)[1], np.zeros(len(values) + 1, bool), []
+    label, found = np.unique(cls, return_inverse=True)[1], []
     ahead = int(before.max())
     lined = np.full((len(shown), int((ahead - before + sizes).max())), len(values))  # a row for each, by distance from the place
     lined[np.repeat(np.arange(len(shown)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] + before - ahead, sizes)] = flat
     enough = 2 * t * similarity / (1 + similarity) - 1e-9
 
-    def most(hits: np.ndarray) -> np.ndarray:
-        sums = np.pad(np.cumsum(hits, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
-        return (sums[:, t:] - sums[:, :-t]).max(axis=1) if hits.shape[1] >= t else np.zeros(len(hits), np.int32)
+    if lined.shape[1] < t:
+        return []
+
+    def windows(hits: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(hits), hits.shape[1] + 1), np.int32)
+        np.cumsum(hits, axis=1, out=sums[:, 1:])
+        return sums[:, t:] - sums[:, :-t]
 
     second = int(np.searchsorted(side, 1))
-    for x in range(second):
-        first = second if second < len(shown) else x + 1
-        if first == len(shown) or (label[first:] == label[x]).all():
+    from_ = second if second < len(shown) else 0
+    step = max(1, min(ACROSS // max(len(flat), len(values)), ACROSS // max(1, lined.size)))
+    for k in range(0, second, step):  # so many members of side 0 at a time; what they join spares the next ones' pairs
+        xs = np.arange(k, min(k + step, second))
+        first = max(from_, k + 1 if second == len(shown) else 0)
+        if first == len(shown):
+            break
+        differ = label[xs][:, None] != label[None, first:]
+        if second == len(shown):
+            differ &= xs[:, None] < np.arange(first, len(shown))
+        if not differ.any():
             continue
-        own = flat[ends[x] : ends[x + 1]]
-        mark[own] = True
-        known = np.add.reduceat(mark[flat[ends[first] :]], ends[first:-1] - ends[first], dtype=np.int64)
-        near = np.flatnonzero((known >= enough) & (label[first:] != label[x])) + first
+        mark = np.zeros((len(xs), len(values) + 1), bool)
+        mark[np.repeat(np.arange(len(xs)), sizes[xs]), flat[ends[k] : ends[xs[-1] + 1]]] = True
+        known = np.add.reduceat(mark[:, flat[ends[first] :]], ends[first:-1] - ends[first], axis=1, dtype=np.int32)
+        i, near = np.nonzero(differ & (known >= enough))
+        near += first
         beside = lined[near]
-        good = most((beside == lined[x]) & (beside < len(values))) >= enough  # place by place; else by sets, as alike() does
+        # place by place; else the window with most shingles that the other has anywhere is decided by sets, as alike() does
+        good = (windows((beside == lined[xs[i]]) & (beside < len(values))) >= enough).any(axis=1)
         perhaps = np.flatnonzero(~good)
-        perhaps = perhaps[most(mark[beside[perhaps]]) >= enough] if len(perhaps) else perhaps
-        mark[own] = False
-        for k in perhaps.tolist():
-            y = int(near[k])
-            good[k] = alike(flat[ends[y] : ends[y + 1]], own, int(before[x] - before[y]), np.arange(max(sizes[y] - t + 1, 0)), t, similarity).any()
-        for y in near[good].tolist():
-            if label[x] != label[y]:
-                label[label == label[y]] = label[x]
-                found.append((x, y))
+        there = windows(mark[i[perhaps, None], beside[perhaps]])
+        some = (there >= enough).any(axis=1)
+        there = dict(zip(perhaps[some].tolist(), there[some], strict=True))
+        good[list(there)] = True
+        for p in np.flatnonzero(good).tolist():
+            x, y = int(xs[i[p]]), int(near[p])
+            if label[x] == label[y]:
+                continue
+            if p in there:
+                begin = ahead - before[y]
+                own = there[p][begin : begin + max(sizes[y] - t + 1, 0)]
+                best = int(np.argmax(own)) if len(own) else 0
+                if not len(own) or own[best] < enough:
+                    continue
+                at = max(best + before[x] - before[y], 0)
+                one, two = set(flat[ends[y] + best : ends[y] + best + t].tolist()), set(flat[ends[x] + at : ends[x + 1]][:t].tolist())
+                if len(one & two) < similarity * len(one | two):
+                    continue
+            label[label == label[y]] = label[x]
+            found.append((x, y))
     return found
 
 
@@ -599,13 +718,14 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float
     if not WIDTH < least_words <= 4000:
         raise ValueError(f"least_words must be over {WIDTH} and at most 4000")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    ids = staged(d.select("doc_id", F.xxhash64("text").alias("uid"), word_count(F.col("text")).cast("int").alias("n_words")), "texts")
+    ids = d.select("doc_id", F.xxhash64("text").alias("uid"), F.col("text").cast("binary").alias("raw"))
+    ids = staged(ids.mapInArrow(tidy(_counted), "doc_id long, uid long, n_words int"), "texts")
     texts = staged(ids.groupBy("uid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")), "distinct")
     every = d.select(F.xxhash64("text").alias("uid"), F.col("text").cast("binary").alias("raw"))
 
-    rows = every.mapInArrow(tidy(_emit(t)), _ROWS)
-    dealt = rows.repartition(F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.xxhash64("uid", "pos")))
-    aligned = dealt.sortWithinPartitions("key").mapInArrow(tidy(_align), "key long, uid long, rep long, pos long, rep_pos long")
+    buckets = buckets_of(ids.agg(F.sum(F.col("n_words").cast("long"))).first()[0] or 0)
+    rows = every.mapInArrow(tidy(_emit(t, buckets)), _ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    aligned = rows.mapInArrow(tidy(_align), "key long, uid long, rep long, pos long, rep_pos long")
 
     same = "uid = rep and pos = rep_pos"
     edges = staged(aligned.where(f"not ({same})"), "aligned")

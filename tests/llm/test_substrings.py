@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import substrings
@@ -227,3 +228,103 @@ def test_what_the_first_is_not_alike_to_is_compared_with_all(spark):
         rows += [(1000 + 2 * k, " ".join(text(rnd, 50) + passage + text(rnd, 30))), (1001 + 2 * k, " ".join(text(rnd, 57) + other + text(rnd, 30)))]
     found = {r.doc_id for r in passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     assert len([d for d in found if d >= 1000]) >= 394 and not any(d < 1000 for d in found)
+
+
+def test_keys_are_dealt_out_by_the_bucket():
+    """A row for each bucket, not for each key; groups and their first members are those of brute force."""
+    rnd, t = random.Random(19), substrings.LEAST_WORDS - substrings.WIDTH + 1
+    line = text(rnd, 80)
+    raw = [" ".join(text(rnd, 60 + 9 * k) + line * (1 + k % 2) + text(rnd, 40)).encode() for k in range(60)] + [b"", b"short"]
+    raw[7] = raw[3]
+    key, who, place, low, high = substrings.signatures([substrings.shingles(substrings.word_hashes(x)) for x in raw], t)
+    uids = rnd.sample(range(-(10**9), 10**9), len(raw))
+    groups = {}
+    for k, w, p, a, b in zip(key.view(np.int64).tolist(), who.tolist(), place.tolist(), low.tolist(), high.tolist()):
+        groups.setdefault(k, []).append((uids[w], p - a << 52 | b - a << 40 | a))
+    expected = {(k, u, min(rows)[0], p, min(rows)[1]) for k, rows in groups.items() for u, p in rows if (u, p) != min(rows)}
+    given = pa.RecordBatch.from_arrays([pa.array(uids), pa.array(raw, pa.binary())], names=["uid", "raw"])
+    dealt = pa.Table.from_batches(substrings._emit(t, 8)(iter([given])))
+    assert dealt.num_rows <= 2 * 8 < len(key) / 100 and set(dealt["bucket"].to_pylist()) == set(range(8))
+    aligned = pa.Table.from_batches(substrings._align(iter(dealt.sort_by("bucket").to_batches(max_chunksize=3))))
+    got = [tuple(r.values()) for r in aligned.to_pylist()]
+    assert set(got) == expected and len(got) == len(expected)
+    # the same of two tasks: firsts of each meet in their bucket
+    halves = [pa.Table.from_batches(substrings._emit(t, 8)(iter([given.slice(k, 31)]))) for k in (0, 31)]
+    aligned = pa.Table.from_batches(substrings._align(iter(pa.concat_tables(halves).sort_by("bucket").to_batches(max_chunksize=3))))
+    joined = {}
+    for k, u, r, p, q in (tuple(r.values()) for r in aligned.to_pylist()):
+        joined.setdefault(k, set()).update({(u, p), (r, q)})
+    assert joined == {k: set(rows) for k, rows in groups.items() if len(set(rows)) > 1}
+
+
+def test_packed_rows():
+    rnd = np.random.default_rng(20)
+    for n in (1, 2, 100):
+        rows = rnd.integers(-(2**63), 2**63 - 1, (3, n))
+        assert (substrings.unpacked_rows(substrings.packed_rows(rows), 3) == rows).all()
+    assert [substrings.buckets_of(n) for n in (0, 10**6, 2 * 10**8, 4 * 10**9, 10**10)] == [1024, 1024, 2000, 4096, 10_000]
+
+
+def test_members_are_compared_many_at_a_time(monkeypatch):
+    """Fewer passes than members; links are the same however many members a pass takes."""
+    rnd, t = random.Random(21), 20
+    base = [[rnd.randrange(10**6) for _ in range(40)] for _ in range(4)]
+    shown = []
+    for k in range(120):
+        x = list(base[k % 4])
+        for _ in range(k % 5):
+            x[rnd.randrange(40)] = rnd.randrange(10**6)
+        if k % 3 == 0:
+            x.insert(rnd.randrange(40), rnd.randrange(10**6))
+        shown.append(np.array(x, np.uint32))
+    before, side, cls = np.zeros(120, np.int64), np.zeros(120, np.int64), np.arange(120)
+    passes, cumsum = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **b: passes.append(1) or cumsum(*a, **b))
+    links = substrings.linked_windows(shown, before, side, cls, t, 0.8)
+    assert len(links) >= 100 and len(passes) < 60
+    monkeypatch.setattr(substrings, "ACROSS", 1)
+    assert substrings.linked_windows(shown, before, side, cls, t, 0.8) == links
+
+
+def test_cover_and_verify_are_as_one_by_one():
+    rnd, t = random.Random(22), 20
+    rows = sorted((rnd.randrange(3), rnd.randrange(2), rnd.randrange(-2, 2), rnd.randrange(3000)) for _ in range(900))
+    rows = [(*r, r[3] + rnd.randrange(300)) for r in rows]
+    starts = {}
+    for u, r, s, a, b in rows:
+        starts.setdefault((u, r, s), []).append((a, b))
+    expected = set()
+    for (u, r, s), spans in starts.items():
+        merged = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1] + t:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        expected |= {(u, k, min(k + substrings.PIECE - 1, b), r, s) for a, b in merged for k in range(a, b + 1, substrings.PIECE)}
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["uid", "rep", "shift", "lo", "hi"])
+    for size in (1, 7, 1000):
+        got = [tuple(r.values()) for x in substrings._cover(t)(iter(table.to_batches(max_chunksize=size))) for r in x.to_pylist()]
+        assert set(got) == expected and len(got) == len(expected)
+
+    asked, expected = [], []
+    for k in range(400):
+        own = [rnd.randrange(10**6) for _ in range(rnd.randrange(60, 140))]
+        other = list(own)
+        for _ in range(rnd.randrange(12)):
+            other[rnd.randrange(len(own))] = rnd.randrange(10**6)
+        if k % 3 == 0:
+            other.insert(rnd.randrange(len(own)), 7)
+        drop, a, shift = rnd.randrange(12), rnd.randrange(16, 24), rnd.randrange(-5, 5)
+        b, at, other = a + rnd.randrange(100), 16, other[drop:]
+        rep_at = at - shift + drop if k % 5 else at
+        own, other = np.array(own, np.uint32), np.array(other, np.uint32)
+        asked.append((k, a, b, -k, shift, at, rep_at, own.tobytes(), other.tobytes()))
+        good = np.flatnonzero(substrings.alike(own, other, at - shift - rep_at, np.arange(a, b + 1) - at, t, 0.8))
+        for run in np.split(good, np.flatnonzero(np.diff(good) > t) + 1) if len(good) else []:
+            lo, hi = a + int(run[0]), a + int(run[-1]) + t + substrings.WIDTH - 1
+            expected.append((k, lo, hi, -k, max(lo - shift, 0), max(hi - shift, 0)))
+    table = pa.table([pa.array(c) for c in zip(*asked)], names=["uid", "a", "b", "rep", "shift", "at", "rep_at", "shingles", "rep_shingles"])
+    for size in (1, 90, 400):
+        got = [tuple(r.values()) for x in substrings._verify(t, 0.8)(iter(table.to_batches(max_chunksize=size))) for r in x.to_pylist()]
+        assert sorted(got) == sorted(expected) and 200 < len(got)
