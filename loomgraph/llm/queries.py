@@ -71,6 +71,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words and more, drawn toward the benchmark's word pairs."""
+    from loomgraph.llm import resampling
+
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -83,6 +90,7 @@ def queries() -> dict:
         "op8_langid": op8_langid,
         "op9_embeddings": op9_embeddings,
         "op10_pii": op10_pii,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -104,6 +112,23 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.l
 reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept FROM reach GROUP BY vec_id"""
 
+#: DuckDB has no crc32: a table of its 256 steps is made, and each different run of words goes through it byte by byte.
+OP13_SQL = r"""
+WITH steps AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+texts AS (SELECT 0 AS side, doc_id, row_number() OVER () AS uid, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, doc_id, uid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+f AS (SELECT side, uid, unnest(words) AS run FROM w UNION ALL SELECT side, uid, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) FROM w),
+r AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM f)),
+b AS (SELECT run, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, 1 + 2 * k, 2))::BIGINT)), lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM r, steps),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (run) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT uid, count(*) AS n_features, sum(gain)::BIGINT AS total FROM f JOIN b USING (run) JOIN g USING (bucket) WHERE side = 0 GROUP BY uid),
+d AS (SELECT doc_id, uid, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+ ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (uid) WHERE side = 0),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_words >= 20 AND doc_id IS NOT NULL AS able FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id, uid) AS place, count(*) FILTER (able) OVER () AS able_n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * able_n // 100 THEN place END AS rank FROM o"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_embeddings": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op9_embeddings": OP9_SQL, "op13_resampling": OP13_SQL}
