@@ -71,6 +71,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every usable vector."""
+    from loomgraph.llm import whitening
+
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents of 20 words and more, drawn toward the benchmark's word pairs."""
     from loomgraph.llm import resampling
@@ -90,6 +97,7 @@ def queries() -> dict:
         "op8_langid": op8_langid,
         "op9_embeddings": op9_embeddings,
         "op10_pii": op10_pii,
+        "op11_whitening": op11_whitening,
         "op13_resampling": op13_resampling,
     }
 
