@@ -78,6 +78,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; a row for each piece, read from the sequences."""
+    from loomgraph.llm import packing
+
+    return packing.digests(packing.pack(read(spark, sf_dir, "documents")))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the documents of 20 words and more, drawn toward the benchmark's word pairs."""
     from loomgraph.llm import resampling
@@ -98,6 +105,7 @@ def queries() -> dict:
         "op9_embeddings": op9_embeddings,
         "op10_pii": op10_pii,
         "op11_whitening": op11_whitening,
+        "op12_packing": op12_packing,
         "op13_resampling": op13_resampling,
     }
 
