@@ -19,10 +19,27 @@ _SPACE, _LETTERS = chr(_ALPHABET[32]), {b: k for b, k in _ALPHABET.items() if b
 #: One pre-token for certain: letters, or signs, a space before them or not; and letters with Latin-1 ones, of two bytes, among them.
 _ASCII, _LATIN = r"^ ?([A-Za-z]+|[!-/:-@\[-`{-~]+)$", r"^ ?([A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+$"
 
-_byte = np.arange(256)
-_SIGN = ((_byte > 32) & (_byte < 48)) | ((_byte > 57) & (_byte < 65)) | ((_byte > 90) & (_byte < 97)) | ((_byte > 122) & (_byte < 127))
-_LETTER = ((_byte > 64) & (_byte < 91)) | ((_byte > 96) & (_byte < 123))
-_SEEN = (_byte > 32) & (_byte < 127)
+#: Kinds of bytes: what is certain to be a letter, a sign, an apostrophe or a digit, and single spaces and line ends.
+_OTHER, _LETTER, _SIGN, _APOSTROPHE, _DIGIT, _BLANK, _LINE, _LATIN_END = range(8)
+
+
+def _kind(b: int) -> int:
+    c = chr(b)
+    if b < 128 and c.isalnum():
+        return _LETTER if c.isalpha() else _DIGIT
+    return {" ": _BLANK, "\n": _LINE, "'": _APOSTROPHE}.get(c, _SIGN if 32 < b < 127 else _OTHER)
+
+
+def _cut_between(before: int, after: int) -> bool:
+    if after in (_BLANK, _LINE):
+        return before not in (_OTHER, _BLANK, _LINE)
+    if before in (_LETTER, _LATIN_END):
+        return after in (_SIGN, _APOSTROPHE)
+    return before == _SIGN and after == _LETTER
+
+
+_KINDS = bytes(map(_kind, range(256)))
+_PAIRS = bytes(k < 128 and _cut_between(k >> 4, k & 15) for k in range(256))
 
 
 def cuts(data: bytes) -> np.ndarray:
@@ -37,14 +54,16 @@ def cuts(data: bytes) -> np.ndarray:
     out = np.zeros(len(a), bool)
     if len(a) < 3:
         return out
-    two = np.zeros(len(a), bool)  # ends a Latin-1 letter
-    two[1:] = (a[:-1] == 0xC3) & (a[1:] != 0x97) & (a[1:] != 0xB7)
-    letter, sign, seen = _LETTER[a] | two, _SIGN[a], _SEEN[a] | two
-    line = a == 10
-    out[1:] = seen[:-1] & ((a[1:] == 32) | line[1:])
-    out[1:] |= letter[:-1] & sign[1:]
-    out[1:] |= sign[:-1] & (a[:-1] != 39) & _LETTER[a[1:]]
-    out[2:] |= seen[:-2] & line[1:-1] & _SEEN[a[2:]]
+    kinds = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    lead = np.flatnonzero(a[:-1] == 0xC3)
+    after = a[lead + 1]
+    kinds[lead[(after != 0x97) & (after != 0xB7)] + 1] = _LATIN_END
+    pairs = (kinds[:-1] << 4) | kinds[1:]
+    out[1:] = np.frombuffer(pairs.tobytes().translate(_PAIRS), bool)
+    line = np.flatnonzero(kinds[1:-1] == _LINE) + 1
+    before, behind = kinds[line - 1], kinds[line + 1]
+    alone = (before != _OTHER) & (before != _BLANK) & (before != _LINE) & (behind != _OTHER) & (behind < _BLANK)
+    out[line[alone] + 1] = True
     return out
 
 
@@ -135,7 +154,9 @@ class ByteLevelEncoder:
                 at = plain.find(token, at + len(token))
         cut[offsets[:-1][size > 0]] = True
         starts = np.append(np.flatnonzero(cut), len(plain))
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), data])
+        small = len(plain) < 1 << 31
+        kind = (pa.binary(), np.int32) if small else (pa.large_binary(), np.int64)
+        pieces = pa.Array.from_buffers(kind[0], len(starts) - 1, [None, pa.py_buffer(starts.astype(kind[1])), data])
         numbered = pieces.dictionary_encode()
         begin, n, flat = self.ids_of(numbered.dictionary.to_pylist())
         at = numbered.indices.to_numpy()

@@ -29,7 +29,7 @@ from loomgraph.session import fresh_path, ship, staged, tidy
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
 #: Characters of text that are encoded together, about; tokens of a task that fills sequences, about.
-TOGETHER, TASK_TOKENS = 4_000_000, 8 << 20
+TOGETHER, TASK_TOKENS = 8_000_000, 8 << 20
 PIECES = "part int, nth long, sequence_id long, doc_id long, piece int, start long, length int, ids array<int>"
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 SEQUENCES = "sequence_id long, n_tokens int, ids array<int>, members array<struct<doc_id:bigint,piece:int,start:bigint,length:int>>"
