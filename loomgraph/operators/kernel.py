@@ -1,4 +1,4 @@
-"""The window join of two series in numpy: many pairs of series of the same shape at a time."""
+"""The window join of two series in numpy: many pairs of short series of the same shape at a time, long pairs one by one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from loomgraph.operators import search
 from loomgraph.operators.relations import Relation
+from loomgraph.operators.search import Windows, rounded
 
 #: Doubles in one working array, about: whatever the length of a series, some ten such arrays are all that a join holds.
 ROOM = 2_000_000
+#: Window pairs of two series from which they are searched by bounds instead of one matrix product.
+LONG = 4_000_000
 
 
 def z_windows(values: np.ndarray, m: int) -> np.ndarray:
@@ -32,10 +36,6 @@ def z_windows(values: np.ndarray, m: int) -> np.ndarray:
     return z
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    return np.floor(x * 1e5 + 0.5) / 1e5
-
-
 def lengths(z: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("...k,...k->...", z, z))
 
@@ -115,13 +115,38 @@ def _tiles(n_a: int, n_b: int) -> Iterator[tuple[int, int]]:
         yield lo, min(lo + step, n_a)
 
 
-def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset: int, threshold: float) -> Best:
-    """Pairs of series (rows of a and b) whose grids are `offset` steps apart."""
-    best, n_a, n_b = Best(len(a)), a.shape[1] - m + 1, b.shape[1] - m + 1
+def _long(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset: int, threshold: float) -> tuple[int, int, float] | None:
+    """grid_join of one pair of long series, in memory that grows with neither window length nor pairs of windows."""
+    if relation in (Relation.BEFORE, Relation.NONE):
+        return search.pruned(Windows(a, m), Windows(b, m), m + offset if relation is Relation.BEFORE else None, threshold)[0]
+    n_a, n_b = len(a) - m + 1, len(b) - m + 1
+    near, far = {Relation.EQUAL: (0, 0), Relation.MEETS: (m, m), Relation.OVERLAPS: (1, m - 2)}[relation]
+    step, best = max(1, ROOM // (2 * m)), Best(1)
+    for lo in range(0, n_a, step):
+        hi = min(lo + step, n_a)
+        x, y = max(0, lo + offset + near), min(n_b, hi + offset + far)
+        if x < y:
+            part = grid_join(a[None, lo : hi + m - 1], b[None, x : y + m - 1], m, relation, offset + lo - x, threshold)
+            best.offer(np.zeros(1, int), part.dist, part.i + lo, part.j + x)
+    return (int(best.i[0]), int(best.j[0]), float(best.dist[0])) if np.isfinite(best.dist[0]) else None
+
+
+def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset: int, threshold: float, ia: np.ndarray | None = None, ib: np.ndarray | None = None) -> Best:
+    """Pairs of series (rows ia of a with rows ib of b; without them, row by row) whose grids are `offset` steps apart."""
+    ia, ib = (np.arange(len(x)) if k is None else k for x, k in ((a, ia), (b, ib)))
+    best, n_a, n_b = Best(len(ia)), a.shape[1] - m + 1, b.shape[1] - m + 1
     wide = relation in (Relation.BEFORE, Relation.NONE)
+    if n_a * n_b > LONG if wide else max(n_a, n_b) * m > ROOM:
+        for p in range(len(ia)):
+            if (row := _long(a[ia[p]], b[ib[p]], m, relation, offset, threshold)) is not None:
+                best.i[p], best.j[p], best.dist[p] = row
+        return best
     step = max(1, ROOM // (max(n_a, n_b) * m + (n_a * n_b if wide else 0)))
-    for lo in range(0, len(a), step):
-        za, zb = z_windows(a[lo : lo + step], m), z_windows(b[lo : lo + step], m)
+    for lo in range(0, len(ia), step):
+        # a series of several pairs is normalised once
+        (ua, at_a), (ub, at_b) = (np.unique(k[lo : lo + step], return_inverse=True) for k in (ia, ib))
+        za, zb = z_windows(a[ua], m), z_windows(b[ub], m)
+        za, zb = (z if len(u) == len(at) and (at[1:] > at[:-1]).all() else z[at] for z, u, at in ((za, ua, at_a), (zb, ub, at_b)))
         if relation is Relation.EQUAL:
             _shifted(za, zb, offset, threshold, best, lo)
         elif relation is Relation.MEETS:
@@ -143,11 +168,10 @@ def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset:
     return best
 
 
-def stamp_relation(name: str, start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
-    """Mask (source windows, target windows) of a relation that the matrix-profile methods read off timestamps.
+def related(name: str, sa: np.ndarray, ea: np.ndarray, sb: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Which source windows (start, end) and target windows are in a relation that the baselines read off timestamps.
 
     crosses is overlaps with those that start together."""
-    sa, ea, sb, eb = start_a[:, None], end_a[:, None], start_b[None, :], end_b[None, :]
     if name == "equal":
         return (sa == sb) & (ea == eb)
     if name == "meets":
@@ -172,51 +196,49 @@ def _direct(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return i, j
 
 
-def profile_join(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m: int, relation: Relation) -> tuple[int, int, float] | None:
+def profile_join(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m: int, relation: Relation, method: str = "stamp", part: int = 0, parts: int = 1) -> tuple[int, int, float] | None:
     """The matrix-profile baseline for one pair of series: timestamps decide, without a threshold.
 
     equal and meets: of all sources the first with the least distance (of repeated start times the last target stands).
-    overlaps and before: as the grid join, the last source wins a tie. none never matches.
+    overlaps and before: as the grid join, the last source wins a tie; stamp goes window by window, stomp along diagonals,
+    of which it may take a share. none never matches.
     """
     if relation is Relation.NONE:
         return None
     times = ta[: len(a) - m + 1], ta[m - 1 :], tb[: len(b) - m + 1], tb[m - 1 :]
-    best = Best(1)
+    wa, wb = Windows(a, m), Windows(b, m)
     if relation in (Relation.EQUAL, Relation.MEETS):
         i, j = _direct(*times, relation)
-        if not len(i):
-            return None
-        za, zb = z_windows(a[None], m)[0], z_windows(b[None], m)[0]
-        dist = rounded(np.sqrt(((za[i] - zb[j]) ** 2).sum(axis=1)))
+        best, step = Best(1), max(1, ROOM // m)
         best.i[:] = len(a)
-        best.offer(np.zeros(len(i), int), dist, i, j, last=False)
-    else:
-        za, zb = z_windows(a[None], m), z_windows(b[None], m)
-        for x, y in _tiles(za.shape[1], zb.shape[1]):
-            mask = stamp_relation(relation.value, times[0][x:y], times[1][x:y], *times[2:])
-            if mask.any():
-                part = Best(1)
-                _matrix(za[:, x:y], zb, mask[None], None, part, 0)
-                best.offer(np.zeros(1, int), part.dist, part.i + x, part.j)
-    return None if not np.isfinite(best.dist[0]) else (int(best.i[0]), int(best.j[0]), float(best.dist[0]))
+        for lo in range(0, len(i), step):
+            x, y = i[lo : lo + step], j[lo : lo + step]
+            dist = rounded(np.sqrt(((wa.rows(x) - wb.rows(y)) ** 2).sum(axis=1)))
+            best.offer(np.zeros(len(x), int), dist, x, y, last=False)
+        return None if not np.isfinite(best.dist[0]) else (int(best.i[0]), int(best.j[0]), float(best.dist[0]))
+    allowed = lambda *t: related(relation.value, *t)
+    if method == "stomp":
+        return search.by_diagonals(wa, wb, times, allowed, None, part, parts)
+    return search.by_fft(wa, wb, times, allowed)
 
 
 def classified(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m: int) -> dict[str, tuple[int, float]]:
     """By relation, the window pairs (how many, least distance) of which it is the first that holds."""
     times = ta[: len(a) - m + 1], ta[m - 1 :], tb[: len(b) - m + 1], tb[m - 1 :]
-    za, zb = z_windows(a[None], m)[0], z_windows(b[None], m)[0]
+    wa, wb = Windows(a, m), Windows(b, m)
     found: dict[str, tuple[int, float]] = {}
-    for x, y in _tiles(len(za), len(zb)):
-        left = np.ones((y - x, len(zb)), bool)
+    for x, y in _tiles(wa.n, wb.n):
+        left = np.ones((y - x, wb.n), bool)
         for name in ("equal", "meets", "overlaps", "before"):
             # what starts together but ends apart overlaps here
-            mask = stamp_relation("crosses" if name == "overlaps" else name, times[0][x:y], times[1][x:y], *times[2:]) & left
+            mask = related("crosses" if name == "overlaps" else name, times[0][x:y, None], times[1][x:y, None], times[2][None], times[3][None]) & left
             left &= ~mask
             i, j = np.nonzero(mask)
             if len(i):
                 n, least = found.get(name, (0, np.inf))
-                for q in range(0, len(i), 65536):
-                    apart = za[i[q : q + 65536] + x] - zb[j[q : q + 65536]]
+                step = max(1, ROOM // m)
+                for q in range(0, len(i), step):
+                    apart = wa.rows(i[q : q + step] + x) - wb.rows(j[q : q + step])
                     least = min(least, float(rounded(np.sqrt((apart**2).sum(axis=1))).min()))
                 found[name] = (n + len(i), least)
     return found

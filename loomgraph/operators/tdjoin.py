@@ -4,7 +4,10 @@ For each pair of series, windows of w points whose places stand in the relation
 over the threshold compete, and the pair keeps the one of least Euclidean distance (rounded to five places; of equal ones
 the last source window, then the first target window). Pairs without such windows give no row.
 
-Only the pairs' two series travel to a pair, never their windows: windows are made inside the kernel.
+Only series travel, never their windows: windows are made inside the kernel. Small tables of series are joined to each pair.
+Large ones meet the pairs in blocks: sources are hashed into p rows and targets into p columns, pairs go to the block of
+their ends, and each block gets a series once, however many of its pairs have it. So at most 2 p copies of a series
+travel, and the pairs of a hub lie in p blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from loomgraph.session import ship
 
 METHODS = ("td", "stamp", "stomp")
 _NAMES = ["src", "dst", "pin", "i", "j", "dist"]
+#: Window pairs of one pair of series that a task looks through along diagonals; longer ones are shared.
+SHARE_PAIRS = 1 << 28
 
 
 def _rows(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -39,48 +45,128 @@ def _grid(ta: np.ndarray, tb: np.ndarray, at: int) -> int | None:
     return None if step == 0 or gap % step else gap // step
 
 
+def _found(w: int, relation: Relation, threshold: float, method: str, a: tuple[list, list], b: tuple[list, list], ia: np.ndarray, ib: np.ndarray, pins: np.ndarray, shares: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, float]]:
+    """(pair, i, j, dist) of each pair that matches: series ia of a (times, values) with series ib of b."""
+    (times_a, values_a), (times_b, values_b) = a, b
+    found: list[tuple[int, int, int, float]] = []
+    alike: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+    for k in range(len(ia)):
+        at, to = int(ia[k]), int(ib[k])
+        times, goal, pin = times_a[at], times_b[to], 0
+        n, m = len(times), len(goal)
+        if not np.isnan(pins[k]):
+            pin = int(pins[k])
+            times = times[pin : pin + w]
+            n = len(times)
+            if n != w:
+                continue
+        if w > min(n, m):
+            continue
+        if method != "td":
+            part, parts = shares[k] if shares else (0, 1)
+            if (r := kernel.profile_join(values_a[at][pin : pin + n], times, values_b[to][:m], goal, w, relation, method, part, parts)) is not None:
+                found.append((k, r[0] + pin, r[1], r[2]))
+            continue
+        offset = 0 if relation is Relation.NONE else _grid(times, goal, 0)
+        if offset is not None:
+            alike[n, m, offset].append((k, pin))
+    for (n, m, offset), rows in alike.items():
+        sources: dict[tuple[int, int], int] = {}
+        targets: dict[int, int] = {}
+        here = [sources.setdefault((int(ia[k]), pin), len(sources)) for k, pin in rows]
+        there = [targets.setdefault(int(ib[k]), len(targets)) for k, _ in rows]
+        xs, ys = np.array([values_a[k][pin : pin + n] for k, pin in sources]), np.array([values_b[k][:m] for k in targets])
+        best = kernel.grid_join(xs, ys, w, relation, offset, threshold, np.array(here), np.array(there))
+        found += [(k, int(best.i[p]) + pin, int(best.j[p]), float(best.dist[p])) for p, (k, pin) in enumerate(rows) if best.i[p] >= 0]
+    return found
+
+
+def _rows_of(ends: list[pa.Array], found: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+    take = pa.array([f[0] for f in found], pa.int64())
+    places = [pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.float64())]
+    return pa.RecordBatch.from_arrays([*(e.take(take) for e in ends), *places], names=_NAMES)
+
+
 def _kernel(w: int, relation: Relation, threshold: float, method: str):
+    """Rows of src, dst, pin, ta, va, tb, vb and perhaps part, parts: pairs with their series."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pins = batch.column(2).to_numpy(zero_copy_only=False)
+            pins = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
             ta, va, tb, vb = (_rows(batch.column(k), kind) for k, kind in ((3, np.int64), (4, float), (5, np.int64), (6, float)))
-            found: list[tuple[int, int, int, float]] = []
-            alike: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-            for k in range(batch.num_rows):
-                a, b, times, pin = va[k][: len(ta[k])], vb[k][: len(tb[k])], ta[k], 0
-                if not np.isnan(pins[k]):
-                    pin = int(pins[k])
-                    a, times = a[pin : pin + w], times[pin : pin + w]
-                    if len(a) != w:
-                        continue
-                if w > min(len(a), len(b)):
-                    continue
-                if method != "td":
-                    if (r := kernel.profile_join(a, times, b, tb[k], w, relation)) is not None:
-                        found.append((k, r[0] + pin, r[1], r[2]))
-                    continue
-                offset = 0 if relation is Relation.NONE else _grid(times, tb[k], 0)
-                if offset is not None:
-                    alike[len(a), len(b), offset].append((k, pin))
-                    va[k], vb[k] = a, b
-            for (_, _, offset), rows in alike.items():
-                at = [k for k, _ in rows]
-                best = kernel.grid_join(np.array([va[k] for k in at]), np.array([vb[k] for k in at]), w, relation, offset, threshold)
-                found += [(k, int(best.i[n]) + pin, int(best.j[n]), float(best.dist[n])) for n, (k, pin) in enumerate(rows) if best.i[n] >= 0]
-            take = pa.array([f[0] for f in found], pa.int64())
-            ends = [batch.column(k).take(take) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*ends, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.float64())], names=_NAMES)
+            shares = list(zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)) if batch.num_columns > 7 else None
+            each = np.arange(batch.num_rows)
+            yield _rows_of(batch.columns[:3], _found(w, relation, threshold, method, (ta, va), (tb, vb), each, each, pins, shares))
+
+    return run
+
+
+#: Bytes of series, as the planner estimates them, from which pairs are dealt to blocks; bytes of series that a block should get.
+BLOCKED_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
+#: Rows and columns of blocks at least, where there are any: pairs of a hub are shared by so many tasks.
+LEAST_BLOCKS = 16
+#: Pairs of a block that are worked on together.
+TOGETHER = 4096
+
+
+def block_rows(series: DataFrame) -> int:
+    """How many rows and columns of blocks suit a stored table of series, by its size; 0: none, or not just one stored table.
+
+    Estimates of joined or unstored tables are far off. Blocks without pairs cost nothing.
+    """
+    plan = series._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() != 1 or not series.inputFiles():
+        return 0
+    size = int(str(plan.stats().sizeInBytes()))
+    return 0 if size < BLOCKED_BYTES else min(1 << 20, max(LEAST_BLOCKS, -(-size // BLOCK_BYTES)))
+
+
+def in_blocks(pairs: DataFrame, series: DataFrame, p: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with block; block, side, node_id, ts, v): p x p blocks, and the series that each needs as sources (side 0) and targets.
+
+    Each series is read and joined once, to the list of blocks that need it; it is copied behind that join.
+    """
+    part = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(p))
+    dealt = pairs.withColumn("block", part("src") * p + part("dst"))
+    needs = [dealt.select(F.col(c).alias("node_id"), (F.col("block") * 2 + side).alias("slot")) for side, c in ((0, "src"), (1, "dst"))]
+    slots = needs[0].unionByName(needs[1]).groupBy("node_id").agg(F.collect_set("slot").alias("slots"))
+    sent = series.join(slots, "node_id").select(F.explode("slots").alias("slot"), "node_id", "ts", "v")
+    return dealt, sent.select(F.expr("slot div 2").alias("block"), F.pmod("slot", F.lit(2)).cast("int").alias("side"), "node_id", "ts", "v")
+
+
+def _block_kernel(w: int, relation: Relation, threshold: float, method: str):
+    def run(pairs: pa.Table, series: pa.Table) -> pa.Table:
+        side = series.column("side").to_numpy()
+        own = []
+        for k in (0, 1):
+            part = series.filter(pa.array(side == k)).combine_chunks()
+            ts, v = (_rows(c.chunk(0), t) if c.num_chunks else [] for c, t in ((part.column("ts"), np.int64), (part.column("v"), float)))
+            own.append((part.column("node_id"), (ts, v)))
+        at = [pc.index_in(pairs.column(c), value_set=ids.combine_chunks()) for c, (ids, _) in zip(("src", "dst"), own, strict=True)]
+        there = pairs.filter(pc.and_(pc.is_valid(at[0]), pc.is_valid(at[1]))).combine_chunks()
+        ia, ib = (pc.index_in(there.column(c), value_set=ids.combine_chunks()).to_numpy() for c, (ids, _) in zip(("src", "dst"), own, strict=True))
+        pins = there.column("pin").to_numpy().astype(float)
+        out = []
+        for lo in range(0, there.num_rows, TOGETHER):
+            q = slice(lo, lo + TOGETHER)
+            found = _found(w, relation, threshold, method, own[0][1], own[1][1], ia[q], ib[q], pins[q])
+            out.append(_rows_of([there.column(c).slice(lo, TOGETHER).combine_chunks() for c in ("src", "dst", "pin")], found))
+        if out:
+            return pa.Table.from_batches(out)
+        return pa.table([there.column("src"), there.column("dst"), there.column("pin"), *(pa.array([], t) for t in (pa.int32(), pa.int32(), pa.float64()))], names=_NAMES)
 
     return run
 
 
-def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td") -> DataFrame:
+def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td", blocks: int | None = None) -> DataFrame:
     """(src, dst, pin, i, j, dist): the best windows of each pair that has any.
 
     pairs: src and dst (repeats are worked on once), and pin, if the source window is given: its place in src's series;
     the grid is then that of the window's own first step, and i is the pin. series: node_id, ts_type, ts (microseconds)
     and v. method stamp or stomp: the matrix-profile baselines, which read relations off timestamps and take no threshold.
     Windows of fewer than three points match only under the baselines; nodes without the series match nothing.
+    blocks: rows and columns of blocks that pairs are dealt to, 0 for none; without it, by the size of series. stomp shares
+    its long pairs itself and has none.
     """
     r = Relation.of(relation)
     if method not in METHODS:
@@ -93,11 +179,25 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     p = p.select("src", "dst", F.col("pin").cast("int").alias("pin")).distinct()
     if method == "td" and w <= 2:
         p = p.limit(0)
+    kind = dict(pairs.dtypes)
+    out = f"src {kind['src']}, dst {kind['dst']}, pin int, i int, j int, dist double"
+    if method != "stomp" and (blocks := block_rows(s) if blocks is None else blocks) > 0:
+        dealt, sent = in_blocks(p, s.select("node_id", "ts", "v"), blocks)
+        return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_block_kernel(w, r, float(threshold), method), out)
     a = s.select(F.col("node_id").alias("src"), F.col("ts").alias("ta"), F.col("v").alias("va"))
     b = s.select(F.col("node_id").alias("dst"), F.col("ts").alias("tb"), F.col("v").alias("vb"))
     joined = p.join(a, "src").join(b, "dst").select("src", "dst", "pin", "ta", "va", "tb", "vb")
-    kind = dict(pairs.dtypes)
-    return joined.mapInArrow(_kernel(w, r, float(threshold), method), f"src {kind['src']}, dst {kind['dst']}, pin int, i int, j int, dist double")
+    run = _kernel(w, r, float(threshold), method)
+    if method != "stomp" or r not in (Relation.BEFORE, Relation.OVERLAPS):
+        return joined.mapInArrow(run, out)
+    # a pair of long series is shared out by diagonals, each share a row of its own, and the shares' rows are compared
+    pairs_of_windows = (F.size("ta") - (w - 1)).cast("double") * (F.size("tb") - (w - 1))
+    joined = joined.withColumn("parts", F.greatest(F.ceil(pairs_of_windows / SHARE_PAIRS), F.lit(1)).cast("int"))
+    short = joined.where("parts = 1").drop("parts").mapInArrow(run, out)
+    shares = joined.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shares = shares.select("src", "dst", "pin", "ta", "va", "tb", "vb", "part", "parts").repartition("src", "dst", "pin", "part").mapInArrow(run, out)
+    least = shares.groupBy("src", "dst", "pin").agg(F.min(F.struct("dist", (-F.col("i")).alias("i"), "j")).alias("b"))
+    return short.unionByName(least.select("src", "dst", "pin", (-F.col("b.i")).alias("i"), F.col("b.j").alias("j"), F.col("b.dist").alias("dist")))
 
 
 def compatible_pairs(pairs: DataFrame, series: DataFrame, ts_type: str) -> DataFrame:

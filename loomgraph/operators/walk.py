@@ -7,10 +7,14 @@ match wholly are dropped.
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.tdjoin import td_join
+from loomgraph.plans.model import HybridGraph
 from loomgraph.session import staged
 
 _HOP = ["src", "dst", "i", "j", "dist"]
@@ -88,3 +92,83 @@ def count_matches(paths: DataFrame, series: DataFrame, ts_type: str, relation: s
     """n: paths of one hop that match; a semi-join of the pairs, no windows are kept."""
     ends = paths.select(F.col("nodes")[0].alias("src"), F.col("nodes")[1].alias("dst"))
     return matching(ends, series, ts_type, relation, w, threshold, method).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _partitions(n: int) -> list[list[int]]:
+    """All ways to put n places into groups: the group of each place, groups numbered by their first place."""
+    out = [[0]] if n else [[]]
+    for _ in range(n - 1):
+        out = [[*p, g] for p in out for g in range(max(p) + 2)]
+    return out
+
+
+def _walks_with(hops: list[DataFrame], groups: list[int]) -> DataFrame:
+    """(n): walks over the hops whose edges are the same within each group of places, counted state by state.
+
+    A state is the node reached, the pinned window, and the edges of groups that come up again; the frontier has a row for
+    each state, with the number of walks that lead there.
+    """
+    state = ["at", "pin"]
+    now = None
+    for k, g in enumerate(groups):
+        step = hops[k].select("edge_id", F.col("src").alias("at"), "pin", F.col("dst").alias("to"), F.col("j").alias("next"))
+        carried = [f"e{x}" for x in sorted(set(groups[:k]) & set(groups[k:]))]
+        again = g in groups[:k]
+        if now is None:
+            here = step.withColumn("n", F.lit(1).cast("long"))
+        else:
+            mine = step.withColumnRenamed("pin", "p_")
+            on = (now["at"] == mine["at"]) & now["pin"].eqNullSafe(mine["p_"])
+            if again:
+                on = on & (now[f"e{g}"] == mine["edge_id"])
+            here = now.join(mine, on).select(*[now[c] for c in carried], mine["edge_id"], mine["to"], mine["next"], now["n"])
+        kept = [f"e{x}" for x in sorted(set(groups[: k + 1]) & set(groups[k + 1 :]))]
+        if f"e{g}" in kept and not again:
+            here = here.withColumn(f"e{g}", F.col("edge_id"))
+        now = here.select(*kept, F.col("to").alias("at"), F.col("next").alias("pin"), "n").groupBy(*kept, *state).agg(F.sum("n").alias("n"))
+    return now.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+#: Hops of walks that are counted: the ways in which edges can repeat grow as 1, 2, 5, 15, 52.
+MOST_COUNTED = 5
+
+
+def count_walks(graph: HybridGraph, start: Node, edge: Edge, n_hops: int, through: Node, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, semantics: str = "2cont", method: str = "td") -> DataFrame:
+    """(n): how many paths of n_hops match, as temporal_walk() over pattern.hops() finds them, without listing paths.
+
+    Hops are joined level by level from the states (node, pinned window) that are reached; a hop that does not match is gone
+    before the next level. Walks are counted state by state. Those that take an edge twice are taken out by inclusion
+    and exclusion over the ways in which places of a path can share an edge.
+    """
+    if semantics not in ("2cont", "cont"):
+        raise ValueError("semantics is 2cont or cont")
+    if not 1 <= n_hops <= MOST_COUNTED:
+        raise ValueError(f"paths of 1 to {MOST_COUNTED} hops are counted")
+    rows = edge.rows(graph).select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst"))
+    if (ids := through.ids(graph)) is not None:
+        rows = rows.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    rows = staged(rows.select("edge_id", "src", "dst"), "walk-edges")
+    first = rows
+    if (ids := start.ids(graph)) is not None:
+        first = rows.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    none = F.lit(None).cast("int")
+    hops = []
+    for k in range(n_hops):
+        if k == 0:
+            asked = first.withColumn("pin", none)
+        else:
+            reached = hops[-1].select(F.col("dst").alias("src"), F.col("j").alias("pin")).distinct()
+            asked = rows.join(reached, "src").select("edge_id", "src", "dst", "pin")
+        found = td_join(asked if semantics == "cont" and k else asked.drop("pin"), graph.series, ts_type, relation, w, threshold, method)
+        on = ["src", "dst"] if semantics == "2cont" or not k else ["src", "dst", "pin"]
+        hop = asked.join(found.select(*on, "j"), on).select("edge_id", "src", "dst", "pin", F.col("j") if semantics == "cont" else none.alias("j"))
+        hops.append(staged(hop, "hop-states"))
+    total = None
+    for groups in _partitions(n_hops):
+        weight = 1
+        for g in set(groups):
+            size = groups.count(g)
+            weight *= (-1) ** (size - 1) * factorial(size - 1)
+        part = _walks_with(hops, groups).select((F.col("n") * weight).alias("n"))
+        total = part if total is None else total.unionByName(part)
+    return total.agg(F.sum("n").alias("n"))

@@ -12,7 +12,7 @@ from loomgraph.functions import series as fn
 from loomgraph.operators import pattern
 from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.tdjoin import classify, compatible_pairs, td_join
-from loomgraph.operators.walk import both_walks, count_matches, matching, temporal_walk, virtual_edges
+from loomgraph.operators.walk import both_walks, count_matches, count_walks, matching, temporal_walk, virtual_edges
 from loomgraph.plans import testgraph
 from loomgraph.plans.model import HybridGraph, first_points, from_lists, from_points
 from loomgraph.session import read
@@ -84,7 +84,7 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("src", "dst", "i", "j", "dist")
 
 
-def _register_join(name: str, graph: str, relation: str, w: int, threshold: float, ts_type: str | None = None, method: str = "td") -> None:
+def _register_join(name: str, graph: str, relation: str, w: int, threshold: float, ts_type: str | None = None, method: str = "td", blocks: int | None = None) -> None:
     build, sql, own = _GRAPHS[graph]
     kind = ts_type or own
     text = f"WITH {sql}, {windows_sql(kind, w)}, {join_sql('e', relation, w, threshold, method=method)} SELECT src, dst, i, j, dist FROM hit"
@@ -94,7 +94,7 @@ def _register_join(name: str, graph: str, relation: str, w: int, threshold: floa
     @query(name, text)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = build(spark, sf_dir)
-        return _hits(td_join(g.edges, g.series, kind, relation, w, threshold, method))
+        return _hits(td_join(g.edges, g.series, kind, relation, w, threshold, method, blocks))
 
 
 for _name, _args in {
@@ -116,6 +116,15 @@ for _method in ("stamp", "stomp"):
         _register_join(f"{_method}_{_relation}", "trade", _relation, _w, 0.0, None, _method)
 
 
+for _name, _args in {
+    "td_blocks_users_overlaps": ("users", "overlaps", 4, 0.85, "value", "td", 5),
+    "td_blocks_users_before": ("users", "before", 7, 0.0, "value", "td", 3),
+    "td_blocks_trade_none": ("trade", "none", 20, 0.5, None, "td", 4),
+    "stamp_blocks_overlaps": ("trade", "overlaps", 8, 0.0, None, "stamp", 4),
+}.items():
+    _register_join(_name, *_args)
+
+
 def _seconds(g: HybridGraph) -> DataFrame:
     """Series on a grid of one second, on which the baselines' meets can match."""
     start = 1_704_067_200_000_000
@@ -247,6 +256,19 @@ _register_walk("stomp_walk2_n2", 2, "before", 6, 0.0, "2cont", "stomp")
 _register_walk("stomp_cont_n2", 2, "before", 6, 0.0, "cont", "stomp")
 
 
+def _register_walk_count(name: str, of: str, n: int, relation: str, w: int, threshold: float, semantics: str) -> None:
+    @query(name, f"SELECT count(*) AS n FROM ({_sql[of]})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        asia = Node("Nation", "region = 'ASIA'")
+        return count_walks(testgraph.trade(spark, sf_dir), asia, Edge(("TRADES",)), n, asia, "revenue", relation, w, threshold, semantics)
+
+
+_register_walk_count("walk_count_2cont_n2", "walk2_n2", 2, "overlaps", 8, 0.3, "2cont")
+_register_walk_count("walk_count_2cont_n3", "walk2_n3", 3, "overlaps", 8, 0.3, "2cont")
+_register_walk_count("walk_count_cont_n2", "walk_cont_n2_overlaps", 2, "overlaps", 6, 0.3, "cont")
+_register_walk_count("walk_count_cont_n3", "walk_cont_n3", 3, "overlaps", 6, 0.2, "cont")
+
+
 def _register_cost(n: int, relation: str, w: int, threshold: float) -> None:
     parts = [testgraph.TRADE_SQL, _paths_sql(n), windows_sql("revenue", w), "pairs AS (" + " UNION ".join(f"SELECT n{k} AS src, n{k + 1} AS dst FROM paths" for k in range(n)) + ")", join_sql("pairs", relation, w, threshold)]
     done = "paths"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import pattern
 from loomgraph.operators.pattern import Edge, Node
-from loomgraph.operators.walk import count_matches, temporal_walk, virtual_edges
+from loomgraph.operators.walk import count_matches, count_walks, temporal_walk, virtual_edges
 from loomgraph.plans.model import HybridGraph, checked_series, from_lists, from_points
 
 DAY = 86_400_000_000
@@ -123,3 +123,25 @@ def test_series_of_points_and_lists(spark):
     short = spark.createDataFrame([(1, "x", [1, 2], [1.0])], "node_id long, ts_type string, ts array<long>, v array<double>")
     with pytest.raises(Exception, match="fewer values"):
         checked_series(short).collect()
+
+
+@pytest.mark.parametrize("semantics", ["2cont", "cont"])
+@pytest.mark.parametrize("direction", ["out", "any"])
+def test_counted_walks_are_the_listed_ones(graph, semantics, direction):
+    """With parallel edges, a loop, and, seen from both ends, edges that could be taken twice."""
+    edge = Edge((), direction)
+    for n, start, through in ((1, Node(), Node()), (2, Node(), Node("P")), (3, Node("P"), Node())) if direction == "any" else ((4, Node(), Node()),):
+        listed = temporal_walk(pattern.hops(graph, start, edge, n, through), graph.series, "x", "overlaps", 4, -0.5, semantics, n_hops=n)
+        assert count_walks(graph, start, edge, n, through, "x", "overlaps", 4, -0.5, semantics).collect() == [(listed.count(),)]
+    assert count_walks(graph, Node("none"), edge, 2, Node(), "x", "overlaps", 4, -0.5, semantics).collect() == [(0,)]
+
+
+def test_states_not_walks_are_counted(spark):
+    """A ladder with 4 parallel edges for each step: 4^4 paths, a row for each node."""
+    edges = spark.createDataFrame([(k * 4 + c, k, k + 1, "A") for k in range(5) for c in range(4)], "edge_id long, src long, dst long, type string")
+    nodes = spark.createDataFrame([(k, "P") for k in range(6)], "node_id long, label string")
+    series = spark.createDataFrame([(k, "x", [i * DAY for i in range(8)], [float(x) for x in (1, 2, 4, 3, 5, 9, 7, 8)]) for k in range(6)], "node_id long, ts_type string, ts array<long>, v array<double>")
+    assert count_walks(HybridGraph(nodes, edges, series), Node("P", "node_id = 0"), Edge(), 4, Node(), "x", "equal", 4, 0.9).collect() == [(4**4,)]
+    for bad in ({"n_hops": 6}, {"n_hops": 0}, {"semantics": "both"}):
+        with pytest.raises(ValueError):
+            count_walks(HybridGraph(nodes, edges, series), Node(), Edge(), **({"n_hops": 2} | bad), through=Node(), ts_type="x", relation="equal", w=4)
