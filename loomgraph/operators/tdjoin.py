@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.series import granularity
 from loomgraph.operators import kernel
+from loomgraph.operators.metrics import HopMetrics
 from loomgraph.operators.relations import Relation
 from loomgraph.session import ship
 
@@ -158,7 +159,7 @@ def _block_kernel(w: int, relation: Relation, threshold: float, method: str):
     return run
 
 
-def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td", blocks: int | None = None) -> DataFrame:
+def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, method: str = "td", blocks: int | None = None, metrics: HopMetrics | None = None) -> DataFrame:
     """(src, dst, pin, i, j, dist): the best windows of each pair that has any.
 
     pairs: src and dst (repeats are worked on once), and pin, if the source window is given: its place in src's series;
@@ -166,7 +167,7 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     and v. method stamp or stomp: the matrix-profile baselines, which read relations off timestamps and take no threshold.
     Windows of fewer than three points match only under the baselines; nodes without the series match nothing.
     blocks: rows and columns of blocks that pairs are dealt to, 0 for none; without it, by the size of series. stomp shares
-    its long pairs itself and has none.
+    its long pairs itself and has none. metrics: counts pairs and matches and times the kernel.
     """
     r = Relation.of(relation)
     if method not in METHODS:
@@ -183,13 +184,21 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     out = f"src {kind['src']}, dst {kind['dst']}, pin int, i int, j int, dist double"
     if method != "stomp" and (blocks := block_rows(s) if blocks is None else blocks) > 0:
         dealt, sent = in_blocks(p, s.select("node_id", "ts", "v"), blocks)
-        return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_block_kernel(w, r, float(threshold), method), out)
+        run = _block_kernel(w, r, float(threshold), method)
+        if metrics is not None:
+            dealt, run = metrics.watch(dealt, "pairs"), metrics.timed(run)
+        found = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, out)
+        return found if metrics is None else metrics.watch(found, "found")
     a = s.select(F.col("node_id").alias("src"), F.col("ts").alias("ta"), F.col("v").alias("va"))
     b = s.select(F.col("node_id").alias("dst"), F.col("ts").alias("tb"), F.col("v").alias("vb"))
     joined = p.join(a, "src").join(b, "dst").select("src", "dst", "pin", "ta", "va", "tb", "vb")
     run = _kernel(w, r, float(threshold), method)
+    if metrics is not None:
+        run = metrics.timed(run)
     if method != "stomp" or r not in (Relation.BEFORE, Relation.OVERLAPS):
-        return joined.mapInArrow(run, out)
+        if metrics is None:
+            return joined.mapInArrow(run, out)
+        return metrics.watch(metrics.watch(joined, "pairs").mapInArrow(run, out), "found")
     # a pair of long series is shared out by diagonals, each share a row of its own, and the shares' rows are compared
     pairs_of_windows = (F.size("ta") - (w - 1)).cast("double") * (F.size("tb") - (w - 1))
     joined = joined.withColumn("parts", F.greatest(F.ceil(pairs_of_windows / SHARE_PAIRS), F.lit(1)).cast("int"))
@@ -197,7 +206,8 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     shares = joined.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     shares = shares.select("src", "dst", "pin", "ta", "va", "tb", "vb", "part", "parts").repartition("src", "dst", "pin", "part").mapInArrow(run, out)
     least = shares.groupBy("src", "dst", "pin").agg(F.min(F.struct("dist", (-F.col("i")).alias("i"), "j")).alias("b"))
-    return short.unionByName(least.select("src", "dst", "pin", (-F.col("b.i")).alias("i"), F.col("b.j").alias("j"), F.col("b.dist").alias("dist")))
+    found = short.unionByName(least.select("src", "dst", "pin", (-F.col("b.i")).alias("i"), F.col("b.j").alias("j"), F.col("b.dist").alias("dist")))
+    return found if metrics is None else metrics.watch(found, "found")
 
 
 def compatible_pairs(pairs: DataFrame, series: DataFrame, ts_type: str) -> DataFrame:

@@ -12,6 +12,7 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.metrics import WalkMetrics
 from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.tdjoin import td_join
 from loomgraph.plans.model import HybridGraph
@@ -20,12 +21,13 @@ from loomgraph.session import staged
 _HOP = ["src", "dst", "i", "j", "dist"]
 
 
-def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, semantics: str = "2cont", method: str = "td", n_hops: int | None = None) -> DataFrame:
+def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: str | None, w: int, threshold: float = 0.0, semantics: str = "2cont", method: str = "td", n_hops: int | None = None, metrics: WalkMetrics | None = None) -> DataFrame:
     """paths (nodes and any other columns) with hops: array of (src, dst, i, j, dist), for paths that match.
 
     n_hops is the hops of every path; without it paths may differ, and the longest is looked up first. Each hop works on
     the distinct (source, target, pinned window) of all paths and is joined back, so parallel paths cost once and count
-    each. Continuous hops write the frontier to the shared folder, so lineage does not grow with the path.
+    each. Continuous hops write the frontier to the shared folder, so lineage does not grow with the path. metrics counts what
+    each hop does.
     """
     if semantics not in ("2cont", "cont"):
         raise ValueError("semantics is 2cont or cont")
@@ -42,7 +44,7 @@ def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: s
     if semantics == "2cont" and n_hops > 0:
         pair = F.explode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1), F.slice("nodes", 2, F.size("nodes") - 1)))
         pairs = paths.where(F.size("nodes") > 1).select(pair.alias("p")).select(F.col("p")["0"].alias("src"), F.col("p")["1"].alias("dst"))
-        hits = td_join(pairs, series, ts_type, relation, w, threshold, method)
+        hits = td_join(pairs, series, ts_type, relation, w, threshold, method, metrics=metrics and metrics.at(-1))
         hits = hits if n_hops == 1 else staged(hits, "hops")
     for k in range(n_hops):
         if mixed:
@@ -52,13 +54,16 @@ def temporal_walk(paths: DataFrame, series: DataFrame, ts_type: str, relation: s
         here = now.withColumn("src", F.get("nodes", F.lit(k))).withColumn("dst", F.get("nodes", F.lit(k + 1)))
         if semantics == "2cont":
             found = hits.select(*_HOP)
+            here = here if metrics is None or k else metrics.at(k).watch(here, "asked")
             here = here.drop("pin").join(found, ["src", "dst"])
         else:
             asked = here.select("src", "dst", "pin") if k else here.select("src", "dst")
-            found = td_join(asked, series, ts_type, relation, w, threshold, method)
+            found = td_join(asked, series, ts_type, relation, w, threshold, method, metrics=metrics and metrics.at(k))
+            here = here if metrics is None or k else metrics.at(k).watch(here, "asked")
             found = found.select("src", "dst", *([F.col("pin")] if k else []), "i", "j", "dist")
             here = here.join(found, ["src", "dst", "pin"]) if k else here.drop("pin").join(found, ["src", "dst"])
         now = here.select(*paths.columns, F.concat("hops", F.array(F.struct(*_HOP))).alias("hops"), F.col("j").alias("pin"))
+        now = now if metrics is None else metrics.at(k).watch(now, "matched")
         if semantics == "cont" and k + 1 < n_hops:
             now = staged(now, "frontier")
     out = now if not mixed or done is None else now.unionByName(done.where(F.size("hops") > 0))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import analytics
 from loomgraph.functions import series as fn
-from loomgraph.operators import pattern
+from loomgraph.operators import pattern, sql
+from loomgraph.operators.metrics import WalkMetrics
 from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.tdjoin import classify, compatible_pairs, td_join
 from loomgraph.operators.walk import both_walks, count_matches, count_walks, matching, temporal_walk, virtual_edges
@@ -269,6 +270,55 @@ _register_walk_count("walk_count_cont_n2", "walk_cont_n2_overlaps", 2, "overlaps
 _register_walk_count("walk_count_cont_n3", "walk_cont_n3", 3, "overlaps", 6, 0.2, "cont")
 
 
+def _register_metrics(name: str, of: str, n: int, relation: str, w: int, threshold: float) -> None:
+    """What each hop of a continuous walk counted while it ran, against counts of the SQL's own frontiers."""
+    head = _sql[of].rsplit(" SELECT * FROM ", 1)[0]
+    rows = []
+    for k in range(n):
+        key = "src, dst, pin" if k else "src, dst"
+        rows.append(f"SELECT {k}::INTEGER AS hop, (SELECT count(*) FROM front{k}) AS asked, (SELECT count(*) FROM (SELECT DISTINCT {key} FROM front{k})) AS pairs, (SELECT count(*) FROM hop{k}) AS found, (SELECT count(*) FROM walk{k}) AS matched")
+
+    @query(name, f"{head} " + " UNION ALL ".join(rows))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, seen = testgraph.trade(spark, sf_dir), WalkMetrics(spark)
+        walked = temporal_walk(_asia_paths(g, n), g.series, "revenue", relation, w, threshold, "cont", "td", n, seen)
+        walked.write.format("noop").mode("overwrite").save()
+        return seen.hops().select("hop", "asked", "pairs", "found", "matched")
+
+
+_register_metrics("walk_metrics_n2", "walk_cont_n2_overlaps", 2, "overlaps", 6, 0.3)
+_register_metrics("walk_metrics_n3", "walk_cont_n3", 3, "overlaps", 6, 0.2)
+
+
+def _register_sql_walk(name: str, of: str, n: int, relation: str, w: int, threshold: float, semantics: str, method: str = "td") -> None:
+    """The walk as a table function of a SQL text; the same rows as the operator's."""
+    columns = [f"hops[{k}].src AS n{k}" for k in range(n)] + [f"hops[{n - 1}].dst AS n{n}"]
+    columns += [f"hops[{k}].{c} AS {c}{k}" for k in range(n) for c in ("i", "j", "dist")]
+
+    @query(name, _sql[of])
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = testgraph.trade(spark, sf_dir)
+        sql.register(spark)
+        hops = sql.td_walk_hops(_asia_paths(g, n), g.series, "revenue")
+        return spark.sql(f"SELECT {', '.join(columns)} FROM temporal_walk(TABLE({{hops}}), '{relation}', {w}, {threshold}D, '{semantics}', '{method}')", hops=hops)
+
+
+_register_sql_walk("sql_walk2_n2", "walk2_n2", 2, "overlaps", 8, 0.3, "2cont")
+_register_sql_walk("sql_walk_cont_n2", "walk_cont_n2_overlaps", 2, "overlaps", 6, 0.3, "cont")
+_register_sql_walk("sql_stamp_cont_n2", "stamp_cont_n2", 2, "overlaps", 6, 0.0, "cont", "stamp")
+
+
+@query(
+    "sql_lateral_join",
+    f"WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 8)}, {join_sql('e', 'overlaps', 8, 0.6)} SELECT src, dst, i, j, dist FROM hit",
+)
+def sql_lateral_join(spark, sf_dir):
+    g = testgraph.trade(spark, sf_dir)
+    sql.register(spark)
+    text = "SELECT e.src, e.dst, h.i, h.j, h.dist FROM {edges} e JOIN {series} a ON a.node_id = e.src JOIN {series} b ON b.node_id = e.dst, LATERAL td_join(a.ts, a.v, b.ts, b.v, 'overlaps', 8, 0.6D, 'td') h"
+    return spark.sql(text, edges=g.edges, series=g.series)
+
+
 def _register_cost(n: int, relation: str, w: int, threshold: float) -> None:
     parts = [testgraph.TRADE_SQL, _paths_sql(n), windows_sql("revenue", w), "pairs AS (" + " UNION ".join(f"SELECT n{k} AS src, n{k + 1} AS dst FROM paths" for k in range(n)) + ")", join_sql("pairs", relation, w, threshold)]
     done = "paths"

@@ -8,6 +8,7 @@ import emulator
 from pyspark.sql import functions as F
 
 from loomgraph.operators import pattern
+from loomgraph.operators.metrics import WalkMetrics
 from loomgraph.operators.pattern import Edge, Node
 from loomgraph.operators.walk import count_matches, count_walks, temporal_walk, virtual_edges
 from loomgraph.plans.model import HybridGraph, checked_series, from_lists, from_points
@@ -145,3 +146,24 @@ def test_states_not_walks_are_counted(spark):
     for bad in ({"n_hops": 6}, {"n_hops": 0}, {"semantics": "both"}):
         with pytest.raises(ValueError):
             count_walks(HybridGraph(nodes, edges, series), Node(), Edge(), **({"n_hops": 2} | bad), through=Node(), ts_type="x", relation="equal", w=4)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_metrics_count_what_a_walk_does(spark, graph, monkeypatch, blocks):
+    from loomgraph.operators import tdjoin
+
+    if blocks:
+        monkeypatch.setattr(tdjoin, "block_rows", lambda series: 2)
+    paths = pattern.hops(graph, Node(), Edge(), 2)
+    plain = temporal_walk(paths, graph.series, "x", "overlaps", 4, -0.5, "cont", n_hops=2).collect()
+    seen = WalkMetrics(spark)
+    assert len(temporal_walk(paths, graph.series, "x", "overlaps", 4, -0.5, "cont", n_hops=2, metrics=seen).collect()) == len(plain)
+    first, second = seen.hops().collect()
+    assert (first.asked, first.found, second.matched) == (paths.count(), len({r.hops[0].src * 10 + r.hops[0].dst for r in temporal_walk(paths, graph.series, "x", "overlaps", 4, -0.5, "2cont", n_hops=2).collect()} | {12, 22, 23, 31}), len(plain))
+    assert second.asked == first.matched and first.pairs >= first.found and first.seconds > 0 and second.seconds > 0
+    t = seen.times().first()
+    assert t.hops == 2 and t.mean_seconds == pytest.approx((first.seconds + second.seconds) / 2) and t.seconds == pytest.approx(2 * t.mean_seconds)
+    both = WalkMetrics(spark)
+    temporal_walk(paths, graph.series, "x", "overlaps", 4, -0.5, "2cont", n_hops=2, metrics=both).collect()
+    shared, *hops = both.hops().collect()
+    assert shared.hop == -1 and shared.pairs >= shared.found > 0 and [h.asked for h in hops][0] == paths.count() and hops[1].asked == hops[0].matched
