@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.model import HybridGraph, first_points, from_lists
+from loomgraph.sources.json_array import read_json_array
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -133,7 +134,7 @@ def _unnest(rows: DataFrame, owner: str, names: tuple[str, ...], points: int) ->
 
 def stations(spark: SparkSession, path: str, points: int = 500) -> tuple[DataFrame, DataFrame]:
     """(nodes, series) of a JSON array of stations."""
-    rows = spark.read.schema(STATION).option("multiLine", True).json(path)
+    rows = read_json_array(spark, path, STATION)
     nodes = rows.select(F.col("station_id").alias("node_id"), F.lit("Station").alias("label"), "nodeid", "name", "short_name", "region_id", "capacity", "lat", "lon", F.col("start").try_cast("timestamp").alias("start"), F.col("end").try_cast("timestamp").alias("end"))
     return nodes, _unnest(rows, "station_id", STATION_SERIES, points)
 
@@ -143,7 +144,7 @@ def trips(spark: SparkSession, path: str, points: int = 500, nodes: DataFrame |
 
     With nodes (node_id), only edges whose stations both exist."""
     key = ["from", "to", "start", "end"]
-    rows = spark.read.schema(TRIP).option("multiLine", True).json(path).groupBy(*key).agg(F.min("ts").alias("ts"))
+    rows = read_json_array(spark, path, TRIP).groupBy(*key).agg(F.min("ts").alias("ts"))
     for end in ("from", "to") if nodes is not None else ():
         rows = rows.join(nodes.select(F.col("node_id").alias(end)).distinct(), end, "left_semi")
     rows = rows.withColumn("edge_id", F.concat_ws("|", *key))
