@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import salted_join
 from loomgraph.plans.model import HybridGraph
 
 
@@ -26,10 +27,25 @@ class Node:
 
 @dataclass(frozen=True)
 class Edge:
-    """Types (none: all) and direction: out, in, or any (an edge is seen from both ends, a loop once)."""
+    """Types (none: all) and direction: out, in, or any (an edge is seen from both ends, a loop once).
+
+    via: edges of that type lead from nodes to groups, and the edge leads from a node to each other one of its groups. Such
+    edges are stored nowhere; types names them, for their ids. A node's own are made when a path comes to it, in and out alike.
+    """
 
     types: tuple[str, ...] = ()
     direction: str = "out"
+    via: str | None = None
+
+    def step(self, graph: HybridGraph, now: DataFrame, column: str) -> DataFrame:
+        """now with edge_id and b, for each edge that leaves the node in column."""
+        if self.via is None:
+            return now.join(self.rows(graph).withColumnRenamed("a", column), column)
+        if self.direction == "any" or len(self.types) != 1:
+            raise ValueError("edges via groups have one type, and no end of their own")
+        members = graph.edges.where(F.col("type") == self.via).select(F.col("src").alias(column), F.col("dst").alias("group_"))
+        met = salted_join(now.join(members, column), members.withColumnRenamed(column, "b"), ["group_"]).where(F.col(column) != F.col("b")).drop("group_")
+        return met.distinct().withColumn("edge_id", F.concat_ws("|", F.lit(self.types[0]), column, "b"))
 
     def rows(self, graph: HybridGraph) -> DataFrame:
         if self.direction not in ("out", "in", "any"):
@@ -55,10 +71,19 @@ def match(graph: HybridGraph, start: Node, *hops: tuple[Edge, Node]) -> DataFram
         return paths if ids is None else paths.join(ids.select(F.col("node_id").alias(column)), column, "left_semi")
 
     (edge, node), *rest = hops
-    paths = end(end(edge.rows(graph), start, "a"), node, "b").select(F.array("a", "b").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.col("b").alias("at"))
+    if edge.via is None:
+        first = end(edge.rows(graph), start, "a")
+    else:
+        ids = start.ids(graph)
+        ids = graph.nodes.select("node_id") if ids is None else ids
+        first = edge.step(graph, ids.select(F.col("node_id").alias("a")), "a")
+    paths = end(first, node, "b").select(F.array("a", "b").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.col("b").alias("at"))
     for edge, node in rest:
-        step = end(edge.rows(graph).withColumnRenamed("a", "at"), node, "b")
-        paths = paths.join(step, "at").where(~F.array_contains("edge_ids", F.col("edge_id")))
+        if edge.via is None:
+            paths = paths.join(end(edge.rows(graph).withColumnRenamed("a", "at"), node, "b"), "at")
+        else:
+            paths = end(edge.step(graph, paths, "at"), node, "b")
+        paths = paths.where(~F.array_contains("edge_ids", F.col("edge_id")))
         paths = paths.select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("b").alias("at"))
     return paths.drop("at")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from loomgraph.operators.tdjoin import classify, compatible_pairs, td_join
 from loomgraph.operators.walk import both_walks, count_matches, count_walks, matching, temporal_walk, virtual_edges
 from loomgraph.plans import testgraph
 from loomgraph.plans.model import HybridGraph, first_points, from_lists, from_points
-from loomgraph.session import read
+from loomgraph.session import fresh_path, read
 from loomgraph.sources import loaders, synthetic
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,6 +678,84 @@ def size_labels(spark, sf_dir):
     return r.groupBy("label", analytics.parse_size(F.col("label")).alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- edges that follow from groups; graphs and files written and read back ----
+
+_CLASSMATES = "mates AS (SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.city = b.city AND a.y = b.y AND a.node_id <> b.node_id)"
+
+
+@query(
+    "pattern_classmates",
+    f"WITH {_PEOPLE}, {_FATHERS}, {_CLASSMATES} SELECT f.src AS n0, f.dst AS n1, m.dst AS n2 FROM fathers f JOIN mates m ON m.src = f.dst",
+)
+def pattern_classmates(spark, sf_dir):
+    """Fathers, their children, and the children's classmates, over class membership: pairs of classmates are stored nowhere."""
+    people = _people(spark, sf_dir).withColumn("node_id", F.col("node_id").cast("string"))
+    edges = loaders.father_of(people).unionByName(loaders.classes(people))
+    g = HybridGraph(people.withColumn("label", F.lit("Patient")), edges, None)
+    paths = pattern.match(g, Node(), (Edge(("FATHER_OF",)), Node()), (Edge(("WAS_CLASSMATE_OF",), via="IN_CLASS"), Node()))
+    return paths.select(*[F.col("nodes")[k].cast("long").alias(f"n{k}") for k in range(3)])
+
+
+def _written(df: DataFrame, name: str, sep: str) -> None:
+    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(name)
+
+
+@query("load_bank_nodes", "SELECT 'Account:' || c_custkey AS node_id, 'Account' AS label, c_custkey % 3 = 0 AS blocked, c_mktsegment AS level, year(TIMESTAMP '2020-01-01' + to_days((c_custkey % 900)::INTEGER)) AS year FROM customer")
+def load_bank_nodes(spark, sf_dir):
+    """Customers as a file of accounts, written and loaded."""
+    folder, k = fresh_path(spark, "bank"), F.col("c_custkey")
+    created = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 900).cast("int")), "yyyy-MM-dd HH:mm:ss")
+    empty = [F.lit("x").alias(c) for c in ("accountType", "nickname", "phonenum", "email", "freqLoginType")]
+    rows = read(spark, sf_dir, "customer").select(k.alias("accountId"), created.alias("createTime"), (k % 3 == 0).alias("isBlocked"), *empty, F.lit(1641092645000).alias("lastLoginTime"), F.col("c_mktsegment").alias("accountLevel"))
+    _written(rows, f"{folder}/Account.csv", "|")
+    return loaders.bank_nodes(spark, folder, "Account").select("node_id", "label", F.col("isBlocked").alias("blocked"), F.col("accountLevel").alias("level"), F.year("createTime").alias("year"))
+
+
+@query(
+    "load_bank_edges",
+    "SELECT 'Account:' || o_custkey AS src, 'Account:' || (o_custkey * 7 + o_orderkey) % 500 AS dst, 'Transfer' AS type, o_totalprice AS amount, o_orderdate::DATE AS day, o_orderkey AS number FROM orders WHERE o_custkey % 5 <> 0 AND ((o_custkey * 7 + o_orderkey) % 500) % 5 <> 0 AND (o_custkey * 7 + o_orderkey) % 500 IN (SELECT c_custkey FROM customer) AND o_custkey IN (SELECT c_custkey FROM customer)",
+)
+def load_bank_edges(spark, sf_dir):
+    """Orders as a file of transfers, loaded with the accounts: every fifth account is missing, and its transfers go."""
+    folder, o = fresh_path(spark, "bank"), read(spark, sf_dir, "orders")
+    to = (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 500
+    rows = o.select(F.col("o_custkey").alias("fromId"), to.alias("toId"), F.col("o_totalprice").alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("createTime"), F.col("o_orderkey").alias("orderNum"), F.lit("a|b").alias("comment"), F.lit("p").alias("payType"), F.lit("g").alias("goodsType"))
+    _written(rows, f"{folder}/AccountTransferAccount.csv", "|")
+    accounts = read(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.concat_ws(":", F.lit("Account"), "c_custkey").alias("node_id"))
+    e = loaders.bank_edges(spark, folder, "AccountTransferAccount", {"Account": accounts})
+    return e.select("src", "dst", "type", "amount", F.col("createTime").cast("date").alias("day"), F.col("orderNum").alias("number"))
+
+
+@query("load_bank_balances", f"WITH {testgraph.USERS_SQL} SELECT 'Account:' || node AS node_id, ts, v FROM s WHERE ts_type = 'value'")
+def load_bank_balances(spark, sf_dir):
+    """Daily values as a file of lists in texts, loaded as series."""
+    folder, g = fresh_path(spark, "bank"), testgraph.users(spark, sf_dir)
+    stamps = F.transform("ts", lambda t: F.concat(F.lit("'"), F.date_format(F.timestamp_micros(t), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000'")))
+    as_list = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    rows = g.series.where("ts_type = 'value'").select(F.col("node_id").alias("id"), as_list(stamps).alias("balance_timestamps"), as_list(F.col("v").cast("array<string>")).alias("balance_values"))
+    _written(rows, f"{folder}/balances.csv", ",")
+    return loaders.bank_balances(spark, f"{folder}/balances.csv").select("node_id", "ts", "v")
+
+
+@query("load_stations", f"WITH {testgraph.VECTORS_SQL} SELECT 'st' || node AS node_id, 'num_bikes_available' AS ts_type, ts[:40] AS ts, v[:40] AS v FROM s")
+def load_stations(spark, sf_dir):
+    """Vectors as files that are each one JSON array of stations, loaded by the splitting reader, forty points of each series."""
+    folder, g = fresh_path(spark, "bikes"), testgraph.vectors(spark, sf_dir)
+    points = F.transform(F.arrays_zip("ts", "v"), lambda p: F.struct(F.date_format(F.timestamp_micros(p["ts"]), "yyyy-MM-dd'T'HH:mm:ss").alias("Start"), p["v"].alias("Value")))
+    one = F.struct(F.concat(F.lit("st"), F.col("node_id")).alias("station_id"), F.lit('a "quoted} name').alias("name"), F.struct(points.alias("num_bikes_available")).alias("ts"))
+    # a thousand stations a file at most, in each an array
+    arrays = g.series.groupBy(F.floor(F.col("node_id") / 1000)).agg(F.collect_list(F.to_json(one)).alias("items"))
+    arrays.select(F.concat(F.lit("["), F.array_join("items", ",\n"), F.lit("]")).alias("value")).repartition(4).write.option("maxRecordsPerFile", 1).text(folder)
+    return loaders.stations(spark, folder, 40)[1].select("node_id", "ts_type", "ts", "v")
+
+
+@query("bucketed_join", _sql["td_overlaps"])
+def bucketed_join(spark, sf_dir):
+    """The join over tables that are bucketed by node."""
+    g = loaders.write_bucketed(testgraph.trade(spark, sf_dir), f"trade_{uuid.uuid4().hex}", 8, fresh_path(spark, "bucketed"))
+    return _hits(td_join(g.edges, g.series, "revenue", "overlaps", 8, 0.6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import band_join, salted_join
 from loomgraph.plans.model import HybridGraph, first_points, from_lists
 from loomgraph.sources.json_array import read_json_array
 
@@ -198,10 +199,10 @@ def _related(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def father_of(people: DataFrame, low: int = 25, high: int = 35) -> DataFrame:
-    """Men to persons of the same last name born low to high years later: an equi-join on the name, years as the residual."""
+    """Men to persons of the same last name born low to high years later: a band join, so a frequent name is no hot key."""
     a = people.where("gender = 'M'").select(F.col("node_id").alias("src"), "last", F.year("birthdate").alias("y"))
     b = people.select(F.col("node_id").alias("dst"), "last", F.year("birthdate").alias("z"))
-    return _related(a.join(b, "last").where(F.col("src") != F.col("dst")).where((F.col("z") - F.col("y")).between(low, high)), "FATHER_OF")
+    return _related(band_join(a, b, ["last"], "y", "z", low, high).where(F.col("src") != F.col("dst")), "FATHER_OF")
 
 
 def mother_of(people: DataFrame, fathers: DataFrame, low: int = 25, high: int = 35) -> DataFrame:
@@ -210,14 +211,23 @@ def mother_of(people: DataFrame, fathers: DataFrame, low: int = 25, high: int =
     f = people.select(F.col("node_id").alias("father"), "city")
     c = people.select(F.col("node_id").alias("dst"), "city", F.year("birthdate").alias("z"))
     families = fathers.select(F.col("src").alias("father"), "dst").join(f, "father").join(c, ["dst", "city"]).select("dst", "city", "z").distinct()
-    return _related(families.join(m, "city").where((F.col("z") - F.col("y")).between(low, high)), "MOTHER_OF")
+    return _related(band_join(m, families, ["city"], "y", "z", low, high), "MOTHER_OF")
+
+
+def classes(people: DataFrame) -> DataFrame:
+    """An edge IN_CLASS from each person to the class of a city and year of birth: what WAS_CLASSMATE_OF follows from.
+
+    Edge(("WAS_CLASSMATE_OF",), via="IN_CLASS") walks from person to person over it, so that a class of c persons has c edges
+    instead of c (c - 1).
+    """
+    rows = people.where("city is not null and birthdate is not null").select(F.col("node_id").alias("src"), F.concat_ws("|", F.lit("class"), "city", F.year("birthdate")).alias("dst"), F.lit("IN_CLASS").alias("type"))
+    return rows.distinct().withColumn("edge_id", F.concat_ws("|", "type", "src"))
 
 
 def classmates(people: DataFrame) -> DataFrame:
-    """Persons of the same city and year of birth, both ways."""
-    key = [F.col("city"), F.year("birthdate").alias("y")]
-    a, b = people.select(F.col("node_id").alias("src"), *key), people.select(F.col("node_id").alias("dst"), *key)
-    return _related(a.join(b, ["city", "y"]).where("src <> dst"), "WAS_CLASSMATE_OF")
+    """Persons of the same city and year of birth, both ways: classes() written out. A class that is frequent is cut into cells."""
+    a = people.where("city is not null and birthdate is not null").select(F.col("node_id").alias("src"), "city", F.year("birthdate").alias("y"))
+    return _related(salted_join(a, a.withColumnRenamed("src", "dst"), ["city", "y"]).where("src <> dst"), "WAS_CLASSMATE_OF")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, series: DataFrame, folder: str) -> None:
@@ -227,5 +237,20 @@ def write_graph(nodes: DataFrame, edges: DataFrame, series: DataFrame, folder: s
     series.write.mode("overwrite").partitionBy("ts_type").parquet(f"{folder}/series")
 
 
+def write_bucketed(graph: HybridGraph, name: str, buckets: int, folder: str | None = None) -> HybridGraph:
+    """The graph as tables `name`_nodes, `name`_edges, `name`_series of the session's catalog, overwriting; read from there.
+
+    Series and nodes are bucketed and sorted by node, edges by source: joins on these columns move the other side alone.
+    """
+    out = []
+    for part, df, key in (("nodes", graph.nodes, "node_id"), ("edges", graph.edges, "src"), ("series", graph.series, "node_id")):
+        writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        if folder is not None:
+            writer = writer.option("path", f"{folder}/{part}")
+        writer.saveAsTable(f"{name}_{part}")
+        out.append(df.sparkSession.table(f"{name}_{part}"))
+    return HybridGraph(*out)
+
+
 def append_results(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").option("header", True).option("sep", ";").csv(folder)
