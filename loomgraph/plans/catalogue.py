@@ -527,11 +527,63 @@ def sel_both_ends(spark, sf_dir, g):
 _USER_PEOPLE = "people AS (SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'M' ELSE 'F' END AS gender, node_id % 11 AS last, node_id % 5 AS city, 1940 + (node_id * 7) % 60 AS y FROM n)"
 
 
-@_selected("sel_fathers", "users", f"{_USER_PEOPLE}, m AS (SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.last = b.last AND a.gender = 'M' AND b.y - a.y BETWEEN 25 AND 35)", "value", "overlaps", 7, 0.5)
-def sel_fathers(spark, sf_dir, g):
+def _user_people(g: HybridGraph) -> DataFrame:
     k = F.col("node_id")
-    people = g.nodes.select("node_id", F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), (k % 11).alias("last"), (k % 5).alias("city"), F.make_date((F.lit(1940) + (k * 7) % 60).cast("int"), F.lit(1), F.lit(1)).alias("birthdate"))
-    return loaders.father_of(people)
+    return g.nodes.select("node_id", F.when(k % 2 == 0, "M").otherwise("F").alias("gender"), (k % 11).alias("last"), (k % 5).alias("city"), F.make_date((F.lit(1940) + (k * 7) % 60).cast("int"), F.lit(1), F.lit(1)).alias("birthdate"))
+
+
+_USER_FATHERS = "fathers AS (SELECT DISTINCT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.last = b.last AND a.gender = 'M' AND b.y - a.y BETWEEN 25 AND 35)"
+
+
+@_selected("sel_fathers", "users", f"{_USER_PEOPLE}, {_USER_FATHERS}, m AS (SELECT src, dst FROM fathers)", "value", "overlaps", 7, 0.5)
+def sel_fathers(spark, sf_dir, g):
+    return loaders.father_of(_user_people(g))
+
+
+@_selected(
+    "sel_mothers",
+    "users",
+    f"{_USER_PEOPLE}, {_USER_FATHERS}, m AS (SELECT DISTINCT m.node_id AS src, c.node_id AS dst FROM fathers JOIN people f ON f.node_id = fathers.src JOIN people c ON c.node_id = fathers.dst AND c.city = f.city JOIN people m ON m.city = c.city AND m.gender = 'F' AND c.y - m.y BETWEEN 25 AND 35)",
+    "value", "overlaps", 7, 0.5,
+)
+def sel_mothers(spark, sf_dir, g):
+    people = _user_people(g)
+    return loaders.mother_of(people, loaders.father_of(people))
+
+
+@_selected("sel_classmates", "users", f"{_USER_PEOPLE}, m AS (SELECT a.node_id AS src, b.node_id AS dst FROM people a JOIN people b ON a.city = b.city AND a.y // 10 = b.y // 10 AND a.node_id <> b.node_id)", "value", "before", 7, 0.5)
+def sel_classmates(spark, sf_dir, g):
+    """Classes of a city and decade, walked over membership."""
+    decade = _user_people(g).withColumn("birthdate", F.make_date((F.floor(F.year("birthdate") / 10) * 10).cast("int"), F.lit(1), F.lit(1)))
+    members = loaders.classes(decade.withColumn("node_id", F.col("node_id").cast("string")))
+    mates = Edge(("WAS_CLASSMATE_OF",), via="IN_CLASS")
+    paths = pattern.match(HybridGraph(g.nodes.withColumn("node_id", F.col("node_id").cast("string")), members, g.series), Node(), (mates, Node()))
+    return paths.select(*[F.col("nodes")[k].cast("long").alias(c) for k, c in enumerate(("src", "dst"))])
+
+
+_BOTH_WAYS = "(SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE src <> dst)"
+
+
+@_selected("sel_region_differs", "users", f"m AS (SELECT x.src, x.dst FROM {_BOTH_WAYS} x JOIN n a ON a.node_id = x.src JOIN n b ON b.node_id = x.dst WHERE a.team <> b.team AND a.team < 3)", "value", "overlaps", 7, 0.85)
+def sel_region_differs(spark, sf_dir, g):
+    paths = pattern.match(g, Node("User", "team < 3"), (Edge((), "any"), Node()))
+    return _ends_of(pattern.where_nodes(paths, g, {0: "a", 1: "b"}, "a_team <> b_team", ["team"]))
+
+
+@_selected("sel_proximity_any", "users", f"m AS (SELECT x.src, x.dst FROM {_BOTH_WAYS} x JOIN n a ON a.node_id = x.src JOIN n b ON b.node_id = x.dst WHERE abs(a.lat - b.lat) < 1.5)", "value", "meets", 5, 0.5)
+def sel_proximity_any(spark, sf_dir, g):
+    return _ends_of(pattern.where_nodes(pattern.match(g, Node(), (Edge((), "any"), Node())), g, {0: "a", 1: "b"}, "abs(a_lat - b_lat) < 1.5", ["lat"]))
+
+
+@query(
+    "td_pin_guard",
+    f"WITH {testgraph.TRADE_SQL}, {windows_sql('revenue', 8)}, pinned AS (SELECT src, dst, ((src * 7 + dst) % 95)::INTEGER AS pin FROM e), {join_sql('pinned', 'overlaps', 8, 0.2, pinned=True)} SELECT src, dst, pin, i, j, dist FROM hit",
+)
+def td_pin_guard(spark, sf_dir):
+    """Source windows given by their place; some run over the end of their series and match nothing."""
+    g = testgraph.trade(spark, sf_dir)
+    pins = g.edges.select("src", "dst", ((F.col("src") * 7 + F.col("dst")) % 95).cast("int").alias("pin"))
+    return td_join(pins, g.series, "revenue", "overlaps", 8, 0.2).select("src", "dst", "pin", "i", "j", "dist")
 
 
 # ---- ingestion ----
