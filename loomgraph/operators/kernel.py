@@ -25,7 +25,8 @@ def z_windows(values: np.ndarray, m: int) -> np.ndarray:
     total = np.zeros(w.shape[:2])
     for k in range(m):
         total += w[:, :, k]
-    centred = w - (total / m)[:, :, None]
+    with np.errstate(invalid="ignore"):
+        centred = w - (total / m)[:, :, None]
     square = np.zeros(w.shape[:2])
     for k in range(m):
         square += centred[:, :, k] ** 2

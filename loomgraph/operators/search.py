@@ -204,7 +204,7 @@ def pruned(a: Windows, b: Windows, first: int | None, threshold: float, pieces:
         gap = gaps(some[lo : lo + strip])
         allowed += int(np.isfinite(gap).sum())
         still += int((gap <= best.limit()).sum()) if np.isfinite(best.limit()) else gap.size
-    if still > OPEN_SHARE * allowed and a.n * b.n > 64 * ROOM:
+    if still > OPEN_SHARE * allowed:
         index = np.arange(max(a.n, b.n))
         times = index[: a.n], index[: a.n], index[: b.n], index[: b.n]
         return by_fft(a, b, times, None if first is None else lambda sa, ea, sb, eb: sb >= sa + first, threshold), 1.0
@@ -272,6 +272,7 @@ def by_fft(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed: Allow
                 continue
             from_block, to_block = int(columns[0]) // step, int(columns[-1]) // step + 1
         z = np.where(use_a[lo:hi, None], a.rows(np.arange(lo, hi)), 0.0)
+        z -= z.mean(axis=1, keepdims=True)  # what rounding left of a mean would meet the target's slope
         own = np.fft.rfft(z[:, ::-1], size, axis=1)
         products = np.fft.irfft(own[:, None, :] * spectra[None, from_block:to_block], size, axis=2)[:, :, m - 1 :].reshape(hi - lo, -1)
         j0, j1 = from_block * step, to_block * step

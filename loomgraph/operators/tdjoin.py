@@ -177,7 +177,9 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     ship(pairs.sparkSession)
     s = series.where((F.col("ts_type") == ts_type) & (F.size("ts") >= max(w, 2)))
     p = pairs if "pin" in pairs.columns else pairs.withColumn("pin", F.lit(None).cast("int"))
-    p = p.select("src", "dst", F.col("pin").cast("int").alias("pin")).distinct()
+    # pairs are few bytes and much work: tasks are by the setting, not by the size that adaptive execution would go by
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = p.select("src", "dst", F.col("pin").cast("int").alias("pin")).distinct().repartition(tasks, "src", "dst", "pin")
     if method == "td" and w <= 2:
         p = p.limit(0)
     kind = dict(pairs.dtypes)
@@ -187,6 +189,7 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
         run = _block_kernel(w, r, float(threshold), method)
         if metrics is not None:
             dealt, run = metrics.watch(dealt, "pairs"), metrics.timed(run)
+        dealt, sent = dealt.repartition(tasks, "block"), sent.repartition(tasks, "block")
         found = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, out)
         return found if metrics is None else metrics.watch(found, "found")
     a = s.select(F.col("node_id").alias("src"), F.col("ts").alias("ta"), F.col("v").alias("va"))
@@ -204,7 +207,7 @@ def td_join(pairs: DataFrame, series: DataFrame, ts_type: str, relation: str | N
     joined = joined.withColumn("parts", F.greatest(F.ceil(pairs_of_windows / SHARE_PAIRS), F.lit(1)).cast("int"))
     short = joined.where("parts = 1").drop("parts").mapInArrow(run, out)
     shares = joined.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    shares = shares.select("src", "dst", "pin", "ta", "va", "tb", "vb", "part", "parts").repartition("src", "dst", "pin", "part").mapInArrow(run, out)
+    shares = shares.select("src", "dst", "pin", "ta", "va", "tb", "vb", "part", "parts").repartition(tasks, "src", "dst", "pin", "part").mapInArrow(run, out)
     least = shares.groupBy("src", "dst", "pin").agg(F.min(F.struct("dist", (-F.col("i")).alias("i"), "j")).alias("b"))
     found = short.unionByName(least.select("src", "dst", "pin", (-F.col("b.i")).alias("i"), F.col("b.j").alias("j"), F.col("b.dist").alias("dist")))
     return found if metrics is None else metrics.watch(found, "found")

@@ -40,11 +40,13 @@ def test_all_ways_find_the_same(m, monkeypatch):
     n_a, n_b = 160, 133
     monkeypatch.setattr(search, "SEGMENT", 50)
     monkeypatch.setattr(search, "ROOM", 3000)
+    share_open = iter([1.0, search.OPEN_SHARE] * 10_000)  # in turn, with bounds alone and with FFTs where they leave much open
     ta, tb = np.arange(n_a) * DAY, (np.arange(n_b) + 5) * DAY
     for a in shapes(n_a, 0):
         for b in shapes(n_b, 1):
             wa, wb = Windows(a, m), Windows(b, m)
             for relation, offset, threshold in ((Relation.BEFORE, 0, 0.5), (Relation.BEFORE, -7, -1.0), (Relation.BEFORE, 40, 0.0), (Relation.NONE, 0, 0.95), (Relation.NONE, 0, 0.0)):
+                monkeypatch.setattr(search, "OPEN_SHARE", next(share_open))
                 got, share = pruned(wa, wb, m + offset if relation is Relation.BEFORE else None, threshold)
                 assert got == dense(a, b, m, relation, offset, threshold) and 0 <= share <= 1
             times = ta[: n_a - m + 1], ta[m - 1 :], tb[: n_b - m + 1], tb[m - 1 :]
