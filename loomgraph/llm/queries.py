@@ -9,12 +9,14 @@ from loomgraph.session import read
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back by the index; later pages of equal payloads are revisits."""
     from loomgraph.llm import warc
 
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest doc_id that links of up to 4 bits lead to."""
     from loomgraph.llm import simhash
 
     found = simhash.classes(read(spark, sf_dir, "documents"))
@@ -22,6 +24,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that are not held out."""
     from loomgraph.llm import toxicity
 
     docs = read(spark, sf_dir, "documents")
@@ -29,30 +32,35 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that the mix of its source takes."""
     from loomgraph.llm import mixing
 
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
     from loomgraph.llm import substrings
 
     return substrings.passages(read(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of benchmark items in documents."""
     from loomgraph.llm import decontam
 
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from the token table."""
     from loomgraph.llm import tokens
 
     return tokens.round_trip(read(spark, sf_dir, "documents"))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from those that are not held out."""
     from loomgraph.llm import langid
 
     docs = read(spark, sf_dir, "documents")
@@ -60,12 +68,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.93 and more within its label."""
     from loomgraph.llm import embeddings
 
     return embeddings.duplicates(read(spark, sf_dir, "embeddings"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data."""
     from loomgraph.llm import pii
 
     return pii.scan(read(spark, sf_dir, "documents"))
