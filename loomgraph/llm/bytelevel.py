@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps at most; beyond, a piece is encoded again each time it comes. No effect on results.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_200_000
 #: Bytes that stand for themselves in the byte-level alphabet; the others are the characters from 256 on, in order.
 _itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_itself))}
@@ -158,7 +158,7 @@ class ByteLevelEncoder:
         kind = (pa.binary(), np.int32) if small else (pa.large_binary(), np.int64)
         pieces = pa.Array.from_buffers(kind[0], len(starts) - 1, [None, pa.py_buffer(starts.astype(kind[1])), data])
         numbered = pieces.dictionary_encode()
-        begin, n, flat = self.ids_of(numbered.dictionary.to_pylist())
+        begin, n, flat = self.ids_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = numbered.indices.to_numpy()
         each = n[at]
         done = np.zeros(len(at) + 1, np.int32)

@@ -30,9 +30,10 @@ from loomgraph.session import fresh_path, ship, staged, tidy
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
 #: Characters of text that are encoded together, about; tokens of a task that fills sequences, about.
 TOGETHER, TASK_TOKENS = 8_000_000, 8 << 20
-PIECES = "part int, nth long, sequence_id long, doc_id long, piece int, start long, length int, ids array<int>"
+PIECES = "part int, nth long, sequence_id long, doc_id long, piece int, start long, length int, ids binary"
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
-SEQUENCES = "sequence_id long, n_tokens int, ids array<int>, members array<struct<doc_id:bigint,piece:int,start:bigint,length:int>>"
+#: ids are little-endian unsigned 32-bit integers, one after another.
+SEQUENCES = "sequence_id long, n_tokens int, ids binary, members array<struct<doc_id:bigint,piece:int,start:bigint,length:int>>"
 
 
 def default_path() -> str:
@@ -78,12 +79,14 @@ def _pieces(path: str, end_id: int, capacity: int):
                 nth = np.empty(len(by), np.int64)
                 nth[order] = np.arange(len(by)) - np.searchsorted(by, by) + seen[by]
                 np.add.at(seen, length, 1)
-                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(length))) * 4
                 whole = pa.array(np.where(length == capacity, -1 - ((part << 40) + nth), 0), mask=length < capacity)
                 columns = [pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth), whole, batch.column(0).slice(at, to - at).take(pa.array(doc)), pa.array(piece.astype(np.int32))]
-                columns += [pa.array(start), pa.array(length.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))]
-                table = pa.RecordBatch.from_arrays(columns, names=["part", "nth", "sequence_id", "doc_id", "piece", "start", "length", "ids"])
-                yield from (table.slice(k, 2000) for k in range(0, table.num_rows, 2000))
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+                columns += [pa.array(start), pa.array(length.astype(np.int32))]
+                for k in range(0, len(doc), 2000):
+                    rows = [c.slice(k, 2000) for c in (*columns, blobs)]
+                    yield pa.RecordBatch.from_arrays([*rows[:-1], rows[-1].cast(pa.binary())], names=["part", "nth", "sequence_id", "doc_id", "piece", "start", "length", "ids"])
                 at = to
 
     return run
@@ -182,19 +185,26 @@ def _placed(table: dict[str, np.ndarray], capacity: int):
     return placed
 
 
+def _flat(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of a column of binaries, and where each begins and the last ends in them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])), offsets - offsets[0]
+
+
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sequences of pieces in the order of sequence and offset; one sequence may span batches."""
 
     def joined(table: pa.Table) -> pa.RecordBatch:
         t = table.combine_chunks().to_batches()[0]
-        sequence, length = t.column(0).to_numpy(), t.column(4).to_numpy()
+        sequence = t.column(0).to_numpy()
         first = np.flatnonzero(np.diff(sequence, prepend=sequence[0] - 1))
         ends = np.append(first, len(sequence)).astype(np.int32)
-        tokens = np.concatenate(([0], np.cumsum(length)))[ends].astype(np.int32)
+        data, offsets = _flat(t.column(5))
+        at = offsets[ends].astype(np.int32)
         members = pa.StructArray.from_arrays([t.column(k) for k in range(1, 5)], fields=list(_MEMBER))
-        ids = t.column(5).flatten()
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), data])
         return pa.RecordBatch.from_arrays(
-            [t.column(0).take(pa.array(first)), pa.array(np.diff(tokens)), pa.ListArray.from_arrays(pa.array(tokens), ids), pa.ListArray.from_arrays(pa.array(ends), members)],
+            [t.column(0).take(pa.array(first)), pa.array(np.diff(at) // 4), ids, pa.ListArray.from_arrays(pa.array(ends), members)],
             names=["sequence_id", "n_tokens", "ids", "members"],
         )
 
@@ -213,7 +223,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """SEQUENCES of docs (doc_id, text): ids in order, and members, the pieces in them in order.
+    """SEQUENCES of docs (doc_id, text): ids in order (token_ids() makes lists of them), and members, the pieces in them in order.
 
     Each text's ids and end_id are in exactly one place; start counts a piece's document's ids before it. A null or empty
     text is one piece, of end_id alone. Rows that repeat a doc_id, or have none, are documents of their own. Numbers of
@@ -246,6 +256,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
     return spark.read.schema(SEQUENCES).parquet(path).unionByName(out)
 
 
+def token_ids(sequences: DataFrame) -> DataFrame:
+    """sequences with ids as lists of integers."""
+    ship(sequences.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data, offsets = _flat(batch.column(2))
+                lists = pa.ListArray.from_arrays(pa.array((offsets // 4).astype(np.int32)), pa.array(np.frombuffer(data, "<u4").astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists, batch.column(3)], names=["sequence_id", "n_tokens", "ids", "members"])
+
+    return sequences.select("sequence_id", "n_tokens", "ids", "members").mapInArrow(tidy(run), SEQUENCES.replace("ids binary", "ids array<int>"))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -256,7 +280,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = parts.field("length").to_numpy().astype(np.int64)
         ends = np.cumsum(length)
         first = np.concatenate(([0], ends))[np.cumsum(n) - n]
-        data = batch.column(1).flatten().to_numpy().astype("<u4").tobytes()
+        data = memoryview(_flat(batch.column(1))[0])
         crc = [zlib.crc32(data[a:b]) for a, b in zip(((ends - length) * 4).tolist(), (ends * 4).tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [parts.field("doc_id"), parts.field("piece"), parts.field("start"), pa.array(length), pa.array(crc, pa.int64()), batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(ends - length - np.repeat(first, n))],

@@ -126,8 +126,15 @@ def test_round_trip(spark, whole, capacity):
 
 def test_sequences(spark, whole):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
-    for r in packing.pack(df).collect():
+    texts = {}
+    for d, t in DOCS:
+        texts.setdefault(d, []).append(whole(t))
+    for r in packing.token_ids(packing.pack(df)).collect():
         assert r.n_tokens == len(r.ids) == sum(m.length for m in r.members)
+        at = 0
+        for m in r.members:
+            assert any(r.ids[at : at + m.length] == ids[m.start : m.start + m.length] for ids in texts[m.doc_id])
+            at += m.length
 
 
 def test_whole_table(spark, whole):
