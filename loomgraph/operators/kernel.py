@@ -182,6 +182,15 @@ def related(name: str, sa: np.ndarray, ea: np.ndarray, sb: np.ndarray, eb: np.nd
     return (sa < eb) & (ea > sb) & ((sa != sb) | (name == "crosses"))
 
 
+def related_between(name: str, sa: tuple[int, int], ea: tuple[int, int], sb: tuple[int, int], eb: tuple[int, int]) -> bool | None:
+    """Whether all windows with times in these ranges are before or overlap each other (True), none does (False), or some may (None)."""
+    if name == "before":
+        return True if ea[1] < sb[0] else None if ea[0] < sb[1] else False
+    if not (sa[0] < eb[1] and ea[1] > sb[0]):
+        return False
+    return True if sa[1] < eb[0] and ea[0] > sb[1] and (sa[1] < sb[0] or sb[1] < sa[0]) else None
+
+
 def _direct(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray, relation: Relation) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of equal or meeting windows, by one lookup of each source's time among the target's start times.
 
@@ -219,7 +228,7 @@ def profile_join(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, m
         return None if not np.isfinite(best.dist[0]) else (int(best.i[0]), int(best.j[0]), float(best.dist[0]))
     allowed = lambda *t: related(relation.value, *t)
     if method == "stomp":
-        return search.by_diagonals(wa, wb, times, allowed, None, part, parts)
+        return search.by_diagonals(wa, wb, times, allowed, None, part, parts, lambda *t: related_between(relation.value, *t))
     return search.by_fft(wa, wb, times, allowed)
 
 

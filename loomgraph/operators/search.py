@@ -18,6 +18,8 @@ ROOM = 1_000_000
 HALF, TINY = 5e-6, 1e-9
 EPS = float(np.finfo(float).eps)
 
+#: Least and largest of each of those four times -> whether all (True) or none (False) may be paired, or that depends (None).
+Between = Callable[..., bool | None]
 #: (start, end) of source windows, then of target windows -> which of them may be paired, by broadcasting.
 Allowed = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -289,18 +291,24 @@ def by_fft(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed: Allow
 
 def diagonals(n_a: int, n_b: int) -> Iterator[tuple[int, int]]:
     """(first, after the last) of the diagonals j - i of all windows, a working block at a time."""
-    many = max(1, min(64, SEGMENT * 8 // max(1, min(n_a, SEGMENT))))
+    many = max(1, min(64, SEGMENT * 4 // max(1, min(n_a, SEGMENT))))
     for k in range(1 - n_a, n_b, many):
         yield k, min(k + many, n_b)
 
 
 #: Windows of a diagonal whose products are summed from a new start.
-SEGMENT = 4096
+SEGMENT = 8192
 
 
-def by_diagonals(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed: Allowed | None = None, threshold: float | None = None, part: int = 0, parts: int = 1) -> tuple[int, int, float] | None:
+def _shifts(v: np.ndarray, at: int, count: int, width: int) -> np.ndarray:
+    """(count, width) without a copy: width values of v from at on, from at + 1 on, ..."""
+    return np.ndarray((count, width), v.dtype, v, at * v.itemsize, (v.itemsize, v.itemsize))
+
+
+def by_diagonals(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed: Allowed | None = None, threshold: float | None = None, part: int = 0, parts: int = 1, between: Between | None = None) -> tuple[int, int, float] | None:
     """The nearest allowed pair, or that of every parts-th block of diagonals from `part` on: a product is its neighbour's on the
-    diagonal, less the pair of points that leaves and with the one that enters, as differences of running sums."""
+    diagonal, less the pair of points that leaves and with the one that enters, as differences of running sums. between tells of
+    ranges of times what allowed tells of times."""
     best, m = Nearest(a, b, threshold), a.m
     (x, cx), (y, cy) = a.filled(), b.filled()
     pad = a.n + 64
@@ -314,7 +322,6 @@ def by_diagonals(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed:
     sb, eb = wide(times[2], 0), wide(times[3], 0)
     top_a, top_b = float(np.abs(ma).max(initial=0)), float(np.abs(mb).max(initial=0))
     most = top_a * top_b + top_a * b.largest + top_b * a.largest  # means are rounded in proportion to the series itself
-    view = np.lib.stride_tricks.sliding_window_view
     for number, (k0, k1) in enumerate(diagonals(a.n, b.n)):
         if number % parts != part:
             continue
@@ -322,13 +329,19 @@ def by_diagonals(a: Windows, b: Windows, times: tuple[np.ndarray, ...], allowed:
         for lo in range(max(0, 1 - k1), min(a.n, b.n - k0), SEGMENT):
             hi = min(lo + SEGMENT, a.n, b.n - k0)
             width, at = hi - lo, lo + k0 + pad
-            part_of = lambda v: view(v[at : at + width + count - 1], width)  # noqa: B023, E731
-            ok = None
-            if allowed is not None:
+            part_of = lambda v: _shifts(v, at, count, width)  # noqa: B023, E731
+            ok, all_of = None, allowed is None
+            if between is not None:
+                j = slice(max(0, lo + k0), min(b.n, hi + k1 - 1))
+                ranges = [(t[r].min(), t[r].max()) for t, r in zip(times, (slice(lo, hi), slice(lo, hi), j, j), strict=True)]
+                all_of = between(*ranges)
+                if all_of is False:
+                    continue
+            if not all_of:
                 ok = allowed(times[0][None, lo:hi], times[1][None, lo:hi], part_of(sb), part_of(eb))
                 if not ok.any():
                     continue
-            sums = np.cumsum(x[None, lo : hi + m - 1] * view(y[at : at + width + m - 1 + count - 1], width + m - 1), axis=1)
+            sums = np.cumsum(x[None, lo : hi + m - 1] * _shifts(y, at, count, width + m - 1), axis=1)
             slack = 4 * m * EPS * (float(max(sums.max(), -sums.min())) + most)
             low = sums[:, m - 1 :].copy()
             low[:, 1:] -= sums[:, :-m]

@@ -57,6 +57,7 @@ def test_all_ways_find_the_same(m, monkeypatch):
                 want = (int(best.i[0]), int(best.j[0]), float(best.dist[0])) if np.isfinite(best.dist[0]) else None
                 assert by_fft(wa, wb, times, allowed) == want
                 assert by_diagonals(wa, wb, times, allowed) == want
+                assert by_diagonals(wa, wb, times, allowed, between=lambda *t: kernel.related_between(name, *t)) == want  # noqa: B023
                 parts = [r for k in range(3) if (r := by_diagonals(wa, wb, times, allowed, None, k, 3)) is not None]
                 assert min(parts, key=lambda r: (r[2], -r[0], r[1]), default=None) == want
 
@@ -95,6 +96,19 @@ def test_long_narrow_joins_in_parts(monkeypatch, relation):
     assert [(g.i.tolist(), g.j.tolist(), g.dist.tolist()) for g in got] == [(w.i.tolist(), w.j.tolist(), w.dist.tolist()) for w in want]
 
 
+@pytest.mark.parametrize("name", ["before", "overlaps"])
+def test_ranges_of_times_tell_of_all_times_in_them(name):
+    rnd = np.random.default_rng(4)
+    seen = set()
+    for _ in range(3000):
+        t = [rnd.integers(0, 12) + np.sort(rnd.integers(0, 1 + rnd.integers(0, 4), 3)) for _ in range(4)]
+        told = kernel.related_between(name, *((x[0], x[-1]) for x in t))
+        every = kernel.related(name, t[0][:, None, None, None], t[1][:, None, None], t[2][:, None], t[3])
+        assert told is None or (every.all() if told else not every.any())
+        seen.add(told)
+    assert seen == {True, False, None}
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     rnd = np.random.default_rng(8)
