@@ -137,7 +137,7 @@ def grid_join(a: np.ndarray, b: np.ndarray, m: int, relation: Relation, offset:
     ia, ib = (np.arange(len(x)) if k is None else k for x, k in ((a, ia), (b, ib)))
     best, n_a, n_b = Best(len(ia)), a.shape[1] - m + 1, b.shape[1] - m + 1
     wide = relation in (Relation.BEFORE, Relation.NONE)
-    if n_a * n_b > LONG if wide else max(n_a, n_b) * m > ROOM:
+    if n_a * n_b > LONG if wide else max(n_a, n_b) > max(4 * m, ROOM // m):  # parts of a long pair are no longer than that
         for p in range(len(ia)):
             if (row := _long(a[ia[p]], b[ib[p]], m, relation, offset, threshold)) is not None:
                 best.i[p], best.j[p], best.dist[p] = row
