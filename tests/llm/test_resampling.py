@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from loomgraph.llm import queries, resampling
@@ -62,6 +63,10 @@ def test_whole_tables(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     target = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     assert got == brute(docs, target) and sum(r[4] is not None for r in got) > 20
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    assert sorted(duck.sql(queries.OP13_SQL).fetchall(), key=str) == got
 
 
 def test_empty_tables(spark):
