@@ -48,7 +48,18 @@ def test_groups_match_as_their_pairs(spark, monkeypatch, relation):
     assert matching_groups(a, b, ["key"], series, "x", relation, 2, 0.5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["sel_classmates"])
+@pytest.mark.parametrize("name", ["sel_classmates", "sel_mothers"])
 def test_pairs_of_groups_are_not_written_out(spark, name):
     plan = catalogue.queries()[name](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "\nMapInArrow" not in plan and "- MapInArrow" not in plan
+
+
+@pytest.mark.parametrize(("low", "high"), [(25, 35), (-3, 30)])
+def test_sides_of_mothers_are_their_edges(spark, low, high):
+    rows = [(k, "M" if k % 2 == 0 else "F", None if k == 8 else f"l{k % 3}", None if k == 11 else f"c{k % 5 % 3}", None if k == 12 else f"{1940 + k * 7 % 60}-05-01") for k in range(90)]
+    rows += [(200, "M", "alone", "c1", "1990-01-01"), (201, "M", "two", "c1", "1990-01-01"), (202, "M", "two", "c1", "1990-03-01")]
+    people = spark.createDataFrame(rows, "node_id long, gender string, last string, city string, birthdate string").withColumn("birthdate", F.col("birthdate").cast("date")).cache()
+    women, children = loaders.mother_sides(people, low, high)
+    got = women.join(children, "city").where(f"value - at BETWEEN {low} AND {high}").select("src", "dst")
+    want = loaders.mother_of(people, loaders.father_of(people, low, high), low, high).select("src", "dst")
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
