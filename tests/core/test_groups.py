@@ -48,7 +48,7 @@ def test_groups_match_as_their_pairs(spark, monkeypatch, relation):
     assert matching_groups(a, b, ["key"], series, "x", relation, 2, 0.5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["sel_classmates", "sel_mothers"])
+@pytest.mark.parametrize("name", ["sel_classmates", "sel_mothers", "sel_fathers"])
 def test_pairs_of_groups_are_not_written_out(spark, name):
     plan = catalogue.queries()[name](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "\nMapInArrow" not in plan and "- MapInArrow" not in plan
