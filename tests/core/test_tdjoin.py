@@ -177,3 +177,19 @@ def test_memory_does_not_grow_with_the_square_of_the_length():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert best.i[0] >= 0 and peak < 300e6
+
+
+def test_blocks_grow_in_number_with_series_not_in_size(spark, monkeypatch):
+    from loomgraph.operators import tdjoin
+
+    rows = [(k, "x", [p * DAY for p in range(20)], [float((k * p * p + p) % 11) for p in range(20)]) for k in range(50)]
+    many = spark.createDataFrame(rows, "node_id long, ts_type string, ts array<long>, v array<double>")
+    asked = spark.createDataFrame([(a, b) for a in range(50) for b in range(50)], "src long, dst long")
+    want = sorted(map(tuple, td_join(asked, many, "x", "before", 4, 0.2, blocks=0).drop("pin").collect()))
+    sizes = []
+    own = tdjoin.in_blocks
+    monkeypatch.setattr(tdjoin, "in_blocks", lambda pairs, series, p: (sizes.append(p), own(pairs, series, p))[1])
+    for room, least, rows_of_blocks in ((16 << 20, 3, 3), (16 * 20 * 5, 3, 10), (16 * 20 * 5, 12, 12)):
+        monkeypatch.setattr(tdjoin, "BLOCK_BYTES", room)
+        assert sorted(map(tuple, td_join(asked, many, "x", "before", 4, 0.2, blocks=least).drop("pin").collect())) == want
+        assert sizes.pop() == rows_of_blocks
