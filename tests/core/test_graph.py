@@ -167,3 +167,30 @@ def test_metrics_count_what_a_walk_does(spark, graph, monkeypatch, blocks):
     temporal_walk(paths, graph.series, "x", "overlaps", 4, -0.5, "2cont", n_hops=2, metrics=both).collect()
     shared, *hops = both.hops().collect()
     assert shared.hop == -1 and shared.pairs >= shared.found > 0 and [h.asked for h in hops][0] == paths.count() and hops[1].asked == hops[0].matched
+
+
+@pytest.mark.parametrize("apart", [None, "region"])
+def test_matches_around_a_hop_are_counted_as_they_are_listed(spark, graph, apart):
+    kinds = [("A", 1, 2), ("A", 1, 2), ("A", 3, 2), ("A", 4, 2), ("A", 2, 2), ("A", 2, 3), ("A", 3, 1), ("A", None, 3), ("B", 2, 3), ("B", 2, 3), ("B", 2, 2), ("C", 1, 2), ("C", 4, 2), ("D", 2, 3)]
+    edges = spark.createDataFrame([(k, a, b, kind) for k, (kind, a, b) in enumerate(kinds)], "edge_id long, src long, dst long, type string")
+    g = HybridGraph(graph.nodes, edges, graph.series)
+    near, hop = Edge(("A",)), Edge(("B", "C"))
+    both = pattern.both(pattern.match(g, Node(), (near, Node()), (hop, Node())), pattern.match(g, Node(), (near, Node())), {2: 1})
+    listed = both.select(F.col("nodes")[1].alias("src"), F.col("nodes")[2].alias("dst"), F.col("nodes")[0].alias("x"), F.col("other_nodes")[0].alias("y"))
+    for end in ("x", "y"):
+        listed = listed.join(g.nodes.select(F.col("node_id").alias(end), F.col("region").alias(f"of_{end}")), end)
+    want = (listed if apart is None else listed.where("of_x <> of_y")).groupBy("src", "dst").count()
+    assert want.count() and sorted(map(tuple, pattern.count_around(g, near, hop, apart).collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="none in common"):
+        pattern.count_around(g, near, Edge(("A", "B")))
+
+
+@pytest.mark.parametrize("name", ["sel_owners_any"])
+def test_owners_of_both_ends_are_not_listed(spark, monkeypatch, name):
+    from loomgraph.plans import catalogue
+
+    asked = []
+    own = catalogue.matching
+    monkeypatch.setattr(catalogue, "matching", lambda pairs, *more, **named: (asked.append(pairs), own(pairs, *more, **named))[1])
+    found = catalogue.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert found and asked[0].count() == asked[0].select("src", "dst").distinct().count()
