@@ -185,7 +185,7 @@ def test_matches_around_a_hop_are_counted_as_they_are_listed(spark, graph, apart
         pattern.count_around(g, near, Edge(("A", "B")))
 
 
-@pytest.mark.parametrize("name", ["sel_owners_any"])
+@pytest.mark.parametrize("name", ["sel_owners_any", "sel_owners_differ"])
 def test_owners_of_both_ends_are_not_listed(spark, monkeypatch, name):
     from loomgraph.plans import catalogue
 
