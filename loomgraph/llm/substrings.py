@@ -63,6 +63,26 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return mixed(x)
 
 
+def shingles_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The shingles of each text, made of all their words at once."""
+    words = [word_hashes(x) for x in texts]
+    ends = np.cumsum([len(x) for x in words]).tolist()
+    every = shingles(np.concatenate(words)) if words else np.empty(0, np.uint64)
+    return [every[b - len(x) : max(b - WIDTH + 1, b - len(x))] for x, b in zip(words, ends, strict=True)]
+
+
+def lots(texts: list[bytes | None]) -> Iterator[slice]:
+    """Runs of texts of LOCAL_BYTES together, or of one text."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to] or b"") < LOCAL_BYTES):
+            size += len(texts[to] or b"")
+            to += 1
+        yield slice(at, to)
+        at = to
+
+
 def sliding_minima(keys: np.ndarray, t: int) -> np.ndarray:
     """The minimum of each run of t keys: minima of runs of 2, 4, 8, ... of them, and of two such runs that cover t."""
     n = len(keys) - t + 1
@@ -285,16 +305,11 @@ def _emit(t: int, buckets: int):
                     fresh.append(k)
             batch = batch.take(pa.array(fresh, pa.int64()))
             uid = batch.column(0).to_numpy()
-            raw, at = batch.column(1).to_pylist(), 0
-            while at < len(raw):
-                size, to = 0, at
-                while to < len(raw) and (to == at or size + len(raw[to] or b"") < LOCAL_BYTES):
-                    size += len(raw[to] or b"")
-                    to += 1
-                key, who, place, low, high = signatures([shingles(word_hashes(x)) for x in raw[at:to]], t)
-                parts.append((key.view(np.int64), uid[at:to][who], place - low << 52 | (high - low) << 40 | low))
+            raw = batch.column(1).to_pylist()
+            for lot in lots(raw):
+                key, who, place, low, high = signatures(shingles_of(raw[lot]), t)
+                parts.append((key.view(np.int64), uid[lot][who], place - low << 52 | (high - low) << 40 | low))
                 n_rows += len(key)
-                at = to
                 if n_rows > LOCAL_ROWS:
                     yield _local(parts, buckets)
                     parts, n_rows = [], 0
@@ -361,20 +376,33 @@ def _cover(t: int):
     return run
 
 
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """(uids, what is wanted of each, texts), lot by lot; of equal texts the first."""
+    seen: set[int] = set()
+    for batch in batches:
+        rows = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if row[0] not in seen:
+                seen.add(row[0])
+                rows.append(row)
+        for lot in lots([row[2] for row in rows]):
+            uids, wanted, texts = map(list, zip(*rows[lot], strict=True))
+            yield uids, wanted, texts
+
+
 def _stretches(t: int):
     size = PIECE + t + 2 * GRID
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles from each wanted place on; 32 bits of a hash are enough to tell a few hundred apart."""
-        seen: set[int] = set()
-        for batch in batches:
-            for uid, starts, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if uid in seen:
-                    continue
-                seen.add(uid)
-                sh = (shingles(word_hashes(raw)) >> np.uint64(32)).astype(np.uint32)
-                rows = [sh[k : k + size].tobytes() for k in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(rows), pa.int64()), pa.array(starts, pa.int32()), pa.array(rows, pa.binary())], names=["uid", "at", "shingles"])
+        for uids, wanted, texts in _fresh(batches):
+            uid, at, rows = [], [], []
+            for own, starts, x in zip(uids, wanted, shingles_of(texts), strict=True):
+                sh = (x >> np.uint64(32)).astype(np.uint32)
+                uid += [own] * len(starts)
+                at += starts
+                rows += [sh[k : k + size].tobytes() for k in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(at, pa.int32()), pa.array(rows, pa.binary())], names=["uid", "at", "shingles"])
 
     return run
 
@@ -647,16 +675,15 @@ def _crossing(t: int, similarity: float):
 def _regions(t: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shingles of all windows that begin from low to high."""
-        seen: set[int] = set()
-        for batch in batches:
-            for uid, wanted, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if uid in seen:
-                    continue
-                seen.add(uid)
-                sh = (shingles(word_hashes(raw)) >> np.uint64(32)).astype(np.uint32)
-                low, high = ([x[k] for x in wanted] for k in ("low", "high"))
-                rows = [sh[a : b + t].tobytes() for a, b in zip(low, high, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(rows), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.binary())], names=["uid", "low", "high", "shingles"])
+        for uids, wanted, texts in _fresh(batches):
+            uid, low, high, rows = [], [], [], []
+            for own, regions, x in zip(uids, wanted, shingles_of(texts), strict=True):
+                sh = (x >> np.uint64(32)).astype(np.uint32)
+                uid += [own] * len(regions)
+                low += [r["low"] for r in regions]
+                high += [r["high"] for r in regions]
+                rows += [sh[r["low"] : r["high"] + t].tobytes() for r in regions]
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(rows, pa.binary())], names=["uid", "low", "high", "shingles"])
 
     return run
 

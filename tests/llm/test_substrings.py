@@ -328,3 +328,19 @@ def test_cover_and_verify_are_as_one_by_one():
     for size in (1, 90, 400):
         got = [tuple(r.values()) for x in substrings._verify(t, 0.8)(iter(table.to_batches(max_chunksize=size))) for r in x.to_pylist()]
         assert sorted(got) == sorted(expected) and 200 < len(got)
+
+
+def test_stretches_and_regions_of_many_texts_come_together():
+    from loomgraph.llm import substrings as s
+
+    raw = [b" ".join(b"w%d" % (k * 31 + n) for n in range(60 + k % 7)) for k in range(90)] + [b"", None, b"one two"]
+    ids = pa.array([*range(len(raw))], pa.int64())
+    starts = pa.array([[0, 16]] * len(raw), pa.list_(pa.int32()))
+    regions = pa.array([[{"low": 2, "high": 5}]] * len(raw), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
+    want = [(s.shingles(s.word_hashes(x)) >> np.uint64(32)).astype(np.uint32) for x in raw]
+    assert all((x == s.shingles(s.word_hashes(r))).all() and len(x) == max(0, len(s.word_hashes(r)) - 4) for x, r in zip(s.shingles_of(raw), raw, strict=True))
+    for made, asked, parts in ((s._stretches(46), starts, [(k, k + s.PIECE + 46 + 2 * s.GRID) for k in (0, 16)]), (s._regions(46), regions, [(2, 51)])):
+        batch = pa.RecordBatch.from_arrays([ids, asked, pa.array(raw, pa.binary())], names=["uid", "asked", "raw"])
+        out = list(made(iter([batch, batch])))
+        assert len(out) == 1 and out[0].column(0).to_pylist() == [k for k in range(len(raw)) for _ in parts]
+        assert out[0].column("shingles").to_pylist() == [x[a:b].tobytes() for x in want for a, b in parts]
